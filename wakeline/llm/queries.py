@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from wakeline.llm import language_id
+from wakeline.llm import language_id, packing
 
 QUERIES = {
     "op7_language_ppm": language_id.op7_language_ppm,
+    "op10_bin_completion": packing.op10_bin_completion,
 }
 
 SQL: dict[str, str] = {}
