@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from wakeline.llm import common
 
@@ -105,9 +105,9 @@ def word_ids(path: str) -> WordIds:
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
     rows = common.keyed(df, id_col, text_col)
-    schema = StructType([rows.schema["doc_id"], *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32"))]).add("piece", "int")
+    schema = StructType([rows.schema["doc_id"], *(StructField(c, LongType()) for c in ("start", "length", "ids_crc32"))]).add("piece", IntegerType())
     if keep_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(firsts, ["length", "part"]).withColumn("rank", (F.col("rank") + F.col("first")).cast("long")).drop("first", "part")
     ranked = ranked.select(*cut.columns, "rank")
-    schema = StructType([*(ranked.schema[c] for c in cut.columns)]).add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*(ranked.schema[c] for c in cut.columns)]).add("sequence_id", LongType()).add("offset", LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
