@@ -21,15 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from wakeline.llm import common
 
 S = 64
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: Rows of each language that training reads at most, those with the smallest hash of their id.
+#: Rows of each language that training reads, by a hash of their id.
 DOCS_PER_LANGUAGE = 1500
 
 
@@ -122,14 +123,16 @@ def tables(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """Learns from at most ``per_language`` rows of each non-null language: those with the smallest hash of their id.
+    """Learns from about ``per_language`` rows of each non-null language (all, if fewer): those whose hashed id is under a share.
 
     The rows chosen are read whole and counted on the executors; the driver gets n-gram counts, at most 64^4 a language.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id").distinct()
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, min(1 << 30, (per_language << 30) // n)).otherwise(share)
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text")
     counts = chosen.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     return tables({str(lang): (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in counts.groupby("lang")})
 
@@ -157,11 +160,9 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray,
 
 def classify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` and ``bits_per_byte``; columns of these names are replaced."""
-    from pyspark.sql.types import StructType
-
     new = ["lang_pred", "score", "bits_per_byte"]
     kept = [c for c in df.columns if c not in new]
-    schema = StructType([df.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    schema = StructType([df.schema[c] for c in kept]).add("lang_pred", StringType()).add("score", DoubleType()).add("bits_per_byte", DoubleType())
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
