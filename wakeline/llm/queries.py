@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from wakeline.llm import language_id, packing
+from wakeline.llm import language_id, packing, pii
 
 QUERIES = {
+    "op1_candidate_boosting": pii.op1_candidate_boosting,
     "op7_language_ppm": language_id.op7_language_ppm,
     "op10_bin_completion": packing.op10_bin_completion,
 }
