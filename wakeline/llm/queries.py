@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from wakeline.llm import language_id, packing, pii
+from wakeline.llm import decontaminate, language_id, packing, pii
 
 QUERIES = {
     "op1_candidate_boosting": pii.op1_candidate_boosting,
     "op7_language_ppm": language_id.op7_language_ppm,
+    "op9_positional_index": decontaminate.op9_positional_index,
     "op10_bin_completion": packing.op10_bin_completion,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_positional_index": decontaminate.SQL,
+}
