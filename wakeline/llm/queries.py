@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from wakeline.llm import decontaminate, language_id, packing, pii
+import corpus_pipeline
+
+from wakeline.llm import decontaminate, language_id, near_dedup, packing, pii
 
 QUERIES = {
+    "pipeline": corpus_pipeline.query,
     "op1_candidate_boosting": pii.op1_candidate_boosting,
+    "op4_order_minhash": near_dedup.op4_order_minhash,
     "op7_language_ppm": language_id.op7_language_ppm,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_bin_completion": packing.op10_bin_completion,
