@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from wakeline.llm import decontaminate, language_id, lattice_lm, near_dedup, packing, pii
+from wakeline.llm import decontaminate, language_id, lattice_lm, near_dedup, packing, pii, sharding, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.query,
     "op1_candidate_boosting": pii.op1_candidate_boosting,
     "op2_lattice_likelihood": lattice_lm.op2_lattice_likelihood,
+    "op3_markov_ratio": url_filter.op3_markov_ratio,
     "op4_order_minhash": near_dedup.op4_order_minhash,
+    "op5_external_shuffle": sharding.op5_external_shuffle,
     "op7_language_ppm": language_id.op7_language_ppm,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_bin_completion": packing.op10_bin_completion,
