@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from wakeline.llm import decontaminate, language_id, lattice_lm, near_dedup, packing, pii, sharding, url_filter
+from wakeline.llm import decontaminate, language_id, lattice_lm, near_dedup, packing, pii, sharding, topk, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.query,
@@ -14,10 +14,12 @@ QUERIES = {
     "op4_order_minhash": near_dedup.op4_order_minhash,
     "op5_external_shuffle": sharding.op5_external_shuffle,
     "op7_language_ppm": language_id.op7_language_ppm,
+    "op8_threshold_top_k": topk.op8_threshold_top_k,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_bin_completion": packing.op10_bin_completion,
 }
 
 SQL: dict[str, str] = {
+    "op8_threshold_top_k": topk.SQL,
     "op9_positional_index": decontaminate.SQL,
 }
