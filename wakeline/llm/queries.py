@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from wakeline.llm import decontaminate, language_id, lattice_lm, near_dedup, packing, pii, sharding, topk, url_filter
+from wakeline.llm import decontaminate, language_id, lattice_lm, near_dedup, packing, pii, quality_knn, sharding, topk, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_markov_ratio": url_filter.op3_markov_ratio,
     "op4_order_minhash": near_dedup.op4_order_minhash,
     "op5_external_shuffle": sharding.op5_external_shuffle,
+    "op6_neighbour_voting": quality_knn.op6_neighbour_voting,
     "op7_language_ppm": language_id.op7_language_ppm,
     "op8_threshold_top_k": topk.op8_threshold_top_k,
     "op9_positional_index": decontaminate.op9_positional_index,
