@@ -104,14 +104,14 @@ def _scores(pos: str) -> str:
     return f"{pos}, {td.CLOUD_SQL}, ts AS (SELECT mmsi, t, any_value(lon) AS lon, any_value(lat) AS lat, {_stats(str(SIGMA) + 'e0')} FROM (SELECT mmsi, pos.t AS t, lon, lat, {HAV} AS d FROM pos JOIN cloud c USING (t)) GROUP BY mmsi, t)"
 
 
-@query("v2_time_scores", f"WITH {_scores(td.V2_SQL)} SELECT * FROM ts", "lon lat " + STATS)
+@query("v2_time_scores", f"WITH {_scores(td.V2_SQL)} SELECT * EXCLUDE (lon, lat) FROM ts", STATS)
 def _(spark, d):
-    return scoring.time_scores(positions_v2(spark, d), cloud(spark, d), SIGMA)
+    return scoring.time_scores(positions_v2(spark, d), cloud(spark, d), SIGMA).drop("lon", "lat")
 
 
-@query("v2_1_time_scores", f"WITH {_scores(td.V21_SQL)} SELECT * FROM ts", "lon lat " + STATS, digits=9)
+@query("v2_1_time_scores", f"WITH {_scores(td.V21_SQL)} SELECT * EXCLUDE (lon, lat) FROM ts", STATS)
 def _(spark, d):
-    return scoring.time_scores(positions_v21(spark, d), cloud(spark, d), SIGMA)
+    return scoring.time_scores(positions_v21(spark, d), cloud(spark, d), SIGMA).drop("lon", "lat")
 
 
 SUMMARY_SQL = f"""summary AS (
