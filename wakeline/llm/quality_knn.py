@@ -164,85 +164,6 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit([(np.array(c, np.int64), np.array(w)) for _, _, c, w in rows], np.array([g for _, g, _, _ in rows], np.float64), idf)
 
 
-def score(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.prior)
-        if self.vectors is None:
-            return out
-        k = min(NEIGHBOURS, len(self.vectors))
-        for a in range(0, len(texts), BLOCK):
-            v = self.project([terms(t) for t in texts[a : a + BLOCK]])
-            near = np.maximum(v @ self.vectors.T, 0)
-            last = np.partition(near, -k, axis=1)[:, -k, None]
-            weight = np.where(near > last, near, 0).astype(np.float64) ** SHARPNESS
-            ties = near == last
-            room = k - (near > last).sum(1, keepdims=True)
-            weight += ties * (last.astype(np.float64) ** SHARPNESS) * room / np.maximum(ties.sum(1, keepdims=True), 1)
-            total = weight.sum(1)
-            out[a : a + BLOCK] = np.where(total > 0, weight @ self.good / np.where(total > 0, total, 1), self.prior)
-        return np.clip(out, 0, 1)
-
-
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, idf: np.ndarray, rank: int = RANK) -> Model:
-    """The latent space and the labelled vectors in it; the decomposition is by random projection with power steps."""
-    if not bags:
-        return Model(None, None, None, 0.5)
-    x = np.zeros((len(bags), TERMS), np.float32)
-    for i, (columns, weight) in enumerate(bags):
-        x[i, columns] = weight
-    x *= idf.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rank = min(rank, len(bags))
-    q = np.linalg.qr(x @ (x.T @ (x @ np.random.default_rng(5).standard_normal((TERMS, rank + 16)).astype(np.float32))))[0]
-    right = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank]
-    model = Model((right.T * idf[:, None]).astype(np.float32), None, good, float(good.mean()))
-    model.vectors = model.project(bags)
-    return model
-
-
-def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts each column occurs, and the number of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = np.zeros(TERMS, np.int64), 0
-        for batch in batches:
-            for text in common.strings(batch, "text"):
-                held[terms(text)[0]] += 1
-                n += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), TERMS], pa.int32()), pa.array([*held[some].tolist(), n], pa.int64())], ["term", "n"])
-
-    out = np.zeros(TERMS + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
-    return out[:TERMS], int(out[TERMS])
-
-
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Model:
-    """``labels``: id and label (0 or 1); about ``labelled`` of them (all, if fewer) become vectors, by a hash of the id."""
-    docs = common.keyed(df, id_col, text_col)
-    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("good")).filter("doc_id is not null and good in (0, 1)")
-    share = min(1 << 30, (labelled << 30) // max(1, marks.count()))
-    marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = [terms(t) for t in common.strings(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array([b[0] for b in bags], pa.list_(pa.int64())), pa.array([b[1] for b in bags], pa.list_(pa.float64()))], ["doc_id", "good", "columns", "weight"])
-
-    schema = StructType([docs.schema["doc_id"]]).add("good", IntegerType()).add("columns", ArrayType(LongType())).add("weight", ArrayType(DoubleType()))
-    got = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "good", "text").mapInArrow(run, schema).toPandas()
-    rows = sorted(((i, g, tuple(c), tuple(w)) for i, g, c, w in zip(got["doc_id"], got["good"], got["columns"], got["weight"], strict=True)), key=lambda r: (r[0], r[1]))
-    seen, n = _frequencies(docs)
-    idf = np.log((n + 1) / (seen + 1)) + 1
-    return fit([(np.array(c, np.int64), np.array(w)) for _, _, c, w in rows], np.array([g for _, g, _, _ in rows], np.float64), idf)
-
-
-def _list(kind: str):
-    from pyspark.sql.types import ArrayType, LongType
-
-    return ArrayType(LongType() if kind == "bigint" else DoubleType())
-
-
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = common.keyed(df, id_col, text_col)
     held = df.sparkSession.sparkContext.broadcast(model)
