@@ -43,7 +43,7 @@ def window_search(oil: DataFrame, samples: DataFrame, hit_km: float, grid: DataF
     hist = oil.groupBy("cluster_id", "mmsi", "hour").agg(F.count("*").alias("n")).join(near, ["cluster_id", "mmsi", "hour"], "left")
     g = F.broadcast(grid)
     precision = hist.join(g, (F.col("hour") >= F.col("start_h")) & (F.col("hour") < F.col("end_h"))).groupBy("cluster_id", "mmsi", "w").agg((F.sum(F.coalesce("n_near", F.lit(0))) / F.sum("n")).alias("precision"))
-    masks = pairs.groupBy("cluster_id", "mmsi", "sid").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("hour"))).alias("hours"))
+    masks = pairs.groupBy("cluster_id", "mmsi", "sid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hour").cast("int"))).alias("hours"))
     kinds = masks.groupBy("cluster_id", "mmsi", "hours").agg(F.count("*").alias("n"))
     reached = kinds.join(g, F.col("hours").bitwiseAND(F.col("mask")) != 0).groupBy("cluster_id", "mmsi", "w").agg(F.sum("n").alias("reached"))
     size = samples.groupBy("cluster_id").agg(F.count("*").alias("n_samples"))

@@ -33,7 +33,7 @@ BACKWARD = {
 PLATFORM = {"id": "s_suppkey", "name": "s_name", "lon": "-93e0 + ((s_suppkey * 31) % 500) * 1e-2", "lat": "25e0 + ((s_suppkey * 17) % 300) * 1e-2"}
 DETECTION = {"det_id": "c_custkey", "lon": "-93e0 + ((c_custkey * 53) % 5000) * 1e-3", "lat": "25e0 + ((c_custkey * 29) % 3000) * 1e-3", "seen": "c_nationkey"}
 COMPONENT = {
-    "component_id": "c_custkey", "area_m2": "5e3 + abs(c_acctbal) * 1e1", "prob_mean": "((c_custkey * 13) % 100) * 1e-2", "x_m": "((c_custkey * 7919) % 40000) * 1e1", "y_m": "((c_custkey * 104729) % 40000) * 1e1",
+    "component_id": "c_custkey", "area_m2": "5e3 + abs(c_acctbal) * 1e1", "prob_mean": "((c_custkey * 13) % 100) * 1e-2", "x_m": "((c_custkey * c_custkey * 7919) % 39979) * 1e1", "y_m": "((c_custkey * 104729) % 39989) * 1e1",
     "bearing": "((c_custkey * 11) % 180) * 1e0",
 }
 
