@@ -36,11 +36,11 @@ def window_search(oil: DataFrame, samples: DataFrame, hit_km: float, grid: DataF
     """Precision, recall and F of every window for each event and entity.
 
     ``oil``: cluster_id, mmsi, member, pid, hour, lon, lat at T0; ``samples``: cluster_id, sid, lon, lat of the slick.
-    A sample keeps the hours that reach it as bits of one number, so that a window is one AND.
+    A sample keeps the hours that reach it as bits of one number, so that a window is one AND. A particle counts once, however often its row is repeated.
     """
     pairs = radius_join(oil.select("cluster_id", "mmsi", "pid", "hour", "lon", "lat"), samples.select("cluster_id", "sid", "lon", "lat"), hit_km, on=("cluster_id",))
     near = pairs.select("cluster_id", "mmsi", "pid", "hour").distinct().groupBy("cluster_id", "mmsi", "hour").agg(F.count("*").alias("n_near"))
-    hist = oil.groupBy("cluster_id", "mmsi", "hour").agg(F.count("*").alias("n")).join(near, ["cluster_id", "mmsi", "hour"], "left")
+    hist = oil.groupBy("cluster_id", "mmsi", "hour").agg(F.count_distinct("pid").alias("n")).join(near, ["cluster_id", "mmsi", "hour"], "left")
     g = F.broadcast(grid)
     precision = hist.join(g, (F.col("hour") >= F.col("start_h")) & (F.col("hour") < F.col("end_h"))).groupBy("cluster_id", "mmsi", "w").agg((F.sum(F.coalesce("n_near", F.lit(0))) / F.sum("n")).alias("precision"))
     masks = pairs.groupBy("cluster_id", "mmsi", "sid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hour").cast("int"))).alias("hours"))

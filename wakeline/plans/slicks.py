@@ -224,7 +224,7 @@ def _(spark, d):
 
 GRID_SQL = "wn AS (SELECT CAST(row_number() OVER (ORDER BY d, a) - 1 AS INT) AS w, CAST(a AS INT) AS start_h, CAST(a + d AS INT) AS end_h FROM (VALUES (1), (2), (3), (6), (12)) v(d), range(48) g(a) WHERE a + d <= 48)"
 WINDOW_SQL = f"""{OIL_SQL}, {SAMPLE_SQL}, {GRID_SQL}, pairs AS (SELECT o.cluster_id, o.mmsi, pid, hour, sid FROM oil o JOIN sam s ON o.cluster_id = s.cluster_id AND abs(o.lat - s.lat) < 0.03 WHERE {td.haversine('o.lat', 'o.lon', 's.lat', 's.lon')} <= {HIT_KM}),
-hist AS (SELECT o.cluster_id, o.mmsi, o.hour, count(*) AS n, count(p.pid) AS k FROM oil o LEFT JOIN (SELECT DISTINCT cluster_id, mmsi, pid, hour FROM pairs) p ON o.pid = p.pid AND o.cluster_id = p.cluster_id AND o.mmsi = p.mmsi AND o.hour = p.hour GROUP BY ALL),
+hist AS (SELECT o.cluster_id, o.mmsi, o.hour, count(DISTINCT o.pid) AS n, count(DISTINCT p.pid) AS k FROM oil o LEFT JOIN (SELECT DISTINCT cluster_id, mmsi, pid, hour FROM pairs) p ON o.pid = p.pid AND o.cluster_id = p.cluster_id AND o.mmsi = p.mmsi AND o.hour = p.hour GROUP BY ALL),
 prec AS (SELECT cluster_id, mmsi, w, sum(k) / sum(n) AS p FROM hist JOIN wn ON hour >= start_h AND hour < end_h GROUP BY ALL), rec AS (SELECT cluster_id, mmsi, w, count(DISTINCT sid) AS r FROM pairs JOIN wn ON hour >= start_h AND hour < end_h GROUP BY ALL),
 sc AS (SELECT cluster_id, mmsi, w, start_h, end_h, coalesce(p, 0) AS precision, coalesce(r, 0) / n_samples AS recall FROM (SELECT DISTINCT cluster_id, mmsi FROM oil) JOIN (SELECT cluster_id, count(*) AS n_samples FROM sam GROUP BY cluster_id) USING (cluster_id) CROSS JOIN wn LEFT JOIN prec USING (cluster_id, mmsi, w) LEFT JOIN rec USING (cluster_id, mmsi, w))"""
 
