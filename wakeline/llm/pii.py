@@ -289,7 +289,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     got = chosen.mapInArrow(run, "held boolean, kind int, y int, x array<double>").toPandas()
     rows = sorted(zip(got["kind"], got["y"], map(tuple, got["x"]), got["held"], strict=True))
     kind, y, x, held = (np.array([r[i] for r in rows]) for i in range(4))
-    return Model(kind, y.astype(float), x.reshape(len(rows), -1), held.astype(bool))
+    return Model(kind, y.astype(float), x.reshape(len(rows), -1) if rows else x, held.astype(bool))
 
 
 def find(model: Model, text: str) -> tuple[list[Span], list[Span]]:
