@@ -7,10 +7,11 @@ verified by an alignment of their shingle sequences in a band: with M aligned sh
 M / (n + m - M), and a pair is linked from 0.8 on. Alignments of such pairs have at most (n + m) / 9 gaps, which is the
 width of the band.
 
-Identical word sequences are one node. In a bucket each member is compared with one centre (the smallest id), so a
-bucket of any size costs as many comparisons as members. Where members of a bucket are left outside the centre's
-component, their texts go through a second round under pairs of sketches, which part texts that merely share a
-passage, with two centres for each bucket. Classes are the connected components of the links.
+Identical word sequences are one node. In a bucket each member is first compared with one centre (the smallest id).
+Where members of a bucket are then in different components, all its pairs across components are looked at, in blocks
+that are dealt over tasks: a pair whose lengths or whose number of common shingles rule out ``SIMILARITY`` goes, every
+other one is aligned, unless a link found in the block has put the two together. So each pair that agrees on a sketch is
+compared or in one class already. Classes are the connected components of the links.
 
 Ids are integers. Defined results: texts without words (null, empty) are a class of their own each; a text of fewer than
 five words is one shingle; equal word sequences always share a class; repeated rows keep their number; a null id gets
@@ -33,8 +34,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 PICKS = 3
-#: Distances between the two sketches that the second round joins.
-STEPS = (1, 3, 6)
+#: Members of a bucket that are held against as many others at once, about.
+BLOCK = 512
 #: Counted ids up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -178,6 +179,64 @@ def _alike(n: str, m: str):
     return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
 
 
+def _links(batch: pa.RecordBatch) -> tuple[list[int], list[int]]:
+    """Links between a bucket's blocks lo and hi (rows of one k, key, lo and hi) that join components."""
+    k, lo, hi = (batch.column(x)[0].as_py() for x in ("k", "lo", "hi"))
+    ids, n, component, block = (batch.column(x).to_numpy() for x in ("id", "n", "component", "block"))
+    if (component == component[0]).all():
+        return [], []
+    component = component.copy()
+    keys = batch.column("keys").flatten().to_numpy().reshape(-1, SKETCHES)[:, :k]
+    seqs = [np.frombuffer(x.as_py(), "<u4") for x in batch.column("seq")]
+    known, codes = np.unique(np.concatenate(seqs), return_inverse=True)
+    codes = np.split(codes, np.cumsum(n)[:-1])
+    marked = np.zeros(len(known), np.int64)
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    a, b = [], []
+    for x in left:
+        y = right[right > x] if lo == hi else right
+        y = y[component[y] != component[x]]
+        y = y[np.minimum(n[y], n[x]) >= SIMILARITY * np.maximum(n[y], n[x])]
+        y = y[~(keys[y] == keys[x]).any(axis=1)]  # an earlier sketch has that pair
+        if not len(y):
+            continue
+        marked[codes[x]] = 1
+        common_ = np.add.reduceat(marked[np.concatenate([codes[i] for i in y])], np.cumsum(n[y]) - n[y])
+        marked[codes[x]] = 0
+        for i in y[common_ / (n[y] + n[x] - common_) >= SIMILARITY]:
+            if component[i] != component[x] and similarity(seqs[x], seqs[i]) >= SIMILARITY:
+                a.append(int(ids[x]))
+                b.append(int(ids[i]))
+                component[component == component[i]] = component[x]
+    return a, b
+
+
+def remaining(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within a bucket (k, key, size); ``members`` has id, n, component, keys, seq."""
+    cells = ["k", "key", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _links(batch)], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            ends = np.flatnonzero(np.any([np.diff(held.column(c).to_numpy()) != 0 for c in cells], axis=0)) + 1
+            for start, end in zip([0, *ends], ends, strict=False):
+                yield found(held.slice(start, end - start))
+            held = held.slice(ends[-1]) if len(ends) else held
+        if held is not None:
+            yield found(held)
+
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("k", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "component", "keys", "seq")
+    return dealt.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long")
+
+
 def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     """``nodes`` with the component they are in so far (their own id, if none)."""
     return nodes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -199,20 +258,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     links = common.cut(verify(pairs, docs), "links")
     comp = graph.components(links)
 
-    # Members outside their centre's component: their bucket is looked at again.
-    at = _named(shared, comp)
-    split_up = at.groupBy("k", "key").agg((F.min("component") != F.max("component")).alias("apart"), F.max("size").alias("size")).filter("apart and size > 2")
-    again = shared.join(split_up.select("k", "key"), ["k", "key"]).select("id").distinct()
-    again = common.cut(_named(nodes.join(again, "id", "left_semi"), comp), "again")
-    second = F.array(*(F.xxhash64(F.lit(s * SKETCHES + k), F.col("keys")[k], F.col("keys")[(k + s) % SKETCHES]) for s in STEPS for k in range(SKETCHES)))
-    finer = again.select("id", "n", "component", F.explode(second).alias("key"))
-    ends = finer.groupBy("key").agg(F.min(F.struct("id", "n", "component")).alias("lo"), F.max(F.struct("id", "n", "component")).alias("hi"))
-    finer = finer.join(ends, "key").select("id", "n", "component", F.explode(F.array("lo", "hi")).alias("c"))
-    apart = finer.filter((F.col("component") != F.col("c.component")) & _alike("n", "c.n"))
-    more = apart.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct()
-    tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = common.cut(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(verify(more, docs))
+    # Buckets whose members are in different components: their other pairs.
+    at = _named(shared, comp).select("id", "k", "key", "size", "component")
+    apart = at.groupBy("k", "key").agg((F.min("component") != F.max("component")).alias("apart"), F.max("size").alias("size")).filter("apart and size > 2").select("k", "key")
+    left = common.cut(at.join(apart, ["k", "key"]), "left")
+    seq = common.cut(sequences(docs, left.select("id").distinct()), "sequences")
+    links = links.unionByName(common.cut(remaining(left.join(nodes, "id").join(seq, "id")), "links"))
     comp = common.cut(graph.components(links), "components")
 
     by_text = _named(firsts.withColumnRenamed("node", "id"), comp).select("e1", "e2", F.col("component").alias("class"))
