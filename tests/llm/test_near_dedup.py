@@ -1,6 +1,7 @@
 """Near-duplicate classes on small made-up tables."""
 
 import random
+from collections import defaultdict
 
 from wakeline.llm import near_dedup
 
@@ -50,3 +51,27 @@ def test_every_pair_that_agrees_on_a_sketch_counts(spark):
                 group = [low if g == high else g for g in group]
     assert len(set(group)) < len(texts)
     assert {r.doc_id: r.class_id for r in classes(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])} == dict(enumerate(group))
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(150)] for _ in range(6)]
+    text = [" ".join(w) for w in words]
+    copy = " ".join(edited(rng, words[1], 1))
+    rows = [
+        (None, text[0]), (None, text[1]), (4, copy), (7, text[2]), (7, text[3]), (7, " ".join(edited(rng, words[3], 1))),
+        (8, text[4]), (8, text[4]), (None, text[5]), (None, text[5]), (9, ""), (9, ""), (None, None), (None, " "),
+    ]
+    got = defaultdict(list)
+    for r in near_dedup.classified(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.class_id].append((r.doc_id, r.n_shingles, r.kept))
+    members = sorted(sorted(str(i) for i, _, _ in c) for c in got.values())
+    assert members == sorted([["None"], ["4", "None"], ["7"], ["7", "7"], ["8", "8"], ["None", "None"], ["9"], ["9"], ["None"], ["None"]])
+    assert all(sum(kept for _, _, kept in c) == 1 for c in got.values())
+    assert {4, 7, 8, 9} <= set(got) and sum(k < 0 for k in got) == 6
+
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in near_dedup.stage(spark, docs, "").collect()]
+    for row in ((None, text[0]), (4, copy), (7, text[2]), (8, text[4]), (None, text[5]), (None, None), (None, " ")):
+        assert left.count(row) == 1, row
+    assert left.count((9, "")) == 2 and (None, text[1]) not in left and sum(i == 7 for i, _ in left) == 2 and len(left) == 10

@@ -13,9 +13,12 @@ that are dealt over tasks: a pair whose lengths or whose number of common shingl
 other one is aligned, unless a link found in the block has put the two together. So each pair that agrees on a sketch is
 compared or in one class already. Classes are the connected components of the links.
 
-Ids are integers. Defined results: texts without words (null, empty) are a class of their own each; a text of fewer than
-five words is one shingle; equal word sequences always share a class; repeated rows keep their number; a null id gets
-a class from its text; the class id is the smallest id in the class.
+Ids are integers. A row is known by its id, a hash of its text (null ids match) and a number of its own, never by the id
+alone. Defined results: texts without words (null, empty) are a class of their own each; a text of fewer than five words
+is one shingle; equal word sequences always share a class; repeated rows keep their number and share a class; a class
+keeps one row, the one with the smallest id (a null id comes last; of equal ids, by the hash of the text). The class id is
+the smallest id in the class; a class without an id, or whose smallest id another class already has (ids may repeat),
+gets a negative number from its text, or from the row's number if there are no words.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 PICKS = 3
-#: Members of a bucket that are held against as many others at once, about.
-BLOCK = 512
+#: Members of a bucket, and their shingles, that are held against as many others at once, about.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Counted ids up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -129,7 +132,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, own_id, e1 and e2 (hash of the word sequence), n (shingles), keys."""
+    """own_id, text_hash, e1 and e2 (hash of the word sequence), n (shingles), keys, row (a number of its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,14 +145,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 h = shingles(tokens)
                 n.append(len(h))
                 keys.append(sketch(h).view(np.int64) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (e1, e2, n)), pa.array(keys, pa.list_(pa.int64()))], ["own_id", "e1", "e2", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in (e1, e2, n)), pa.array(keys, pa.list_(pa.int64()))], ["own_id", "text_hash", "e1", "e2", "n", "keys"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "own_id long, e1 long, e2 long, n long, keys array<long>")
-    return out.withColumn("id", F.coalesce("own_id", -1 - F.pmod("e1", F.lit(1 << 62))))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return out.mapInArrow(run, "own_id long, text_hash long, e1 long, e2 long, n long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingle sequences (32 bits a shingle) of the documents in ``ids``."""
+    """Shingle sequences (32 bits a shingle) of the nodes ``ids`` (id, own_id, own_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +160,12 @@ def sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(seq, pa.binary())], ["id", "seq"])
 
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").mapInArrow(run, "id long, seq binary").dropDuplicates(["id"])
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = held.join(wanted, held["doc_id"].eqNullSafe(wanted["own_id"]) & (held["text_hash"] == wanted["own_hash"]))
+    return found.select("id", "text").mapInArrow(run, "id long, seq binary").dropDuplicates(["id"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) that the alignment links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float = SIMILARITY) ->
             near = [similarity(*(np.frombuffer(x[k].as_py(), "<u4") for x in (sa, sb))) >= threshold for k in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    ids = common.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    ids = common.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(nodes, "id").select("id", "own_id", "own_hash"), "ids")
     seq = common.cut(sequences(docs, ids), "sequences")
     of = lambda c: seq.select(F.col("id").alias(c), F.col("seq").alias(f"seq_{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a long, b long")
@@ -212,7 +217,7 @@ def _links(batch: pa.RecordBatch) -> tuple[list[int], list[int]]:
 
 
 def remaining(members: DataFrame) -> DataFrame:
-    """Links (a, b) that join components within a bucket (k, key, size); ``members`` has id, n, component, keys, seq."""
+    """Links (a, b) that join components within a bucket (k, key, size, total); ``members`` has id, n, component, keys, seq."""
     cells = ["k", "key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +236,7 @@ def remaining(members: DataFrame) -> DataFrame:
         if held is not None:
             yield found(held)
 
-    blocks = F.ceil(F.col("size") / BLOCK)
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("k", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "component", "keys", "seq")
     return dealt.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long")
@@ -242,33 +247,56 @@ def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
     return nodes.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _first():
+    """Orders the rows of a class; the least one stands for it."""
+    return F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "text_hash", "row")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row: doc_id, class_id, n_shingles, kept (the row that stands for its class)."""
+    return classified(df, id_col, text_col).drop("text_hash")
+
+
+def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``classes`` with the hash of each text, text_hash."""
     docs = common.keyed(df, id_col, text_col)
     rows = common.cut(sketches(docs), "sketches")
-    firsts = rows.filter("n > 0").groupBy("e1", "e2").agg(F.min("id").alias("node"))
-    nodes = rows.join(firsts, ["e1", "e2"]).filter("id = node").select("id", "n", "keys").dropDuplicates(["id"])
-    nodes = common.cut(nodes, "nodes")
+    # A node stands for a word sequence: its row of the smallest id, numbered anew.
+    firsts = rows.filter("n > 0").groupBy("e1", "e2").agg(F.min(_first()).alias("first")).select(F.col("first.row").alias("row"), "first")
+    nodes = rows.join(firsts, "row")
+    nodes = common.cut(nodes.select(F.col("row").alias("id"), "n", "keys", "own_id", F.col("text_hash").alias("own_hash"), "e1", "e2", "first"), "nodes")
 
     placed = nodes.select("id", "n", F.posexplode("keys").alias("k", "key"))
     centres = placed.groupBy("k", "key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size"))
     joined = placed.join(centres, ["k", "key"]).select("id", "n", "k", "key", F.col("c.id").alias("centre"), F.col("c.n").alias("m"), "size")
     shared = common.cut(joined.filter("size > 1"), "shared")
     pairs = common.cut(shared.filter((F.col("id") != F.col("centre")) & _alike("n", "m")).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    links = common.cut(verify(pairs, docs), "links")
+    links = common.cut(verify(pairs, docs, nodes), "links")
     comp = graph.components(links)
 
     # Buckets whose members are in different components: their other pairs.
-    at = _named(shared, comp).select("id", "k", "key", "size", "component")
-    apart = at.groupBy("k", "key").agg((F.min("component") != F.max("component")).alias("apart"), F.max("size").alias("size")).filter("apart and size > 2").select("k", "key")
-    left = common.cut(at.join(apart, ["k", "key"]), "left")
-    seq = common.cut(sequences(docs, left.select("id").distinct()), "sequences")
+    at = _named(shared, comp).select("id", "n", "k", "key", "size", "component")
+    apart = at.groupBy("k", "key").agg((F.min("component") != F.max("component")).alias("apart"), F.max("size").alias("size"), F.sum("n").alias("total")).filter("apart and size > 2").select("k", "key", "total")
+    left = common.cut(at.drop("n").join(apart, ["k", "key"]), "left")
+    seq = common.cut(sequences(docs, left.select("id").distinct().join(nodes, "id").select("id", "own_id", "own_hash")), "sequences")
     links = links.unionByName(common.cut(remaining(left.join(nodes, "id").join(seq, "id")), "links"))
     comp = common.cut(graph.components(links), "components")
 
-    by_text = _named(firsts.withColumnRenamed("node", "id"), comp).select("e1", "e2", F.col("component").alias("class"))
-    out = rows.join(by_text, ["e1", "e2"], "left").withColumn("class", F.coalesce("class", "id"))
-    return out.select(F.col("own_id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").alias("n_shingles"), (F.col("id") == F.col("class")).alias("kept"))
+    # The names of the classes: their smallest ids, each given once.
+    named = common.cut(_named(nodes.select("id", "e1", "e2", "first"), comp), "named")
+    heads = named.groupBy("component").agg(F.min("first").alias("head"), F.min(-1 - F.pmod("e1", F.lit(1 << 62))).alias("spare")).select("head", "spare")
+    lone = rows.filter("n = 0").select(_first().alias("head"), (F.lit(-(1 << 62) - 1) - F.col("row")).alias("spare"))
+    heads = common.cut(heads.unionByName(lone).select("head.*", "spare"), "heads")
+    owners = heads.filter("not no_id").groupBy("own_id").agg(F.min(F.struct("text_hash", "row")).alias("owner"))
+    names = heads.filter("not no_id").join(owners, "own_id").select("row", F.when(F.col("row") == F.col("owner.row"), F.col("own_id")).otherwise(F.col("spare")).alias("class"))
+    names = common.cut(names.unionByName(heads.filter("no_id").select("row", F.col("spare").alias("class"))), "names").withColumnRenamed("row", "head")
+
+    tops = named.groupBy("component").agg(F.min("first")["row"].alias("head")).join(names, "head")
+    by_text = named.join(tops, "component").select("e1", "e2", "head", "class")
+    worded = rows.filter("n > 0").join(by_text, ["e1", "e2"])
+    wordless = rows.filter("n = 0").join(names, F.col("row") == F.col("head"))
+    columns = [F.col("own_id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").alias("n_shingles"), (F.col("row") == F.col("head")).alias("kept"), "text_hash"]
+    return worded.select(columns).unionByName(wordless.select(columns))
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +304,16 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: the one with the smallest id."""
-    kept = classes(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    """Keeps one row of each class: the one with the smallest id. Every row without words stays."""
+    keys = classified(docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated"))
+    keys = common.cut(keys.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "repeated"), "kept")
+    held = docs.withColumn("text_hash", F.xxhash64(common.text_of("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    out = held.join(keys.filter("not repeated"), same, "left_semi").select(columns)
+    repeated = keys.filter("repeated")
+    if n := repeated.count():
+        some = held.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, same, "left_semi")
+        one = some.groupBy("doc_id", "text_hash").agg(F.min(F.struct(columns[1:])).alias("x"))
+        out = out.unionByName(one.select("doc_id", "x.*"))
+    return out
