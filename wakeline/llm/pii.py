@@ -102,7 +102,9 @@ _SPELLED = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64} ?(?:@|\(at\)|\[at\]|\{at\}|
 _DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}(?![0-9])", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[ .-]?|1[ .-])?\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _TEN = re.compile(r"[0-9]{3}[ .-][0-9]{4}")
-_OBSCURED = (" dot ", "dot)", "dot]", "dot}", "[.]", "(.)", "(at)", "[at]", "{at}")
+#: One of these stands in every text that ``_SPELLED``, or ``_DEFANGED``, matches.
+_AT = ("@", "(at)", "[at]", "{at}", " at ")
+_DOT = ("dot)", "dot]", "[.]", "(.)")
 
 
 def proposals(text: str, base: list[Span]) -> list[Span]:
@@ -113,7 +115,7 @@ def proposals(text: str, base: list[Span]) -> list[Span]:
             groups = [x.span() for x in _DIGITS.finditer(text, *m.span())]
             for i, (s, e) in enumerate(groups):
                 n = e - s
-                for j in range(i, min(i + 8, len(groups))):
+                for j in range(i, len(groups)):
                     n += groups[j][1] - groups[j][0] if j > i else 0
                     if n > 19:
                         break
@@ -126,16 +128,19 @@ def proposals(text: str, base: list[Span]) -> list[Span]:
         for m in _PLUS.finditer(text):
             ends = [x.end() for x in _DIGITS.finditer(text, m.start(), m.end())]
             n, at = 0, m.start()
-            for e in ends[:12]:
+            for e in ends:
                 n += len(_NOT_DIGIT.sub("", text[at:e]))
                 at = e
+                if n > 15:
+                    break
                 if 7 <= n <= 15:
                     found.add((PHONE, m.start(), e))
     if _TEN.search(text):
         found.update((PHONE, *m.span()) for m in _LOCAL_PHONE.finditer(text))
     low = text.lower()
-    if any(x in low for x in _OBSCURED):
+    if any(x in low for x in _AT):
         found.update((EMAIL, *m.span()) for m in _SPELLED.finditer(text))
+    if any(x in low for x in _DOT):
         found.update((IP, *m.span()) for m in _DEFANGED.finditer(text))
     return sorted(found.difference(base))
 
@@ -194,9 +199,11 @@ def rewritten(text: str, span: Span) -> list[tuple[str, Span, bool]]:
         name, _, domain = body.partition("@")
         for at, dot in ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot ")):
             put(name + at + domain.replace(".", dot))
+        for at in (" @ ", "@ ", " @", " at "):
+            put(name + at + domain)
         for form in ("jane.doe (at) example (dot) com", "info[at]example[dot]org", "maria_lopez at example dot net"):
             put(form)
-        for form in ("look at this dot matrix", f"{name} at 7 dot 30", "best at polka dot"):
+        for form in ("look at this dot matrix", f"{name} at 7 dot 30", "best at polka dot", "look at this. Then", "arrived at noon. It", f"{name} at home. We", "met at last.next"):
             put(form, true=False)
     elif kind == IP:
         put(body.replace(".", "[.]"))
