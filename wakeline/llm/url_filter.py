@@ -5,9 +5,10 @@ up to three characters, smoothed from order to order (Witten-Bell: a context see
 gives d / (n + d) of its mass to the next shorter context). Every other url is judged by its mean log-likelihood
 difference per character against a threshold calibrated on held-out judged urls.
 
-Characters are 32 symbols (letters without case, one for digits, four for marks, one for the start), so the models are
-at most 32^4 numbers whatever the table's size, and are broadcast; a url's characters are summed before anything is
-shuffled. Everything runs in DataFrame operations.
+Characters are 32 symbols (letters without case, one for digits, four for marks, one for the start). What is broadcast are
+the ratios of the four-symbol sequences seen in training, 32^4 at most whatever the table's size, and 32^3 numbers each
+for leaving a context and for the next shorter one. A url's characters are summed before anything is shuffled.
+Everything runs in DataFrame operations.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; a null or empty url is blocked;
 repeated rows get the same verdict each; without judged urls of both kinds the difference is 0 and the verdict allow.
@@ -70,34 +71,58 @@ def _code(text: Column, at: Column, size: int) -> Column:
 
 @dataclass
 class Model:
-    table: DataFrame  # code of four symbols, llr; 32^4 rows
+    """Log-likelihood ratios, allowed to blocked. All three tables are bounded by the number of symbols."""
+
+    seen: DataFrame  # code of four symbols, llr: those seen in training, 32^4 at most
+    escape: DataFrame  # context of three symbols, escape: what leaving it adds, 32^3 at most
+    shorter: DataFrame  # code of three symbols, short_llr: 32^3
     threshold: float
 
 
-def _probabilities(counts: DataFrame, side: str) -> DataFrame:
-    """(code of four symbols, natural log of the probability of the last one given the three before)."""
+def _sides(f) -> list[Column]:
+    return [f(side).alias(out) for side, out in (("good", "good"), ("bad", "bad"))]
+
+
+def _smoothed(side: str, shorter: str) -> Column:
+    """n / (n + d) of the count and d / (n + d) of the shorter context; all of that, where the context is not known."""
+    total, kinds = F.col(f"{side}_total"), F.col(f"{side}_kinds")
+    known = (F.coalesce(side, F.lit(0)) + kinds * F.col(shorter)) / (total + kinds)
+    return F.when(F.coalesce(total, F.lit(0)) > 0, known).otherwise(F.col(shorter))
+
+
+def _tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of a model from ``counts`` (gram of four symbols, good, bad)."""
     spark = counts.sparkSession
-    n = F.col(side)
-    lower = spark.range(SYMBOLS).select(F.col("id").alias("code"), F.lit(1.0 / SYMBOLS).alias("p"))
+    shorter = spark.range(1).select(F.lit(0).cast("long").alias("rest"), *_sides(lambda side: F.lit(1.0 / SYMBOLS)))
     for order in range(ORDER + 1):
         grams = SYMBOLS ** (order + 1)
-        seen = counts.filter(n > 0).groupBy(F.pmod("gram", F.lit(grams)).alias("code")).agg(F.sum(n).alias("n"))
-        contexts = seen.groupBy(F.floor(F.col("code") / SYMBOLS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        all_grams = spark.range(grams).select(F.col("id").alias("code"), F.floor(F.col("id") / SYMBOLS).alias("context"), F.pmod("id", F.lit(SYMBOLS if order == 0 else grams // SYMBOLS)).alias("shorter"))
-        lower = lower.withColumnsRenamed({"code": "shorter", "p": "q"})
-        joined = all_grams.join(seen, "code", "left").join(contexts, "context", "left").join(lower, "shorter")
-        lower = joined.select("code", F.when(F.col("total").isNull(), F.col("q")).otherwise((F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds"))).alias("p"))
-    return lower.select("code", F.log("p").alias("p"))
-
-
-def _scored(rows: DataFrame, url: str, model: DataFrame) -> DataFrame:
+        seen = counts.groupBy(F.pmod("gram", F.lit(grams)).cast("long").alias("code")).agg(*_sides(F.sum)) if order < ORDER else counts.withColumnRenamed("gram", "code")
+        context = F.shiftright("code", 5).alias("context")
+        totals = [x for side in ("good", "bad") for x in (F.sum(side).alias(f"{side}_total"), F.count_if(F.col(side) > 0).alias(f"{side}_kinds"))]
+        contexts = common.cut(seen.groupBy(context).agg(*totals), "contexts")
+        codes = spark.range(grams).withColumnRenamed("id", "code").join(seen, "code", "left") if order < ORDER else seen
+        codes = codes.withColumns({"context": F.shiftright("code", 5), "rest": F.pmod("code", F.lit(max(1, grams // SYMBOLS if order else 1)))})
+        below = shorter.withColumnsRenamed({"good": "good_below", "bad": "bad_below"})
+        joined = codes.join(F.broadcast(contexts), "context", "left").join(F.broadcast(below), "rest")  # 32^3 rows at most
+        level = joined.select("code", *_sides(lambda side: _smoothed(side, f"{side}_below")))
+        if order == ORDER:
+            lost = lambda side: F.when(F.col(f"{side}_total") > 0, F.log(F.col(f"{side}_kinds") / (F.col(f"{side}_total") + F.col(f"{side}_kinds")))).otherwise(0.0)
+            escape = contexts.select("context", (lost("good") - lost("bad")).alias("escape"))
+            return common.cut(level.select("code", F.log(F.col("good") / F.col("bad")).alias("llr")), "seen"), common.cut(escape, "escape"), shorter.select(F.col("rest"), F.log(F.col("good") / F.col("bad")).alias("short_llr"))
+        shorter = common.cut(level.withColumnRenamed("code", "rest"), "shorter")
+    raise AssertionError
+
+
+def _scored(rows: DataFrame, url: str, model: Model) -> DataFrame:
     """``rows`` with score: the mean difference per character of the column ``url``. Rows that repeat stay as many."""
     names = rows.columns
     u = symbols(F.col(url))
     placed = rows.select("*", u.alias("u_"), F.explode_outer(F.when(F.length(u) > ORDER, F.sequence(F.lit(1), F.length(u) - ORDER))).alias("at_"))
     grams = placed.select(*names, "at_", F.when(F.col("at_").isNotNull(), _code(F.col("u_"), F.col("at_"), ORDER + 1)).cast("long").alias("code"))
-    found = grams.join(F.broadcast(model), "code", "left")
-    summed = found.groupBy(*names).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score"), F.count_if(F.col("at_").isNull() | (F.col("at_") == 1)).alias("times_"))
+    grams = grams.withColumns({"context": F.shiftright("code", 5), "rest": F.pmod("code", F.lit(SYMBOLS**ORDER))})
+    found = grams.join(F.broadcast(model.seen), "code", "left").join(F.broadcast(model.escape), "context", "left").join(F.broadcast(model.shorter), "rest", "left")
+    value = F.coalesce("llr", F.coalesce("escape", F.lit(0.0)) + F.col("short_llr"))
+    summed = found.groupBy(*names).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("score"), F.count_if(F.col("at_").isNull() | (F.col("at_") == 1)).alias("times_"))
     return summed.select(*names, "score", F.explode(F.sequence(F.lit(1), F.col("times_"))).alias("copy_")).drop("copy_")
 
 
@@ -107,19 +132,18 @@ def train(judged: DataFrame) -> Model:
     rows = judged.filter("url is not null and length(url) > 0").select("url", symbols(F.col("url")).alias("u"), (F.col("verdict") == "allow").alias("good"), held.alias("held"))
     grams = rows.filter(~F.col("held")).select("u", "good", F.explode(F.sequence(F.lit(1), F.length("u") - ORDER)).alias("at")).select("good", _code(F.col("u"), F.col("at"), ORDER + 1).cast("long").alias("gram"))
     counts = common.cut(grams.groupBy("gram").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "grams")
-    both = _probabilities(counts, "good").join(_probabilities(counts, "bad").withColumnRenamed("p", "r"), "code")
-    table = common.cut(both.select("code", (F.col("p") - F.col("r")).alias("llr")), "ratio")
+    model = Model(*_tables(counts), 0.0)
     step = F.greatest(F.lit(-4 * STEPS), F.least(F.lit(4 * STEPS), F.floor(F.col("score") * STEPS))).cast("int")
-    found = _scored(rows.filter("held").select("url", "good"), "url", table).select("good", step.alias("step")).groupBy("step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("step").collect()
+    found = _scored(rows.filter("held").select("url", "good"), "url", model).select("good", step.alias("step")).groupBy("step").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("step").collect()
     good, bad = sum(r["good"] for r in found), sum(r["bad"] for r in found)
-    best, threshold, passed = -1.0, 0.0, [good, 0]
+    best, passed = -1.0, [good, 0]
     if good and bad:
         for r in found:  # everything from this step on is allowed
             rate = passed[0] / good + passed[1] / bad
             if rate > best:
-                best, threshold = rate, r["step"] / STEPS
+                best, model.threshold = rate, r["step"] / STEPS
             passed = [passed[0] - r["good"], passed[1] + r["bad"]]
-    return Model(table, threshold)
+    return model
 
 
 def judge(df: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES) -> DataFrame:
@@ -128,7 +152,7 @@ def judge(df: DataFrame, model: Model | None = None, id_col: str = "page_id", ur
     rows = rows.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     model = model or train(rows.filter("rule is not null").select("url", verdict_of(F.col("rule"), rules).alias("verdict")))
-    scored = _scored(rows, "url", model.table)
+    scored = _scored(rows, "url", model)
     method = F.when((F.length(F.coalesce("url", F.lit(""))) > 0) & (F.col("score") >= model.threshold), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), method).alias("verdict"), "score")
 
