@@ -1,22 +1,26 @@
 """Document likelihood over a subword lattice.
 
-The pieces of a public vocabulary, with the order of its scores, start a unigram model; expectation steps over all
-training words (each weighted by its count) re-estimate their probabilities. A text is its words, lower case, each
-opened by the word mark, then one end. Every way to spell a word in pieces counts: a forward recursion in log space
-sums the probabilities of all segmentations, and since no piece crosses a word, the marginal log probability of a text is
-the sum over its words. Characters without a piece are spelled by their UTF-8 bytes.
-
-Counts cover the whole corpus: tasks count words into tables that a shuffle adds up. To score, texts are dealt by hash
-into chunks of bounded size; each chunk meets the table only in the words it has, so that no task holds the vocabulary
-of the corpus and a common word costs a chunk one row.
+The pieces and scores are those of a published vocabulary, used as given: its scores are ranks, and a rank r weighs
+1 / (r + 10). Nothing is re-estimated; from the training rows come only the share of ends among tokens, which is the
+probability that a text ends, and the counts of the base score. A text is its words, lower case, each opened by the word
+mark, then one end. Every way to spell a word in pieces counts: a forward recursion in log space, walking a trie of the
+pieces, sums the probabilities of all segmentations, and since no piece crosses a word, the marginal log probability of a
+text is the sum over its words, the probabilities that it goes on before each, and that of its end. Characters without a piece are spelled by their UTF-8 bytes. Pieces that lower-casing
+changes cannot occur; the rest share their mass.
+
+Counts cover the whole corpus: tasks count words into tables that a shuffle adds up, and each distinct word is scored once.
+Words with a share of at least 1 / ``COMMON`` of all tokens, so at most ``COMMON`` of them, are broadcast. For the others,
+texts are dealt by hash into chunks of bounded size; each chunk meets the table only in the rare words it has, so that no
+task holds the vocabulary of the corpus and a word costs a chunk one row. The number of chunks follows the corpus.
 
 Defined results: null and empty texts have one token, the end; repeated rows get the same scores each; without training
-rows every base probability is 1.
+rows every base probability is 1 and the end has probability 1/2; a null id counts as held out.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,9 +38,9 @@ MARK = "▁"
 CHUNK_BYTES = 8 << 20
 #: Words that a task counts before it passes them on.
 HELD_WORDS = 400_000
+#: Words of at least this share of all tokens (one part in so many) are broadcast.
+COMMON = 400_000
 LN10 = math.log(10)
-#: Expectation steps, and the uses of pieces that the published order counts for in each.
-STEPS, PRIOR = 2, 100
 
 
 def tokens(text: str) -> list[bytes]:
@@ -44,64 +48,48 @@ def tokens(text: str) -> list[bytes]:
 
 
 class Pieces:
-    """Log probabilities of pieces, of bytes and of the end."""
+    """Log probabilities of pieces and of bytes: a trie of characters, a piece's under the key ``None`` of its node."""
 
     def __init__(self, names: list[str], log_p: np.ndarray) -> None:
-        self.names, self.log_p = names, log_p
         table = dict(zip(names, log_p.tolist(), strict=True))
-        self.end = table.pop(END)
-        self.bytes = [table.pop(f"<0x{b:02X}>") for b in range(256)]
+        self.bytes = [table.pop(f"<0x{b:02X}>", -math.inf) for b in range(256)]
         self.table = table
-        self.longest = max(map(len, table), default=1)
+        self.trie: dict = {}
+        for name, p in table.items():
+            node = self.trie
+            for c in name:
+                node = node.setdefault(c, {})
+            node[None] = p
 
-    def edges(self, word: str) -> list[list[tuple[int, str, float]]]:
-        """For each place after the first, the pieces that end there: start, piece, log probability."""
-        n, table, longest = len(word), self.table, self.longest
-        out: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
+    def log_word(self, word: str) -> float:
+        """Log of the summed probability of all segmentations: ``total[j]`` is that of the first j characters."""
+        word = MARK + word
+        n, trie, exp, log1p = len(word), self.trie, math.exp, math.log1p
+        total = [-math.inf] * (n + 1) if n < 10_000 else array("d", [-math.inf]) * (n + 1)
+        total[0] = 0.0
         for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = word[i:j]
-                p = table.get(piece)
+            held = total[i]
+            node = trie.get(word[i])
+            if node is None or None not in node:
+                total[i + 1] = _add(total[i + 1], held + sum(self.bytes[b] for b in word[i].encode("utf-8", "replace")))
+            j = i + 1
+            while node is not None:
+                p = node.get(None)
                 if p is not None:
-                    out[j].append((i, piece, p))
-            if word[i] not in table:
-                out[i + 1].append((i, "", sum(self.bytes[b] for b in word[i].encode("utf-8", "replace"))))
-        return out
-
-    def forward(self, edges: list[list[tuple[int, str, float]]]) -> list[float]:
-        alpha = [0.0] * len(edges)
-        for j in range(1, len(edges)):
-            terms = [alpha[i] + p for i, _, p in edges[j]]
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            else:
-                top = max(terms)
-                alpha[j] = top + math.log(sum([math.exp(t - top) for t in terms]))
-        return alpha
+                    p += held
+                    old = total[j]
+                    total[j] = p if old == -math.inf else p + log1p(exp(old - p)) if p > old else old + log1p(exp(p - old))
+                if j == n:
+                    break
+                node = node.get(word[j])
+                j += 1
+        return total[n]
 
-    def log_word(self, word: str) -> float:
-        """Log of the summed probability of all segmentations."""
-        return self.forward(self.edges(MARK + word))[-1]
 
-    def expected(self, word: str, weight: float, into: dict[str, float]) -> None:
-        """Adds the expected uses of each piece in ``weight`` words."""
-        word = MARK + word
-        edges = self.edges(word)
-        alpha = self.forward(edges)
-        beta = [-math.inf] * len(alpha)
-        beta[-1] = 0.0
-        for j in range(len(alpha) - 1, 0, -1):
-            for i, piece, p in edges[j]:
-                through = beta[j] + p
-                use = weight * math.exp(alpha[i] + through - alpha[-1])
-                if piece:
-                    into[piece] = into.get(piece, 0.0) + use
-                else:
-                    for b in word[i].encode("utf-8", "replace"):
-                        name = f"<0x{b:02X}>"
-                        into[name] = into.get(name, 0.0) + use
-                low, high = (beta[i], through) if beta[i] < through else (through, beta[i])
-                beta[i] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+def _add(a: float, b: float) -> float:
+    """Log of the sum of two numbers given by their logs."""
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 def vocabulary_path() -> str:
@@ -112,7 +100,7 @@ def vocabulary_path() -> str:
 
 @lru_cache(1)
 def published(path: str) -> Pieces:
-    """The pieces of a published vocabulary. Its scores give an order; the weight of the r-th is 1 / (r + 10)."""
+    """The pieces of a published vocabulary, weighted by its scores."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -122,8 +110,8 @@ def published(path: str) -> Pieces:
     # A piece that its own lower-casing changes never matches.
     kept = [i for i in range(n) if not (model.is_unknown(i) or model.is_control(i)) and (model.is_byte(i) or names[i] == names[i].encode().lower().decode())]
     order = sorted(kept, key=lambda i: (model.is_byte(i), -score[i], i))
-    weight = 1 / (np.arange(len(order) + 1) + 10.0)
-    return Pieces([*(names[i] for i in order), END], np.log(weight / weight.sum()))
+    weight = 1 / (np.arange(len(order)) + 10.0)
+    return Pieces([names[i] for i in order], np.log(weight / weight.sum()))
 
 
 def count_words(docs: DataFrame, training: Column) -> DataFrame:
@@ -148,83 +136,67 @@ def count_words(docs: DataFrame, training: Column) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("text", training.alias("training")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def trained(counts: DataFrame, path: str, steps: int = STEPS) -> Pieces:
-    """Expectation steps over the counted words; the driver gets a number for each piece of the vocabulary and step."""
-    spark = counts.sparkSession
-    pieces = start = published(path)
-    prior = np.exp(start.log_p)
-    for _ in range(steps):
-        now = spark.sparkContext.broadcast(pieces)
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            model, into = now.value, {}
-            for batch in batches:
-                for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                    if word == END:
-                        into[END] = into.get(END, 0.0) + c
-                    else:
-                        model.expected(word, c, into)
-            yield pa.RecordBatch.from_arrays([pa.array(into.keys(), pa.string()), pa.array(into.values(), pa.float64())], ["piece", "uses"])
+    return docs.select("text", training.alias("training")).mapInArrow(common.settled(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-        got = counts.filter("c > 0").mapInArrow(run, "piece string, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        uses = {r["piece"]: r["uses"] for r in got}
-        weight = np.array([uses.get(x, 0.0) for x in start.names]) + PRIOR * prior
-        pieces = Pieces(start.names, np.log(weight / weight.sum()))
-    return pieces
 
-
-def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk_bytes: int = CHUNK_BYTES, most_common: int = COMMON, written: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10) for each row.
 
-    ``training`` is a condition on ``doc_id`` and ``text``.
+    ``training`` is a condition on ``doc_id`` and ``text``. ``written`` says that ``df`` reads files, so that its rows come
+    in the same order each time; any other table is written first.
     """
     path = path or vocabulary_path()
     spark = df.sparkSession
     docs = common.keyed(df, id_col, text_col)
-    counts = common.cut(count_words(docs, training), "words")
-    total, kinds = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    pieces = spark.sparkContext.broadcast(trained(counts, path))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rest = math.log10(total + 0.1 * (kinds + 1))
+    counts = count_words(docs, training)
 
     def with_log(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces.value
+        pieces = published(path)
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([(p.end if w == END else p.log_word(w)) / LN10 for w in words])], ["word", "c", "log_p"])
-
-    words = common.cut(counts.mapInArrow(with_log, "word string, c long, log_p double"), "scored-words")
-    groups = max(48, size // chunk_bytes)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
+            log_p = [pieces.log_word(w) / LN10 if w else 0.0 for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_p, pa.float64())], ["word", "c", "log_p"])
 
-    def distinct(table: pa.Table) -> pa.Table:
-        found = set().union([b""], *(tokens(t) for t in table.column("text").to_pylist()))
+    words = common.cut(counts.mapInArrow(common.settled(with_log), "word string, c long, log_p double"), "words")
+    total, kinds, ends = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
+    rest = math.log10(total + 0.1 * (kinds + 1))
+    ending = (ends + 0.5) / (total + 1)
+    log_end, log_on = math.log10(ending), math.log10(1 - ending) if ending < 1 else 0.0
+    often = words.filter((F.col("word") != END) & (F.col("c") * most_common >= total) & (F.col("c") > 0))
+    often = [(r["word"].encode(), r["c"], r["log_p"]) for r in often.collect()]
+    end = (math.log10(ends + 0.1) - rest, log_end, ends)
+    known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1) - rest, p + log_on, c) for w, c, p in often} | {b"": end})
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = int(max(48, size // chunk_bytes))
+    # The row's place spreads repeated rows over the chunks; a text's scores do not depend on its chunk.
+    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = (placed if written else common.cut(placed, "dealt")).repartition(groups, "chunk")
+
+    def rare(table: pa.Table) -> pa.Table:
+        often = known.value
+        found = set().union(*(tokens(t) for t in table.column("text").to_pylist())).difference(often)
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int64()), "word": pa.array([w.decode() for w in found], pa.string())})
 
-    needed = dealt.groupBy("chunk").applyInArrow(distinct, "chunk long, word string").join(words, "word")
-
-    def scored(texts: pa.Table, known: pa.Table) -> pa.Table:
-        place = {w.encode(): i for i, w in enumerate(known.column("word").to_pylist())}
-        c = known.column("c").to_numpy()
-        base = np.log10(c + 0.1) - rest
-        log_p = known.column("log_p").to_numpy()
-        end = place.get(b"")
-        rows = []
+    needed = dealt.groupBy("chunk").applyInArrow(rare, "chunk long, word string").join(words, "word")
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(texts: pa.Table, own: pa.Table) -> pa.Table:
+        often = known.value
+        place = dict(zip(often, range(len(often)), strict=True))
+        place.update(zip((w.encode() for w in own.column("word").to_pylist()), range(len(often), len(often) + len(own)), strict=True))
+        c = own.column("c").to_numpy()
+        base, log_p, times = np.array(list(often.values()), float).T
+        base, log_p, times = np.concatenate([base, np.log10(c + 0.1) - rest]), np.concatenate([log_p, own.column("log_p").to_numpy() + log_on]), np.concatenate([times, c])
+        place, last, rows = place.__getitem__, place[b""], []
         for text in texts.column("text").to_pylist():
-            at = [place[w] for w in tokens(text)]
-            at.append(end)
-            rows.append((len(at), int((c[at] > 0).sum()), total, float(base[at].sum()), float(log_p[at].sum())))
-        names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table({"doc_id": texts.column("doc_id")} | dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))) if rows else pa.table({"doc_id": texts.column("doc_id")} | {k: pa.array([], pa.int64() if i < 3 else pa.float64()) for i, k in enumerate(names)})
+            found = tokens(text)
+            at = np.fromiter(map(place, found), np.int64, len(found))
+            rows.append((len(at) + 1, int((times[at] > 0).sum()) + int(times[last] > 0), total, float(base[at].sum() + base[last]), float(log_p[at].sum() + log_p[last])))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.table({"doc_id": texts.column("doc_id")} | {k: pa.array(list(x), pa.int64() if i < 3 else pa.float64()) for i, (k, x) in enumerate(zip(names, columns, strict=True))})
 
     schema = StructType([docs.schema["doc_id"]])
-    for k in ("n_tokens", "n_known", "train_tokens"):
-        schema = schema.add(k, LongType())
-    for k in ("base_score", "score"):
-        schema = schema.add(k, DoubleType())
+    for i, k in enumerate(names):
+        schema = schema.add(k, LongType() if i < 3 else DoubleType())
     return dealt.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(scored, schema)
 
 
@@ -233,5 +205,6 @@ def in_training(id_col: Column) -> Column:
 
 
 def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(common.read(spark, sf_dir, "documents"), in_training(F.col("doc_id")))
+    out = score(common.read(spark, sf_dir, "documents"), in_training(F.col("doc_id")), written=True)
     return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
