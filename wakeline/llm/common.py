@@ -1,39 +1,43 @@
-"""Helpers shared by the text operators: work folder, plan cuts, batch walking."""
+"""Helpers shared by the text operators: batch walking, settled tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_CHUNK = 4 << 20
+from wakeline.sources.work import cut, work_dir  # noqa: F401
 
+#: Characters that are looked at together.
+TEXT_CHUNK = 1 << 19
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``).
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    Only a single-machine session that names none gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="wakeline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
 
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/wakeline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def settled(run: Run) -> Run:
+    """``run`` for ``mapInArrow``, giving memory back when its task ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,8 +45,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def crc_of_id(id_col: Column) -> Column:
-    """crc32 of the id written as text: the split hash of the held-out rows."""
-    return F.crc32(id_col.cast("string").cast("binary"))
+    """crc32 of the id written as text: the split hash of the held-out rows. A null id has 0."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")), F.lit(0).cast("long"))
 
 
 def text_of(column: str = "text") -> Column:

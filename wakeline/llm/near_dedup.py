@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import common, graph
+from wakeline.llm import common
+from wakeline.operators import graph
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -57,7 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -148,7 +149,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, pa.int64()) for x in (e1, e2, n)), pa.array(keys, pa.list_(pa.int64()))], ["own_id", "text_hash", "e1", "e2", "n", "keys"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return out.mapInArrow(run, "own_id long, text_hash long, e1 long, e2 long, n long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+    return out.mapInArrow(common.settled(run), "own_id long, text_hash long, e1 long, e2 long, n long, keys array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = held.join(wanted, held["doc_id"].eqNullSafe(wanted["own_id"]) & (held["text_hash"] == wanted["own_hash"]))
-    return found.select("id", "text").mapInArrow(run, "id long, seq binary").dropDuplicates(["id"])
+    return found.select("id", "text").mapInArrow(common.settled(run), "id long, seq binary").dropDuplicates(["id"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -177,7 +178,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float
     ids = common.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(nodes, "id").select("id", "own_id", "own_hash"), "ids")
     seq = common.cut(sequences(docs, ids), "sequences")
     of = lambda c: seq.select(F.col("id").alias(c), F.col("seq").alias(f"seq_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "seq_a", "seq_b").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "seq_a", "seq_b").mapInArrow(common.settled(run), "a long, b long")
 
 
 def _alike(n: str, m: str):
@@ -239,7 +240,7 @@ def remaining(members: DataFrame) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("k", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "n", "component", "keys", "seq")
-    return dealt.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*cells).sortWithinPartitions(*cells).mapInArrow(common.settled(run), "a long, b long")
 
 
 def _named(nodes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -253,7 +254,7 @@ def _first():
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: doc_id, class_id, n_shingles, kept (the row that stands for its class)."""
+    """A row for each row: doc_id, class_id, n_shingles, class_size (rows of the class), kept (the row that stands for its class)."""
     return classified(df, id_col, text_col).drop("text_hash")
 
 
@@ -262,9 +263,9 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = common.keyed(df, id_col, text_col)
     rows = common.cut(sketches(docs), "sketches")
     # A node stands for a word sequence: its row of the smallest id, numbered anew.
-    firsts = rows.filter("n > 0").groupBy("e1", "e2").agg(F.min(_first()).alias("first")).select(F.col("first.row").alias("row"), "first")
+    firsts = rows.filter("n > 0").groupBy("e1", "e2").agg(F.min(_first()).alias("first"), F.count("*").alias("copies")).select(F.col("first.row").alias("row"), "first", "copies")
     nodes = rows.join(firsts, "row")
-    nodes = common.cut(nodes.select(F.col("row").alias("id"), "n", "keys", "own_id", F.col("text_hash").alias("own_hash"), "e1", "e2", "first"), "nodes")
+    nodes = common.cut(nodes.select(F.col("row").alias("id"), "n", "keys", "own_id", F.col("text_hash").alias("own_hash"), "e1", "e2", "first", "copies"), "nodes")
 
     placed = nodes.select("id", "n", F.posexplode("keys").alias("k", "key"))
     centres = placed.groupBy("k", "key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size"))
@@ -283,7 +284,7 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     comp = common.cut(graph.components(links), "components")
 
     # The names of the classes: their smallest ids, each given once.
-    named = common.cut(_named(nodes.select("id", "e1", "e2", "first"), comp), "named")
+    named = common.cut(_named(nodes.select("id", "e1", "e2", "first", "copies"), comp), "named")
     heads = named.groupBy("component").agg(F.min("first").alias("head"), F.min(-1 - F.pmod("e1", F.lit(1 << 62))).alias("spare")).select("head", "spare")
     lone = rows.filter("n = 0").select(_first().alias("head"), (F.lit(-(1 << 62) - 1) - F.col("row")).alias("spare"))
     heads = common.cut(heads.unionByName(lone).select("head.*", "spare"), "heads")
@@ -291,11 +292,11 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = heads.filter("not no_id").join(owners, "own_id").select("row", F.when(F.col("row") == F.col("owner.row"), F.col("own_id")).otherwise(F.col("spare")).alias("class"))
     names = common.cut(names.unionByName(heads.filter("no_id").select("row", F.col("spare").alias("class"))), "names").withColumnRenamed("row", "head")
 
-    tops = named.groupBy("component").agg(F.min("first")["row"].alias("head")).join(names, "head")
-    by_text = named.join(tops, "component").select("e1", "e2", "head", "class")
+    tops = named.groupBy("component").agg(F.min("first")["row"].alias("head"), F.sum("copies").alias("size")).join(names, "head")
+    by_text = named.join(tops, "component").select("e1", "e2", "head", "class", "size")
     worded = rows.filter("n > 0").join(by_text, ["e1", "e2"])
-    wordless = rows.filter("n = 0").join(names, F.col("row") == F.col("head"))
-    columns = [F.col("own_id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").alias("n_shingles"), (F.col("row") == F.col("head")).alias("kept"), "text_hash"]
+    wordless = rows.filter("n = 0").join(names, F.col("row") == F.col("head")).withColumn("size", F.lit(1).cast("long"))
+    columns = [F.col("own_id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").alias("n_shingles"), F.col("size").alias("class_size"), (F.col("row") == F.col("head")).alias("kept"), "text_hash"]
     return worded.select(columns).unionByName(wordless.select(columns))
 
 

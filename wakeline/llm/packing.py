@@ -38,7 +38,7 @@ NODES = 4000
 #: Fillings tried at each branch.
 FILLINGS = 4
 #: Words whose ids a task keeps.
-CACHE = 400_000
+CACHE = 200_000
 #: The byte-level split before merging, in the terms of Python's own ``re``. Other numbers than decimal digits and four
 #: control characters count differently there; texts with one of those (``ODD``) go through the tokenizer itself.
 WORDS = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -127,12 +127,15 @@ def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     length.append(size)
                     crc.append(zlib.crc32(part))
                     if keep_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                        ids.append(part)
                     at += size
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(piece, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, schema.names)
+            if keep_ids:
+                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), values))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.settled(run), schema)
 
 
 # The plan, on the driver.
@@ -318,7 +321,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = p["sequence"][at] + step // p["per"][at], p["offset"][at] + step % p["per"][at] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(common.settled(run), schema)
 
 
 def tokenizer_path() -> str:
@@ -338,4 +341,5 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """A row for each piece, with its token ids: those of a sequence, laid by ``offset``, are one training sequence."""
+    return pack_documents(docs, keep_ids=True).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")

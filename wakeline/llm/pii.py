@@ -293,7 +293,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
             held, kind, y, x = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.bool_()), pa.array(kind, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["held", "kind", "y", "x"])
 
-    got = chosen.mapInArrow(run, "held boolean, kind int, y int, x array<double>").toPandas()
+    got = chosen.mapInArrow(common.settled(run), "held boolean, kind int, y int, x array<double>").toPandas()
     rows = sorted(zip(got["kind"], got["y"], map(tuple, got["x"]), got["held"], strict=True))
     kind, y, x, held = (np.array([r[i] for r in rows]) for i in range(4))
     return Model(kind, y.astype(float), x.reshape(len(rows), -1) if rows else x, held.astype(bool))
@@ -339,7 +339,7 @@ def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.settled(run), schema)
 
 
 def redacted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -352,7 +352,7 @@ def redacted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             texts = [t if t is None else redact(t, find(held.value, t)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.settled(run), df.schema)
 
 
 def op1_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def _frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), TERMS], pa.int32()), pa.array([*held[some].tolist(), n], pa.int64())], ["term", "n"])
 
     out = np.zeros(TERMS + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(common.settled(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out[:TERMS], int(out[TERMS])
 
@@ -157,7 +157,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array([b[0] for b in bags], pa.list_(pa.int64())), pa.array([b[1] for b in bags], pa.list_(pa.float64()))], ["doc_id", "good", "columns", "weight"])
 
     schema = StructType([docs.schema["doc_id"]]).add("good", IntegerType()).add("columns", ArrayType(LongType())).add("weight", ArrayType(DoubleType()))
-    got = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "good", "text").mapInArrow(run, schema).toPandas()
+    got = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "good", "text").mapInArrow(common.settled(run), schema).toPandas()
     rows = sorted(((i, g, tuple(c), tuple(w)) for i, g, c, w in zip(got["doc_id"], got["good"], got["columns"], got["weight"], strict=True)), key=lambda r: (r[0], r[1]))
     seen, n = _frequencies(docs)
     idf = np.log((n + 1) / (seen + 1)) + 1
@@ -172,7 +172,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held.value.score(common.strings(batch, "text")))], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"]]).add("score", DoubleType()))
+    return rows.mapInArrow(common.settled(run), StructType([rows.schema["doc_id"]]).add("score", DoubleType()))
 
 
 def in_training(id_col: Column) -> Column:

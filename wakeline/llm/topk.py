@@ -115,7 +115,7 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: st
                 q, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
-    best = met.select("dim", "block", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+    best = met.select("dim", "block", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(common.settled(run), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
