@@ -7,21 +7,37 @@ docs. All but the last return the columns of ``documents``:
 2. near_dedup: of each class of near-duplicates one document stays;
 3. decontaminate: documents that hold a benchmark window go;
 4. pii: personal data in the texts is replaced by its kind;
-5. pack: the texts are tokenised and packed into sequences.
+5. pack: the texts are tokenised and packed into sequences, token ids included.
+
+Nulls, empty and repeated rows mean in a stage what its operator says; empty tables give an empty result. The operators
+are imported when a stage runs, so that this module can be imported without them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import common, decontaminate, language_id, near_dedup, packing, pii
+from wakeline.sources import work
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(module: str) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return import_module(f"wakeline.llm.{module}").stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
-STAGES = [
-    ("language", language_id.stage),
-    ("near_dedup", near_dedup.stage),
-    ("decontaminate", decontaminate.stage),
-    ("pii", pii.stage),
-    ("pack", packing.stage),
+STAGES: list[tuple[str, Stage]] = [
+    ("language", _stage("language_id")),
+    ("near_dedup", _stage("near_dedup")),
+    ("decontaminate", _stage("decontaminate")),
+    ("pii", _stage("pii")),
+    ("pack", _stage("packing")),
 ]
 
 #: SQL cannot express the trained stages; the tests hold the whole against a brute-force version.
@@ -30,9 +46,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
-    docs = common.read(spark, sf_dir, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        docs = work.cut(stage(spark, docs, sf_dir), name)
     return docs
 
 
