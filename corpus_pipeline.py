@@ -9,7 +9,8 @@ docs. All but the last return the columns of ``documents``:
 4. pii: personal data in the texts is replaced by its kind;
 5. pack: the texts are tokenised and packed into sequences, token ids included.
 
-Nulls, empty and repeated rows mean in a stage what its operator says; empty tables give an empty result. The operators
+A stage begins by deleting the work tables of the stage before, unless its docs still read them (its result was not
+written). Nulls, empty and repeated rows mean in a stage what its operator says; empty tables give an empty result. The operators
 are imported when a stage runs, so that this module can be imported without them.
 """
 
@@ -25,9 +26,19 @@ from wakeline.sources import work
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Work tables of the stage before, which its written result has made useless.
+_left: list[str] = []
+
+
 def _stage(module: str) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return import_module(f"wakeline.llm.{module}").stage(spark, docs, sf_dir)
+        files = docs.inputFiles() if _left else []
+        work.remove(spark, [x for x in _left if not any(x.removeprefix("file:").lstrip("/") in f for f in files)])
+        _left.clear()
+        with work.tables_written() as tables:
+            out = import_module(f"wakeline.llm.{module}").stage(spark, docs, sf_dir)
+        _left.extend(tables)
+        return out
 
     return run_stage
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
@@ -27,5 +31,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/wakeline/{name}-{uuid.uuid4().hex}"
+    for held in _scopes:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def tables_written() -> Iterator[list[str]]:
+    """Collects the paths of the tables that ``cut`` writes inside, for ``remove`` when no DataFrame needs them any more."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield held
+    finally:
+        _scopes.remove(held)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables of the work folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
