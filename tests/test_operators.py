@@ -1,8 +1,10 @@
 """Operators on small literal tables: ties, nulls, repeated rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wakeline.operators import asof, audit, forward, fusion, graph
+from wakeline.operators.buckets import box_join, radius_join
 
 HOUR = 3_600_000_000
 
@@ -59,3 +61,22 @@ def test_bootstrap_of_constant_tiles(spark):
     tiles = spark.createDataFrame([(k, 1, 1, 0) for k in range(50)], "tile int, tp int, fp int, fn int")
     r = audit.bootstrap_ci(tiles, 20).collect()[0]
     assert (r["mean"], r.lo, r.hi, r.draws) == (0.5, 0.5, 0.5, 20)
+
+
+def test_radius_join_at_antimeridian_and_poles(spark):
+    rng = np.random.default_rng(3)
+    lon = np.concatenate([rng.uniform(178, 182, 60), rng.uniform(-180, 180, 60), rng.uniform(-5, 5, 60)])
+    lat = np.concatenate([rng.uniform(-3, 3, 60), rng.uniform(84, 90, 30), rng.uniform(-90, -86, 30), rng.uniform(59, 61, 60)])
+    lon = (lon + 180) % 360 - 180
+    made = lambda i: spark.createDataFrame([(int(k), float(lon[k]), float(lat[k])) for k in range(180)], f"{i} long, lon double, lat double")
+    p, q, x = np.radians(lat), np.radians(lat)[:, None], np.radians(lon)
+    d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, np.sin((p - q) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin((x - x[:, None]) / 2) ** 2)))
+    for km in (30.0, 200.0, 3000.0):
+        got = {(r.a, r.b) for r in radius_join(made("a"), made("b"), km).collect()}
+        assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= km), strict=True)}
+
+
+def test_box_join_over_the_antimeridian(spark):
+    points = spark.createDataFrame([(1, 0, 179.9, 1.0), (2, 0, -179.9, 1.0), (3, 0, 0.0, 1.0), (4, 0, -179.9, 89.0)], "p int, k int, lon double, lat double")
+    boxes = spark.createDataFrame([(1, 0, 179.0, 181.0, 0.0, 2.0), (2, 0, -400.0, 400.0, 88.0, 95.0), (3, 0, -180.5, -179.95, 0.0, 2.0)], "b int, k int, lon0 double, lon1 double, lat0 double, lat1 double")
+    assert {(r.p, r.b) for r in box_join(points, boxes, ("k",)).collect()} == {(1, 1), (2, 1), (4, 2), (1, 3)}

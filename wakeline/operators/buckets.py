@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import KM_PER_DEG_LAT, haversine_km
+from wakeline.functions.geo import EARTH_KM, haversine_km
+
+
 
 NEAR = (-1, 0, 1)
 
@@ -14,22 +19,37 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def _around(c: str) -> Column:
-    return F.explode(F.array(*(F.col(c) + k for k in NEAR)))
+def _bands(radius_km: float) -> tuple[float, Callable[[Column], Column]]:
+    """Height of a latitude band, and the number of cells around the globe in a band: as many as are at least as wide as
+    the radius anywhere in the band or next to it, one near the poles."""
+    half = min(math.pi / 2, radius_km / (2 * EARTH_KM))
+    dy = math.degrees(2 * half) * 1.01
+
+    def around(band: Column) -> Column:
+        top = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * dy - 90.0), F.abs((band + 2) * dy - 90.0)))
+        reach = math.sin(half) * 1.01 / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+        width = 2.0 * F.degrees(F.asin(F.least(F.lit(1.0), reach)))
+        return F.greatest(F.lit(1), F.floor(360.0 / width)).cast("long")
+
+    return dy, around
+
+
+def _column_of(lon: Column, n: Column) -> Column:
+    """Cell of a longitude among ``n`` around the globe."""
+    return F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) * n / 360.0).cast("long"), n - 1)
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_km: float, lon: str = "lon", lat: str = "lat", on: tuple[str, ...] = (), how: str = "inner", max_abs_lat: float = 80.0) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius_km: float, lon: str = "lon", lat: str = "lat", on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within a radius, with ``dist_km``; right columns must have other names than left ones but for ``lon``,
-    ``lat`` (which become r_lon, r_lat) and ``on``. Cells are as wide as the radius at the latitude ``max_abs_lat``."""
-    import math
-
-    dy = radius_km / KM_PER_DEG_LAT * 1.01
-    dx = radius_km / (KM_PER_DEG_LAT * math.cos(math.radians(max_abs_lat))) * 1.01
-    small = right.withColumnRenamed(lon, "r_lon").withColumnRenamed(lat, "r_lat")
-    small = small.withColumn("_cx", cell(F.col("r_lon"), dx)).withColumn("_cy", cell(F.col("r_lat"), dy))
-    small = small.withColumn("_cx", _around("_cx")).withColumn("_cy", _around("_cy"))
-    big = left.withColumn("_cx", cell(F.col(lon), dx)).withColumn("_cy", cell(F.col(lat), dy))
-    out = big.join(small, [*on, "_cx", "_cy"], how).withColumn("dist_km", haversine_km(F.col(lat), F.col(lon), F.col("r_lat"), F.col("r_lon")))
+    ``lat`` (which become r_lon, r_lat) and ``on``. Cells go around the globe and are as wide as the radius at any
+    latitude, so that the antimeridian and the poles are no borders. Points without finite coordinates have no pair."""
+    dy, around = _bands(radius_km)
+    small = right.withColumnRenamed(lon, "r_lon").withColumnRenamed(lat, "r_lat").withColumn("_cy", cell(F.col("r_lat") + 90.0, dy))
+    small = small.withColumn("_cy", F.explode(F.array(F.col("_cy") - 1, F.col("_cy"), F.col("_cy") + 1))).withColumn("_n", around(F.col("_cy")))
+    near = _column_of(F.col("r_lon"), F.col("_n"))
+    small = small.withColumn("_cx", F.explode(F.array_distinct(F.array(*(F.pmod(near + k, F.col("_n")) for k in (-1, 0, 1)))))).drop("_n")
+    big = left.withColumn("_cy", cell(F.col(lat) + 90.0, dy)).withColumn("_cx", _column_of(F.col(lon), around(F.col("_cy"))))
+    out = big.join(small, [*on, "_cx", "_cy"]).withColumn("dist_km", haversine_km(F.col(lat), F.col(lon), F.col("r_lat"), F.col("r_lon")))
     return out.filter(F.col("dist_km") <= radius_km).drop("_cx", "_cy")
 
 
@@ -40,13 +60,17 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: st
 
 
 def box_join(points: DataFrame, boxes: DataFrame, on: tuple[str, ...], cell_deg: float = 0.5) -> DataFrame:
-    """Points (lon, lat) inside boxes (lon0, lon1, lat0, lat1) with equal keys. Boxes are dealt to the cells they touch;
-    a point has one cell."""
-    touched = boxes.withColumn("_cx", F.explode(F.sequence(cell(F.col("lon0"), cell_deg), cell(F.col("lon1"), cell_deg))))
-    touched = touched.withColumn("_cy", F.explode(F.sequence(cell(F.col("lat0"), cell_deg), cell(F.col("lat1"), cell_deg))))
-    placed = points.withColumn("_cx", cell(F.col("lon"), cell_deg)).withColumn("_cy", cell(F.col("lat"), cell_deg))
+    """Points (lon, lat) inside boxes (lon0, lon1, lat0, lat1) with equal keys. Boxes are dealt to the cells they touch, at
+    most all around the globe and from pole to pole; a point has one cell. A box may reach over +-180."""
+    n = round(360.0 / cell_deg)
+    east = F.least(F.col("lon1"), F.col("lon0") + (360.0 - cell_deg))
+    columns = F.array_distinct(F.transform(F.sequence(cell(F.col("lon0"), cell_deg), cell(east, cell_deg)), lambda x: F.pmod(x, F.lit(n))))
+    rows = F.sequence(cell(F.greatest(F.col("lat0"), F.lit(-90.0)), cell_deg), cell(F.least(F.col("lat1"), F.lit(90.0)), cell_deg))
+    touched = boxes.filter("lon0 <= lon1 and lat0 <= lat1 and lat0 <= 90 and lat1 >= -90").withColumn("_cx", F.explode(columns)).withColumn("_cy", F.explode(rows))
+    placed = points.withColumn("_cx", F.pmod(cell(F.col("lon"), cell_deg), F.lit(n))).withColumn("_cy", cell(F.col("lat"), cell_deg))
     out = placed.join(touched, [*on, "_cx", "_cy"])
-    return out.filter((F.col("lon") >= F.col("lon0")) & (F.col("lon") <= F.col("lon1")) & (F.col("lat") >= F.col("lat0")) & (F.col("lat") <= F.col("lat1"))).drop("_cx", "_cy")
+    inside = F.col("lon").between(F.col("lon0"), F.col("lon1")) | (F.pmod(F.col("lon") - F.col("lon0"), F.lit(360.0)) <= F.col("lon1") - F.col("lon0"))
+    return out.filter(inside & F.col("lat").between(F.col("lat0"), F.col("lat1"))).drop("_cx", "_cy")
 
 
 def interval_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:

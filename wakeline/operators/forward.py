@@ -9,6 +9,7 @@ from wakeline.functions.kernels import f_score
 from wakeline.functions.nulls import share
 from wakeline.operators.asof import bracket_interpolate, grid_for
 from wakeline.operators.buckets import radius_join
+from wakeline.sources.work import cut
 
 N_HOURS = 48
 DURATIONS = (1, 2, 3, 6, 12)
@@ -39,6 +40,7 @@ def window_search(oil: DataFrame, samples: DataFrame, hit_km: float, grid: DataF
     A sample keeps the hours that reach it as bits of one number, so that a window is one AND. A particle counts once, however often its row is repeated.
     """
     pairs = radius_join(oil.select("cluster_id", "mmsi", "pid", "hour", "lon", "lat"), samples.select("cluster_id", "sid", "lon", "lat"), hit_km, on=("cluster_id",))
+    pairs = cut(pairs.select("cluster_id", "mmsi", "pid", "hour", "sid"), "hits")
     near = pairs.select("cluster_id", "mmsi", "pid", "hour").distinct().groupBy("cluster_id", "mmsi", "hour").agg(F.count("*").alias("n_near"))
     hist = oil.groupBy("cluster_id", "mmsi", "hour").agg(F.count_distinct("pid").alias("n")).join(near, ["cluster_id", "mmsi", "hour"], "left")
     g = F.broadcast(grid)

@@ -1,21 +1,22 @@
 """Compatibility of positions with particle clouds: kernel statistics, summaries, ensembles.
 
-Distances are joined on time (and scenario or member), reduced at once to one row of statistics for each entity and
-time, so that the fan-out of entities times particles never leaves its aggregation.
+Positions meet clouds of equal time (and scenario or member) as arrays, in ``clouds``: each position's distances are
+reduced to one row of statistics where they are computed, and no pair is ever a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions import binning
-from wakeline.functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON, haversine_km
+from wakeline.functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON
 from wakeline.functions.kernels import gaussian, growing_sigma
 from wakeline.functions.nulls import finite, share
 from wakeline.operators.buckets import box_join
+from wakeline.operators.clouds import STATISTICS, against_clouds
 
 RANK_DP = 6
 
@@ -33,20 +34,11 @@ def ranked(df: DataFrame, by: str, name: str, *within: str, descending: bool = T
     return df.withColumn("_w", value).join(places, F.col("_w").eqNullSafe(F.col("_v"))).drop("_w", "_v")
 
 
-def kernel_statistics(distance: Column, sigma: float | Column) -> list[Column]:
-    return [
-        F.min(distance).alias("min_distance_km"), F.percentile(distance, F.lit(0.1)).alias("p10_distance_km"), F.median(distance).alias("median_distance_km"),
-        share(distance <= 2).alias("fraction_particles_2km"), share(distance <= 5).alias("fraction_particles_5km"), share(distance <= 10).alias("fraction_particles_10km"),
-        F.avg(gaussian(distance, sigma)).alias("density_score"),
-    ]
-
-
-def time_scores(positions: DataFrame, particles: DataFrame, sigma_km: float, keys: Sequence[str] = ("mmsi", "t"), on: Sequence[str] = ("t",)) -> DataFrame:
-    """Kernel statistics of each position (lon, lat) against the particles (p_lon, p_lat) of its time; times without
-    a cloud give no row, particles that are not finite do not count."""
-    cloud = particles.filter(finite(F.col("p_lon"), F.col("p_lat")))
-    d = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    return positions.join(cloud, list(on)).withColumn("d", d).groupBy(*keys).agg(F.first("lon").alias("lon"), F.first("lat").alias("lat"), *kernel_statistics(F.col("d"), sigma_km))
+def time_scores(positions: DataFrame, particles: DataFrame, sigma_km: float, cloud_keys: Sequence[str] = (), wanted: Sequence[str] = STATISTICS) -> DataFrame:
+    """Kernel statistics of each position (mmsi, t, lon, lat) against the particles (p_lon, p_lat) of its time, for each
+    value of ``cloud_keys``; times without a cloud give no row, particles that are not finite do not count."""
+    held = positions.select("mmsi", "t", "lon", "lat", F.lit(float(sigma_km)).alias("sigma"))
+    return against_clouds(held, particles, ("t",), "sigma", cloud_keys, wanted).drop("sigma")
 
 
 def summarise(scores: DataFrame, n_times: int, key: str = "mmsi") -> DataFrame:
@@ -81,7 +73,7 @@ def release_age_table(scores: DataFrame, t0_us: int, key: str = "mmsi") -> DataF
 
 def scenario_scores(positions: DataFrame, ensemble: DataFrame, t0_us: int, sigma_km: float) -> DataFrame:
     """Per scenario, entity and age bin: peak and mean score, rank in the scenario's bin."""
-    ts = time_scores(positions, ensemble, sigma_km, ("scenario_id", "mmsi", "t"))
+    ts = time_scores(positions, ensemble, sigma_km, ("scenario_id",), ("density_score",))
     aged = ts.withColumn("age_h", binning.hours_before(t0_us, F.col("t"))).withColumn("release_age_bin", binning.age_bin(F.col("age_h"))).filter("release_age_bin is not null")
     first = F.struct(F.round("density_score", RANK_DP), -F.col("t"))
     out = aged.groupBy("scenario_id", "mmsi", "release_age_bin").agg(
@@ -113,12 +105,11 @@ def backward_scores(positions: DataFrame, particles: DataFrame, t0_us: int, gate
     key = ["cluster_id", "member", "t"]
     boxes = cloud.groupBy(*key, "tau_h").agg(F.min("p_lon").alias("x0"), F.max("p_lon").alias("x1"), F.min("p_lat").alias("y0"), F.max("p_lat").alias("y1"), F.avg("p_lat").alias("y"))
     boxes = boxes.withColumn("sigma", growing_sigma(F.col("tau_h"))).withColumn("pad", CUTOFF_SIGMA * F.col("sigma"))
-    dx, dy = F.col("pad") / (KM_PER_DEG_LON * F.cos(F.radians("y"))), F.col("pad") / KM_PER_DEG_LAT
+    dx, dy = F.least(F.lit(180.0), F.col("pad") / (KM_PER_DEG_LON * F.greatest(F.cos(F.radians("y")), F.lit(1e-9)))), F.col("pad") / KM_PER_DEG_LAT
     boxes = boxes.select(*key, "tau_h", "sigma", (F.col("x0") - dx).alias("lon0"), (F.col("x1") + dx).alias("lon1"), (F.col("y0") - dy).alias("lat0"), (F.col("y1") + dy).alias("lat1"))
     near = box_join(positions.select("mmsi", "t", "lon", "lat"), boxes, ("t",)).select("mmsi", "lon", "lat", "sigma", "tau_h", *key)
-    d = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    joined = near.join(cloud.select(*key, "p_lon", "p_lat"), key).withColumn("d", d)
-    return joined.groupBy("cluster_id", "member", "mmsi", "t", "tau_h", "sigma").agg(F.avg(gaussian(F.col("d"), F.col("sigma"))).alias("density"), F.min("d").alias("min_distance_km")).withColumn("gate_hit", F.col("min_distance_km") <= gate_sigma * F.col("sigma")).drop("sigma")
+    found = against_clouds(near, cloud.select(*key, "p_lon", "p_lat"), key, "sigma", wanted=("min_distance_km", "density_score"))
+    return found.select("cluster_id", "member", "mmsi", "t", "tau_h", F.col("density_score").alias("density"), "min_distance_km", (F.col("min_distance_km") <= gate_sigma * F.col("sigma")).alias("gate_hit"))
 
 
 def backward_members(scores: DataFrame, hours: int = 49, tau0_h: float = 12.0) -> DataFrame:

@@ -104,14 +104,18 @@ def _scores(pos: str) -> str:
     return f"{pos}, {td.CLOUD_SQL}, ts AS (SELECT mmsi, t, any_value(lon) AS lon, any_value(lat) AS lat, {_stats(str(SIGMA) + 'e0')} FROM (SELECT mmsi, pos.t AS t, lon, lat, {HAV} AS d FROM pos JOIN cloud c USING (t)) GROUP BY mmsi, t)"
 
 
-@query("v2_time_scores", f"WITH {_scores(td.V2_SQL)} SELECT * EXCLUDE (lon, lat) FROM ts", STATS)
+def _placed(scores: DataFrame) -> DataFrame:
+    return scores.withColumns({c: F.round(c, 9) + 0.0 for c in ("lon", "lat")})
+
+
+@query("v2_time_scores", f"WITH {_scores(td.V2_SQL)} SELECT * REPLACE (round(lon, 9) + 0.0 AS lon, round(lat, 9) + 0.0 AS lat) FROM ts", STATS)
 def _(spark, d):
-    return scoring.time_scores(positions_v2(spark, d), cloud(spark, d), SIGMA).drop("lon", "lat")
+    return _placed(scoring.time_scores(positions_v2(spark, d), cloud(spark, d), SIGMA))
 
 
-@query("v2_1_time_scores", f"WITH {_scores(td.V21_SQL)} SELECT * EXCLUDE (lon, lat) FROM ts", STATS)
+@query("v2_1_time_scores", f"WITH {_scores(td.V21_SQL)} SELECT * REPLACE (round(lon, 9) + 0.0 AS lon, round(lat, 9) + 0.0 AS lat) FROM ts", STATS)
 def _(spark, d):
-    return scoring.time_scores(positions_v21(spark, d), cloud(spark, d), SIGMA).drop("lon", "lat")
+    return _placed(scoring.time_scores(positions_v21(spark, d), cloud(spark, d), SIGMA))
 
 
 SUMMARY_SQL = f"""summary AS (
