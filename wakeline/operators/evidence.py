@@ -50,11 +50,11 @@ def gap_overlaps(gaps: Column, start_h: Column, end_h: Column) -> Column:
     return F.coalesce(F.exists(gaps, lambda g: (g["lo_h"] < end_h) & (g["hi_h"] > start_h)), F.lit(False))
 
 
-def discharge_geometry(events: DataFrame, state: DataFrame, nearest: DataFrame, spread_km_h: float = 3.0, min_ref_km: float = 0.5, moving_knots: float = 0.5) -> DataFrame:
+def discharge_geometry(events: DataFrame, state: DataFrame, nearest: DataFrame, pairs: DataFrame, spread_km_h: float = 3.0, min_ref_km: float = 0.5, moving_knots: float = 0.5) -> DataFrame:
     """Proximity of an entity to a slick's ends at T0 and its heading along the slick's axis. ``events``: cluster_id, ends
     and axis; ``state``: from ``state_at``; ``nearest``: mmsi with n_lon, n_lat of the nearest report, used without a
-    position at T0."""
-    j = events.join(state.join(nearest, "mmsi"))
+    position at T0; ``pairs``: the (cluster_id, mmsi) that pass the funnel."""
+    j = pairs.join(events, "cluster_id").join(state.join(nearest, "mmsi"), "mmsi")
     lon, lat = F.coalesce("lon", "n_lon"), F.coalesce("lat", "n_lat")
     d_end = F.least(haversine_km(lat, lon, F.col("end1_lat"), F.col("end1_lon")), haversine_km(lat, lon, F.col("end2_lat"), F.col("end2_lon")))
     moving = F.coalesce((F.col("sog") >= moving_knots) & (F.col("cog") < 360), F.lit(False))

@@ -17,12 +17,17 @@ def relative(x: str, group: str = "cluster_id") -> Column:
     return F.when(most > 0, F.col(x) / most).otherwise(0.0)
 
 
-def fuse(robust: DataFrame, forward: DataFrame, geometry: DataFrame, behaviour: DataFrame, motion: DataFrame, min_point: float = 0.135, top3: float = 0.5, top5: float = 0.5, fresh_h: float = 3.0) -> DataFrame:
+def fuse(robust: DataFrame, forward: DataFrame, geometry: DataFrame, behaviour: DataFrame, motion: DataFrame, sar: DataFrame | None = None, min_point: float = 0.135, top3: float = 0.5, top5: float = 0.5, fresh_h: float = 3.0, sar_km: float = 2.0) -> DataFrame:
     """Star of left joins around the entities that pass the funnel, relative scores, tier, flags and rank by event.
 
-    An entity that was not simulated forward counts as 0 but stays marked; unknown flags are false.
+    An entity that was not simulated forward counts as 0 but stays marked; unknown flags are false. ``sar`` (from
+    ``matching.sar_evidence``: cluster_id, mmsi, sar_label, sar_dist_km) adds its columns and a flag for an entity that is
+    silent at T0 but seen near the slick.
     """
     j = robust.filter("passes_funnel").join(forward, ["cluster_id", "mmsi"], "left").join(geometry, ["cluster_id", "mmsi"], "left").join(behaviour, "mmsi", "left").join(motion, "mmsi", "left")
+    if sar is not None:
+        seen = (F.col("sar_label") == "ais_silent_at_t0") & (F.col("sar_dist_km") <= sar_km)
+        j = j.join(sar, ["cluster_id", "mmsi"], "left").withColumn("flag_ais_silent_seen_by_sar_near_slick", F.coalesce(seen, F.lit(False)))
     j = j.withColumn("fwd_evaluated", F.col("fwd_f").isNotNull()).withColumn("fwd_f", F.coalesce("fwd_f", F.lit(0.0))).withColumn("motion_state", F.coalesce("motion_state", F.lit("not in table")))
     j = j.withColumn("bwd_rel", relative("bwd_weighted")).withColumn("fwd_rel", relative("fwd_f")).withColumn("combined", F.sqrt(F.col("bwd_rel") * F.col("fwd_rel")))
     no = lambda c: F.coalesce(c, F.lit(False))
@@ -78,11 +83,10 @@ def sweep_rules(suspects: DataFrame, cases: DataFrame, rules: DataFrame) -> Data
     absent = runner_up(["case_id"], s.filter(F.col("mmsi") != F.col("truth"))).withColumn("hidden", F.lit(True))
     crossed = present.unionByName(absent).join(F.broadcast(rules))
     ok = crossed.withColumn("ok", supported(F.col("a"), F.col("b"), F.col("c")))
-    first = F.struct("ok", F.round("combined", 6), F.col("mmsi_order"))
-    ok = ok.withColumn("mmsi_order", -F.xxhash64("mmsi"))
+    first = F.struct((~F.col("ok")).alias("no"), (-F.round("combined", 6)).alias("less"), "mmsi")
     rule = ["rule_id"]
     by_case = ok.groupBy(*rule, "case_id", "split", "truth", "hidden", "m").agg(
-        F.count_if("ok").alias("n_supported"), F.bool_or(F.col("ok") & (F.col("mmsi") == F.col("truth"))).alias("truth_supported"), F.max_by(F.struct("mmsi", "fwd_f", "runner_f", "ok"), first).alias("top"),
+        F.count_if("ok").alias("n_supported"), F.bool_or(F.col("ok") & (F.col("mmsi") == F.col("truth"))).alias("truth_supported"), F.min_by(F.struct("mmsi", "fwd_f", "runner_f", "ok"), first).alias("top"),
     )
     accused = F.col("top.ok") & (F.col("top.fwd_f") >= F.col("m") * F.col("top.runner_f"))
     by_case = by_case.withColumn("accused", F.when(accused, F.col("top.mmsi")))

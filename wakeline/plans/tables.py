@@ -273,17 +273,17 @@ def _(spark, d):
 
 
 VECTOR_SQL = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM e)"
-ALIKE = 0.9
+ALIKE, VERIFIED = 0.42, 0.48
 
 
 def vectors(spark, d):
     return td.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
-@query("similar_pairs", f"WITH {VECTOR_SQL} SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / a.l / b.l AS similarity, list_dot_product(a.v, b.v) / a.l / b.l >= 0.97 AS verified FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) / a.l / b.l >= {ALIKE}", "similarity")
+@query("similar_pairs", f"WITH {VECTOR_SQL} SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / a.l / b.l AS similarity, list_dot_product(a.v, b.v) / a.l / b.l >= {VERIFIED} AS verified FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) / a.l / b.l >= {ALIKE}", "similarity")
 def _(spark, d):
     v = vectors(spark, d)
-    return ops.similar_pairs(v, v, ALIKE).filter("a < b").withColumn("verified", F.col("similarity") >= 0.97)
+    return ops.similar_pairs(v, v, ALIKE).filter("a < b").withColumn("verified", F.col("similarity") >= VERIFIED)
 
 
 @query("cross_corpus", f"WITH {VECTOR_SQL} SELECT a.id AS a, max(list_dot_product(a.v, b.v) / a.l / b.l) AS best FROM u a JOIN u b ON a.id % 2 = 0 AND b.id % 2 = 1 WHERE list_dot_product(a.v, b.v) / a.l / b.l >= {ALIKE} GROUP BY a.id", "best")
