@@ -1 +1 @@
-
+"""Structured Streaming forms of the batch operators."""
