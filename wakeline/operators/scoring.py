@@ -133,6 +133,7 @@ def backward_robust(members: DataFrame, positioned: DataFrame, min_positions: in
         F.percentile("s_weighted", F.lit(0.1)).alias("bwd_weighted_q10"), F.percentile("s_weighted", F.lit(0.9)).alias("bwd_weighted_q90"), F.median("s_point").alias("bwd_point"),
         F.median("rank_weighted").alias("bwd_rank_median"), share(F.col("rank_weighted") <= 1).alias("bwd_top1_fraction"), share(F.col("rank_weighted") <= 3).alias("bwd_top3_fraction"),
         share(F.col("rank_weighted") <= 5).alias("bwd_top5_fraction"), F.median("peak_age_hours").alias("bwd_peak_age_median"),
+        F.median("rank_point").alias("bwd_point_rank_median"), F.median("peak_min_distance_km").alias("bwd_peak_min_distance_km"),
     )
     return out.join(positioned, "mmsi", "left").withColumn("passes_funnel", F.col("gate_hit") & (F.coalesce("positions", F.lit(0)) >= min_positions))
 

@@ -41,15 +41,15 @@ def backward(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ais_clean", f"""WITH {td.AIS_SQL}, dirty AS (
   SELECT event_id, CASE WHEN event_id % 3 = 0 THEN mmsi || '.0' ELSE mmsi END AS mmsi, CASE WHEN event_id % 11 = 0 THEN 'late' ELSE CAST(us AS VARCHAR) END AS us,
-    CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'x' ELSE '27.25' END AS lat, '-90.5' AS lon FROM raw_ais)
+    CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'x' ELSE CAST(lat AS VARCHAR) END AS lat, CAST(lon AS VARCHAR) AS lon FROM raw_ais)
 SELECT event_id, mmsi, us, lat, lon FROM (
   SELECT event_id, regexp_replace(mmsi, '\\.0$', '') AS mmsi, try_cast(us AS BIGINT) AS us, try_cast(lat AS DOUBLE) AS lat, try_cast(lon AS DOUBLE) AS lon,
     row_number() OVER (PARTITION BY regexp_replace(mmsi, '\\.0$', ''), try_cast(us AS BIGINT) ORDER BY event_id) AS n
-  FROM dirty WHERE try_cast(us AS BIGINT) IS NOT NULL AND try_cast(lat AS DOUBLE) IS NOT NULL AND mmsi IS NOT NULL) WHERE n = 1""")
+  FROM dirty WHERE try_cast(us AS BIGINT) IS NOT NULL AND try_cast(lat AS DOUBLE) IS NOT NULL AND mmsi IS NOT NULL) WHERE n = 1""", "lat lon", digits=8)
 def _(spark, d):
     raw = td.raw_ais(spark, d).selectExpr(
         "event_id", "case when event_id % 3 = 0 then mmsi || '.0' else mmsi end AS mmsi", "case when event_id % 11 = 0 then 'late' else cast(us as string) end AS us",
-        "case when event_id % 13 = 0 then null when event_id % 17 = 0 then 'x' else '27.25' end AS lat", "'-90.5' AS lon",
+        "case when event_id % 13 = 0 then null when event_id % 17 = 0 then 'x' else cast(lat AS string) end AS lat", "cast(lon AS string) AS lon",
     )
     return asof.clean_reports(raw, tie="event_id").select("event_id", "mmsi", "us", "lat", "lon")
 
@@ -220,8 +220,8 @@ def _(spark, d):
 
 ROBUST_SQL = f"""{MEMBER_SQL}, positioned AS (SELECT mmsi, count(*) AS positions FROM pos GROUP BY mmsi), rob AS (
   SELECT *, gate_hit AND coalesce(positions, 0) >= 2 AS passes_funnel FROM (SELECT cluster_id, mmsi, bool_or(gate_hit) AS gate_hit, count(DISTINCT member) AS members, median(s_weighted) AS bwd_weighted, quantile_cont(s_weighted, 0.1) AS bwd_weighted_q10, quantile_cont(s_weighted, 0.9) AS bwd_weighted_q90,
-    median(s_point) AS bwd_point, median(rank_weighted) AS bwd_rank_median, avg((rank_weighted <= 1)::INT) AS bwd_top1_fraction, avg((rank_weighted <= 3)::INT) AS bwd_top3_fraction, avg((rank_weighted <= 5)::INT) AS bwd_top5_fraction, median(peak_age_hours) AS bwd_peak_age_median FROM mem GROUP BY cluster_id, mmsi) LEFT JOIN positioned USING (mmsi))"""
-ROBUST = "bwd_weighted bwd_weighted_q10 bwd_weighted_q90 bwd_point bwd_rank_median bwd_top1_fraction bwd_top3_fraction bwd_top5_fraction bwd_peak_age_median"
+    median(s_point) AS bwd_point, median(rank_weighted) AS bwd_rank_median, avg((rank_weighted <= 1)::INT) AS bwd_top1_fraction, avg((rank_weighted <= 3)::INT) AS bwd_top3_fraction, avg((rank_weighted <= 5)::INT) AS bwd_top5_fraction, median(peak_age_hours) AS bwd_peak_age_median, median(rank_point) AS bwd_point_rank_median, median(peak_min_distance_km) AS bwd_peak_min_distance_km FROM mem GROUP BY cluster_id, mmsi) LEFT JOIN positioned USING (mmsi))"""
+ROBUST = "bwd_weighted bwd_weighted_q10 bwd_weighted_q90 bwd_point bwd_rank_median bwd_top1_fraction bwd_top3_fraction bwd_top5_fraction bwd_peak_age_median bwd_point_rank_median bwd_peak_min_distance_km"
 
 
 def positioned(spark, d):

@@ -92,9 +92,9 @@ MOTION_SQL = f"""{METRIC_SQL}, mot AS (SELECT mmsi, CASE WHEN (n_reports < 10 OR
   {_rung(0)} {_rung(1)} WHEN stationarity_score >= 0.5 THEN 'mixed' ELSE 'moving' END AS motion_state FROM met)"""
 
 
-@query("motion_state", f"WITH {MOTION_SQL} SELECT * FROM mot")
+@query("motion_state", f"WITH {MOTION_SQL} SELECT *, true AS has_reason FROM mot")
 def _(spark, d):
-    return evidence.motion_state(metrics(spark, d), STILL).select("mmsi", "motion_state")
+    return evidence.motion_state(metrics(spark, d), STILL).select("mmsi", "motion_state", (F.length("motion_reason") > 0).alias("has_reason"))
 
 
 STATE_SQL = f"""{td.V21_ALL_SQL}, closest AS (SELECT mmsi, arg_min(sog, abs(us - {td.T0}) * 2 + CASE WHEN us > {td.T0} THEN 1 ELSE 0 END) AS sog FROM aisw GROUP BY mmsi),
@@ -215,11 +215,11 @@ def _(spark, d):
     return forecast.endpoint_spread(particles(spark, d))
 
 
-@query("histogram_overlap", f"""WITH {CAST_SQL}, a AS (SELECT CAST(floor(lon / 0.1e0) AS BIGINT) AS ix, CAST(floor(lat / 0.1e0) AS BIGINT) AS iy, count(*) FILTER (WHERE cluster_id = 0) AS p, count(*) FILTER (WHERE cluster_id = 1) AS q FROM fc GROUP BY ALL)
+@query("histogram_overlap", f"""WITH {CAST_SQL}, a AS (SELECT CAST(floor(lon / 0.1e0) AS BIGINT) AS ix, CAST(floor(lat / 0.1e0) AS BIGINT) AS iy, count(*) FILTER (WHERE run = 0) AS p, count(*) FILTER (WHERE run > 0) AS q FROM fc GROUP BY ALL)
 SELECT sum(least(p / (SELECT sum(p) FROM a), q / (SELECT sum(q) FROM a))) AS overlap FROM a""", "overlap")
 def _(spark, d):
     p = particles(spark, d)
-    return forecast.histogram_overlap(p.filter("cluster_id = 0"), p.filter("cluster_id = 1"), 0.1)
+    return forecast.histogram_overlap(p.filter("run = 0"), p.filter("run > 0"), 0.1)
 
 
 GRID_SQL = "wn AS (SELECT CAST(row_number() OVER (ORDER BY d, a) - 1 AS INT) AS w, CAST(a AS INT) AS start_h, CAST(a + d AS INT) AS end_h FROM (VALUES (1), (2), (3), (6), (12)) v(d), range(48) g(a) WHERE a + d <= 48)"
@@ -234,12 +234,12 @@ def _(spark, d):
     return forward.window_search(td.derived(spark, d, "lineitem", OIL), td.derived(spark, d, "part", SAMPLE), HIT_KM, forward.windows(spark))
 
 
-@query("fractions_skill", f"""WITH {OIL_SQL}, {SAMPLE_SQL}, both_ AS (SELECT cluster_id, CAST(floor(lon * 20) AS BIGINT) AS ix, CAST(floor(lat * 20) AS BIGINT) AS iy, 1 AS o, 0 AS m FROM sam GROUP BY ALL UNION ALL SELECT cluster_id, CAST(floor(lon * 20) AS BIGINT), CAST(floor(lat * 20) AS BIGINT), 0, 1 FROM oil WHERE mmsi = '3' AND hour < 6 GROUP BY ALL),
+@query("fractions_skill", f"""WITH {OIL_SQL}, {SAMPLE_SQL}, both_ AS (SELECT cluster_id, CAST(floor(lon * 20) AS BIGINT) AS ix, CAST(floor(lat * 20) AS BIGINT) AS iy, 1 AS o, 0 AS m FROM sam GROUP BY ALL UNION ALL SELECT cluster_id, CAST(floor(lon * 20) AS BIGINT), CAST(floor(lat * 20) AS BIGINT), 0, 1 FROM oil GROUP BY ALL),
 sp AS (SELECT cluster_id, width, ix + dx AS ix, iy + dy AS iy, sum(o) / (width * width * 1e0) AS po, sum(m) / (width * width * 1e0) AS pm FROM both_, (VALUES (1), (3), (5)) v(width), range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE abs(dx) <= width // 2 AND abs(dy) <= width // 2 GROUP BY cluster_id, width, ix + dx, iy + dy)
 SELECT cluster_id, width, CASE WHEN sum(po * po + pm * pm) > 0 THEN 1 - sum((po - pm) ** 2) / sum(po * po + pm * pm) END AS fss FROM sp GROUP BY ALL""", "fss")
 def _(spark, d):
     at = lambda df: df.select("cluster_id", F.floor(F.col("lon") * 20).alias("ix"), F.floor(F.col("lat") * 20).alias("iy"))
-    return forward.fractions_skill(at(td.derived(spark, d, "part", SAMPLE)), at(td.derived(spark, d, "lineitem", OIL).filter("mmsi = '3' and hour < 6")), (1, 3, 5))
+    return forward.fractions_skill(at(td.derived(spark, d, "part", SAMPLE)), at(td.derived(spark, d, "lineitem", OIL)), (1, 3, 5))
 
 
 @query("decide", f"""WITH {sql_of('s', 'supplier', SUSPECT)}, s1 AS (SELECT *, coalesce(fwd_f >= 0.5 AND bwd_point >= 0.3 AND coalesce(member_support, 0) >= 0.2 AND fwd_f > 0, false) AS v31_supported, (SELECT coalesce(max(o.fwd_f), 0) FROM s o WHERE o.cluster_id = s.cluster_id AND o.mmsi <> s.mmsi) AS runner FROM s),
