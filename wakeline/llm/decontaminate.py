@@ -1,9 +1,9 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-``build_index`` stores the postings (document, position, term) of every benchmark term in every document, in the shared
-folder. A test phrase is found by taking its terms from the rarest on: the postings of the rarest term, moved back by
+``build_index`` stores the postings (document, position, term) in the shared folder: those of every benchmark term in
+every document, since no other term is ever asked for; another benchmark needs its own. A test phrase is found by taking its terms from the rarest on: the postings of the rarest term, moved back by
 the term's offset, are the first candidates; the list of the next rarest is intersected with them, then the third; what
-is left is confirmed against the postings of all terms. ``phrases`` returns exact matches, ``proximity`` windows of the
+is left is confirmed against the postings of all terms. ``phrases`` returns exact matches, ``proximity`` stretches of the
 documents that hold all terms of a phrase in any order.
 
 Everything runs in DataFrame operations. Benchmark-sized tables are broadcast only under ``BROADCAST_ROWS`` counted
@@ -104,23 +104,36 @@ def phrases(index: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def proximity(index: DataFrame, windows: DataFrame, slack: int = 5) -> DataFrame:
-    """Documents' stretches of at most size + ``slack`` words that hold every term of a test window, in any order.
+    """Documents' stretches of at most size + ``slack`` words that hold every term of a test window as often as the window
+    does, in any order.
 
-    The rarest term's postings anchor the stretch: each other term must be posted within the stretch's length of it.
-    Returns doc_id, text_hash, item_id, s, at (the anchor's position), span.
+    The rarest term's postings anchor the search. Around an anchor a stretch has at most 2 (size + slack) - 1 places, so
+    that the postings there fit a short array, over which the stretch slides: from each posting on, the last term that is
+    still wanted ends it. Returns doc_id, text_hash, item_id, s, at (where the stretch starts), span: the shortest
+    stretch near each anchor, the first of equals, each once.
     """
     tests = _rarest(index, windows)
     postings = index.filter("term is not null").select("doc_id", "text_hash", "pos", "term")
-    first = tests.select("item_id", "item", "s", "size", F.col("a")[0]["term"].alias("term"))
-    anchors = postings.join(first, "term").select("doc_id", "text_hash", "item_id", "item", "s", "size", F.col("pos").alias("at")).distinct()
-    needed = windows.select("item", "s", "term").distinct()
-    kinds = needed.groupBy("item", "s").agg(F.count("*").alias("kinds"))
-    listed = _same(postings, anchors.select("doc_id", "text_hash").distinct(), how="left_semi").withColumnRenamed("pos", "r_pos").withColumnRenamed("term", "r_term")
+    window = ["item_id", "item", "s", "size"]
+    first = tests.select(*window, F.col("a")[0]["term"].alias("term"))
+    anchors = postings.join(first, "term").select("doc_id", "text_hash", *window, F.col("pos").alias("anchor")).distinct()
+    counted = windows.select("item", "s", "i", "term").distinct().groupBy("item", "s", "term").agg(F.count("*").cast("int").alias("times"))
+    needed = counted.groupBy("item", "s").agg(F.collect_list(F.struct("term", "times")).alias("needed"))
+    listed = postings.withColumnRenamed("pos", "r_pos").withColumnRenamed("term", "r_term").distinct()
     wide = F.col("size") + slack
-    held = _same(anchors.join(needed, ["item", "s"]), listed, F.col("r_term") == F.col("term"), F.abs(F.col("r_pos") - F.col("at")) < wide)
-    nearest = held.groupBy("doc_id", "text_hash", "item_id", "item", "s", "size", "at", "term").agg(F.min_by("r_pos", F.abs(F.col("r_pos") - F.col("at"))).alias("p"))
-    spans = nearest.groupBy("doc_id", "text_hash", "item_id", "item", "s", "size", "at").agg(F.count("*").alias("n"), (F.max("p") - F.min("p") + 1).alias("span"))
-    return spans.join(kinds, ["item", "s"]).filter((F.col("n") == F.col("kinds")) & (F.col("span") <= wide)).select("doc_id", "text_hash", "item_id", "s", "at", "span")
+    near = _same(anchors.join(counted, ["item", "s"]), listed, F.col("r_term") == F.col("term"), F.abs(F.col("r_pos") - F.col("anchor")) < wide)
+    place = F.array_sort(F.collect_list(F.struct(F.col("r_pos").alias("p"), F.col("r_term").alias("t"))))
+    held = near.groupBy("doc_id", "text_hash", *window, "anchor").agg(place.alias("near")).join(needed, ["item", "s"])
+
+    def ending(start: Column) -> Column:
+        """Where the stretch from ``start`` on has every term; null if it never does."""
+        at = lambda want: F.get(F.filter("near", lambda x: (x["t"] == want["term"]) & (x["p"] >= start)), want["times"] - 1)["p"]
+        ends = F.transform("needed", at)
+        return F.when(~F.exists(ends, lambda e: e.isNull()), F.array_max(ends))
+
+    spans = F.transform("near", lambda x: F.struct((ending(x["p"]) - x["p"] + 1).alias("span"), x["p"].alias("at")))
+    best = F.array_min(F.filter(spans, lambda x: x["span"].isNotNull() & (x["span"] <= wide)))
+    return held.select("doc_id", "text_hash", "item_id", "s", best.alias("b")).filter("b is not null").select("doc_id", "text_hash", "item_id", "s", "b.at", "b.span").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,9 @@ Tokenising and cutting are one pass over the texts that leaves a small row for e
 the capacity, so the packing problem is a histogram of ``capacity`` counts however many pieces there are. The driver
 solves the histogram: bin completion takes the largest length left, enumerates the undominated ways to fill the rest of
 its sequence, and branches over them depth first; a branch ends when its waste exceeds what an improvement on the
-incumbent (best-fit decreasing at first) allows. Equal sequences are taken together, so a plan has at most a few
+incumbent (best-fit decreasing at first) allows. The search ends at the lower bound, which best fit itself reaches on
+large corpora, and gives up after ``NODES`` branches with ``FILLINGS`` fillings each; the best packing found until then is
+used, and ``lower_bound`` tells how far from the least it can be. No piece is ever left out. Equal sequences are taken together, so a plan has at most a few
 patterns for each length. Executors then rank the pieces of each length and look their sequence up in the plan.
 
 Defined results: a null or empty text is one piece of the end id alone; repeated rows each get their own piece; an
@@ -174,6 +176,22 @@ def best_fit(hist: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     return [x for group in open_by_room for x in group]
 
 
+def greedy(hist: np.ndarray, room: int) -> Pattern:
+    """The filling that takes the largest length that fits, again and again."""
+    out: list[int] = []
+    left = hist[: room + 1].copy()
+    while room > 0:
+        sizes = np.flatnonzero(left[1 : room + 1])
+        if not len(sizes):
+            break
+        size = int(sizes[-1]) + 1
+        n = min(int(left[size]), room // size)
+        out += [size] * n
+        left[size] -= n
+        room -= n * size
+    return tuple(out)
+
+
 def fillings(hist: np.ndarray, room: int, want: int, budget: int = 400) -> list[Pattern]:
     """Undominated fillings of ``room`` from what ``hist`` has, least waste first, larger lengths first among equals.
 
@@ -216,6 +234,9 @@ def fillings(hist: np.ndarray, room: int, want: int, budget: int = 400) -> list[
             break
     if not found:
         return [()]
+    if all(waste for waste, _ in found):  # fillings of more pieces than were tried
+        filled = greedy(hist, room)
+        found = [(waste, p) for waste, p in found if waste <= room - sum(filled)] + [(room - sum(filled), filled)]
     unique = {tuple(sorted(p, reverse=True)): waste for waste, p in found}
     return sorted(unique, key=lambda p: (unique[p], len(p), [-x for x in p]))[:want]
 
@@ -260,16 +281,18 @@ def complete_bins(hist: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES
             else:
                 rest = left.copy()
                 rest[top] -= 1
-                options = [(top, *p) for p in fillings(rest, capacity - top, width)]
+                patterns = [(top, *p) for p in fillings(rest, capacity - top, width)]
+                often = [min(int(left[x]) // p.count(x) for x in set(p)) for p in patterns]
+                # As often as counts allow first, then once: what lies between is a run of single uses.
+                options = [(p, n) for p, n in zip(patterns, often, strict=True)] + [(p, 1) for p, n in zip(patterns, often, strict=True) if n > 1]
             state[1], state[4] = top, options
         if not options:
             stack.pop()
             if path:
                 path.pop()
             continue
-        pattern = options.pop(0)
+        pattern, times = options.pop(0)
         sizes, need = np.unique(pattern, return_counts=True)
-        times = int((left[sizes] // need).min())
         after = left.copy()
         after[sizes] -= need * times
         opened += 1
