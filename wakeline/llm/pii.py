@@ -321,12 +321,12 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: doc_id, counts of base spans, the hash of the base spans, all spans, the number added."""
+    """A row for each row: doc_id, counts of base spans, the hash of the base spans, all spans, the number added, the number of all."""
     rows = common.keyed(df, id_col, text_col)
     schema = StructType([rows.schema["doc_id"]])
     for k in KINDS:
         schema = schema.add(f"n_{k}", LongType())
-    schema = schema.add("base_sha256", StringType()).add("spans", StringType()).add("n_added", LongType())
+    schema = schema.add("base_sha256", StringType()).add("spans", StringType()).add("n_added", LongType()).add("n_spans", LongType())
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +335,7 @@ def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             counts = [[sum(s[0] == k for s in base) for base, _ in both] for k in range(4)]
             digest = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in both]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([written(a) for _, a in both], pa.string()), pa.array([len(a) - len(b) for b, a in both], pa.int64())],
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([written(a) for _, a in both], pa.string()), pa.array([len(a) - len(b) for b, a in both], pa.int64()), pa.array([len(a) for _, a in both], pa.int64())],
                 schema.names,
             )
 
