@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from wakeline.llm import near_dedup
+from wakeline.llm import common, near_dedup
 
 
 def edited(rng, words, times):
@@ -75,3 +75,14 @@ def test_null_and_repeated_ids(spark):
     for row in ((None, text[0]), (4, copy), (7, text[2]), (8, text[4]), (None, text[5]), (None, None), (None, " ")):
         assert left.count(row) == 1, row
     assert left.count((9, "")) == 2 and (None, text[1]) not in left and sum(i == 7 for i, _ in left) == 2 and len(left) == 10
+
+
+def test_heavy_keys_are_joined_like_others(spark, monkeypatch):
+    """Heavy keys by broadcast, the rest by key: together the plain join, nothing lost or doubled."""
+    rows = spark.createDataFrame([(k, k % 7 if k % 3 else 0) for k in range(300)], "id long, key long")
+    one = rows.groupBy("key").count().filter("key <> 5").withColumnRenamed("count", "size")
+    plain = sorted(map(tuple, rows.join(one, ["key"]).collect()))
+    for heavy in (1, 4, 10_000):
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        assert sorted(map(tuple, common.spread_join(rows, one, ["key"], "size").collect())) == plain
+    assert common.spread_join(rows, one.limit(0), ["key"], "size").count() == 0

@@ -15,6 +15,9 @@ from wakeline.sources.work import cut, work_dir  # noqa: F401
 #: Characters that are looked at together.
 TEXT_CHUNK = 1 << 19
 
+#: Keys that ``spread_join`` broadcasts at most.
+HEAVY = 10_000
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -59,6 +62,19 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"))
 
 
+def spread_join(rows: DataFrame, one: DataFrame, on: list[str], size: str) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each key and, in ``size``, at least how many of ``rows`` have that key.
+
+    Keys with more than one in ``HEAVY`` of the sum of sizes are joined by broadcast and their rows stay where they are;
+    there are fewer than ``HEAVY`` such keys whatever the data. What is left has no heavy key and is joined by its keys.
+    ``one`` is read more than once and should be a written table.
+    """
+    least = (one.agg(F.sum(size)).first()[0] or 0) // HEAVY
+    heavy = F.broadcast(one.filter(F.col(size) > least))
+    light = one.filter(F.col(size) <= least)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(light, on))
+
+
 def chunks(texts: list[str], limit: int = TEXT_CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``limit`` characters; a longer text is a range of its own."""
     start, held = 0, 0

@@ -178,7 +178,12 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float
     ids = common.cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(nodes, "id").select("id", "own_id", "own_hash"), "ids")
     seq = common.cut(sequences(docs, ids), "sequences")
     of = lambda c: seq.select(F.col("id").alias(c), F.col("seq").alias(f"seq_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "seq_a", "seq_b").mapInArrow(common.settled(run), "a long, b long")
+    # A centre of many pairs: its sequence is dealt to several tasks, each with a part of the pairs.
+    held = pairs.groupBy("b").agg(F.count("*").alias("held")).withColumn("salts", F.ceil(F.col("held") / BLOCK))
+    held = common.cut(held, "held")
+    salted = common.spread_join(pairs, held, ["b"], "held").withColumn("salt", F.pmod(F.xxhash64("a"), "salts")).select("a", "b", "salt")
+    centres = of("b").join(held, "b").select("b", "seq_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    return salted.join(of("a"), "a").join(centres, ["b", "salt"]).select("a", "b", "seq_a", "seq_b").mapInArrow(common.settled(run), "a long, b long")
 
 
 def _alike(n: str, m: str):
@@ -269,16 +274,17 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     placed = nodes.select("id", "n", F.posexplode("keys").alias("k", "key"))
     centres = placed.groupBy("k", "key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size"))
-    joined = placed.join(centres, ["k", "key"]).select("id", "n", "k", "key", F.col("c.id").alias("centre"), F.col("c.n").alias("m"), "size")
-    shared = common.cut(joined.filter("size > 1"), "shared")
+    centres = common.cut(centres.filter("size > 1").select("k", "key", F.col("c.id").alias("centre"), F.col("c.n").alias("m"), "size"), "centres")
+    shared = common.cut(common.spread_join(placed, centres, ["k", "key"], "size"), "shared")
     pairs = common.cut(shared.filter((F.col("id") != F.col("centre")) & _alike("n", "m")).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     links = common.cut(verify(pairs, docs, nodes), "links")
     comp = graph.components(links)
 
     # Buckets whose members are in different components: their other pairs.
     at = _named(shared, comp).select("id", "n", "k", "key", "size", "component")
-    apart = at.groupBy("k", "key").agg((F.min("component") != F.max("component")).alias("apart"), F.max("size").alias("size"), F.sum("n").alias("total")).filter("apart and size > 2").select("k", "key", "total")
-    left = common.cut(at.drop("n").join(apart, ["k", "key"]), "left")
+    apart = at.groupBy("k", "key").agg((F.min("component") != F.max("component")).alias("apart"), F.max("size").alias("size"), F.sum("n").alias("total")).filter("apart and size > 2").select("k", "key", "size", "total")
+    apart = common.cut(apart, "apart")
+    left = common.cut(common.spread_join(at.drop("n", "size"), apart, ["k", "key"], "size"), "left")
     seq = common.cut(sequences(docs, left.select("id").distinct().join(nodes, "id").select("id", "own_id", "own_hash")), "sequences")
     links = links.unionByName(common.cut(remaining(left.join(nodes, "id").join(seq, "id")), "links"))
     comp = common.cut(graph.components(links), "components")
@@ -293,8 +299,9 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     names = common.cut(names.unionByName(heads.filter("no_id").select("row", F.col("spare").alias("class"))), "names").withColumnRenamed("row", "head")
 
     tops = named.groupBy("component").agg(F.min("first")["row"].alias("head"), F.sum("copies").alias("size")).join(names, "head")
-    by_text = named.join(tops, "component").select("e1", "e2", "head", "class", "size")
-    worded = rows.filter("n > 0").join(by_text, ["e1", "e2"])
+    tops = common.cut(tops, "tops")
+    by_text = common.cut(common.spread_join(named, tops, ["component"], "size").select("e1", "e2", "head", "class", "size", "copies"), "texts")
+    worded = common.spread_join(rows.filter("n > 0"), by_text, ["e1", "e2"], "copies")
     wordless = rows.filter("n = 0").join(names, F.col("row") == F.col("head")).withColumn("size", F.lit(1).cast("long"))
     columns = [F.col("own_id").alias("doc_id"), F.col("class").alias("class_id"), F.col("n").alias("n_shingles"), F.col("size").alias("class_size"), (F.col("row") == F.col("head")).alias("kept"), "text_hash"]
     return worded.select(columns).unionByName(wordless.select(columns))
