@@ -74,8 +74,8 @@ def _same(left: DataFrame, right: DataFrame, *more: Column, how: str = "inner")
 
 def _rarest(index: DataFrame, windows: DataFrame) -> DataFrame:
     """Each window that can occur with its three rarest places ``a`` (fewer in shorter ones): struct(n, i, term)."""
-    counts = index.filter("term is not null").groupBy("term").agg(F.count("*").alias("n"))
-    ranked = windows.join(counts, "term").groupBy("item_id", "item", "s", "size").agg(F.array_sort(F.collect_list(F.struct("n", "i", "term"))).alias("a"))
+    counts = common.cut(index.filter("term is not null").groupBy("term").agg(F.count("*").alias("n")), "counts")
+    ranked = windows.join(_small(counts), "term").groupBy("item_id", "item", "s", "size").agg(F.array_sort(F.collect_list(F.struct("n", "i", "term"))).alias("a"))
     return ranked.filter(F.size("a") == F.col("size")).withColumn("a", F.slice("a", 1, 3))
 
 
