@@ -9,6 +9,9 @@ Training needs no labels: base spans of a bounded sample of documents are positi
 their kind (check digit, range, length) are negative, and base spans rewritten into the other forms, in their own
 context, give positives and negatives of those forms.
 
+Keys, tokens and passwords are a further kind, ``secret``, with generators and trees of its own (``credentials``). It is
+redacted like the others and has its own columns, since the spans' text lists the four kinds.
+
 Defined results: null reads as empty; a text without personal data has no spans and the hash of an empty string;
 repeated rows get the same result each; positions are code points, the end exclusive.
 """
@@ -25,10 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from wakeline.llm import boosting, common
+from wakeline.llm import boosting, common, credentials
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
+#: Stands after the kinds that ``Model`` judges.
+SECRET = len(KINDS)
+NAMES = (*KINDS, "secret")
 #: Documents that training reads, by a hash of their id.
 SAMPLE_DOCS = 6000
 #: Held-out precision that a threshold must reach.
@@ -306,8 +312,12 @@ def find(model: Model, text: str) -> tuple[list[Span], list[Span]]:
     return base, sorted({*base, *model.accepted(text, more)})
 
 
+def secrets(model: credentials.Model, text: str) -> list[Span]:
+    return [(SECRET, s, e) for s, e in model.find(text)]
+
+
 def written(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
+    return ",".join(f"{NAMES[k]}:{s}:{e}" for k, s, e in spans)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -315,27 +325,33 @@ def redact(text: str, spans: list[Span]) -> str:
     out, done = [], 0
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if start >= done:
-            out += [text[done:start], f"[{KINDS[kind].upper()}]"]
+            out += [text[done:start], f"[{NAMES[kind].upper()}]"]
         done = max(done, end)
     return "".join(out) + text[done:]
 
 
 def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row: doc_id, counts of base spans, the hash of the base spans, all spans, the number added, the number of all."""
+    """A row for each row: doc_id, counts of base spans, the hash of the base spans, all spans, the number added, the number of all,
+    the number of secrets, their spans, the number of spans and secrets."""
     rows = common.keyed(df, id_col, text_col)
     schema = StructType([rows.schema["doc_id"]])
     for k in KINDS:
         schema = schema.add(f"n_{k}", LongType())
     schema = schema.add("base_sha256", StringType()).add("spans", StringType()).add("n_added", LongType()).add("n_spans", LongType())
-    held = df.sparkSession.sparkContext.broadcast(model)
+    schema = schema.add("n_secret", LongType()).add("secrets", StringType()).add("n_private", LongType())
+    held = df.sparkSession.sparkContext.broadcast((model, credentials.model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [find(held.value, t) for t in common.strings(batch, "text")]
+            trees, keys = held.value
+            texts = common.strings(batch, "text")
+            both = [find(trees, t) for t in texts]
+            opaque = [secrets(keys, t) for t in texts]
             counts = [[sum(s[0] == k for s in base) for base, _ in both] for k in range(4)]
             digest = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in both]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([written(a) for _, a in both], pa.string()), pa.array([len(a) - len(b) for b, a in both], pa.int64()), pa.array([len(a) for _, a in both], pa.int64())],
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array([written(a) for _, a in both], pa.string()), pa.array([len(a) - len(b) for b, a in both], pa.int64()), pa.array([len(a) for _, a in both], pa.int64()),
+                 pa.array([len(x) for x in opaque], pa.int64()), pa.array([written(x) for x in opaque], pa.string()), pa.array([len(a) + len(x) for (_, a), x in zip(both, opaque, strict=True)], pa.int64())],
                 schema.names,
             )
 
@@ -343,13 +359,14 @@ def detect(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def redacted(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with the personal data in its text replaced; null texts stay null."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+    """``df`` with the personal data and the secrets in its text replaced; null texts stay null."""
+    held = df.sparkSession.sparkContext.broadcast((model, credentials.model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t if t is None else redact(t, find(held.value, t)[1]) for t in batch.column(at).to_pylist()]
+            trees, keys = held.value
+            texts = [t if t is None else redact(t, find(trees, t)[1] + secrets(keys, t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
 
     return df.mapInArrow(common.settled(run), df.schema)
@@ -361,6 +378,6 @@ def op1_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Redacts personal data in the text; ``n_chars`` follows the new text. Every document stays."""
+    """Redacts personal data and secrets in the text; ``n_chars`` follows the new text. Every document stays."""
     out = redacted(docs, train(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select("doc_id", "text", "lang", "source", "n_chars")
