@@ -6,7 +6,7 @@ docs. All but the last return the columns of ``documents``:
 1. language: documents whose language cannot be told go;
 2. near_dedup: of each class of near-duplicates one document stays;
 3. decontaminate: documents that hold a benchmark window go;
-4. pii: personal data in the texts is replaced by its kind;
+4. pii: personal data and secrets in the texts are replaced by their kind;
 5. pack: the texts are tokenised and packed into sequences, token ids included.
 
 A stage begins by deleting the work tables of the stage before, unless its docs still read them (its result was not
