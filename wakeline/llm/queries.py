@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from wakeline.llm import decontaminate, language_id, lattice_lm, near_dedup, packing, pii, quality_knn, sharding, topk, url_filter
+from wakeline.llm import chat, collocations, decontaminate, language_id, lattice_lm, near_dedup, packing, pii
+from wakeline.llm import quality_knn, sharding, token_alignment, topk, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.query,
@@ -18,9 +19,14 @@ QUERIES = {
     "op8_threshold_top_k": topk.op8_threshold_top_k,
     "op9_positional_index": decontaminate.op9_positional_index,
     "op10_bin_completion": packing.op10_bin_completion,
+    "op11_level_wise_collocations": collocations.op11_level_wise_collocations,
+    "op12_offset_masks": chat.op12_offset_masks,
+    "op13_packed_bitsets": token_alignment.op13_packed_bitsets,
 }
 
 SQL: dict[str, str] = {
     "op8_threshold_top_k": topk.SQL,
     "op9_positional_index": decontaminate.SQL,
+    "op11_level_wise_collocations": collocations.SQL,
+    "op12_offset_masks": chat.SQL,
 }
