@@ -177,52 +177,6 @@ def tent_blend(values: DataFrame, window: int, stride: int) -> DataFrame:
     return values.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(window - 1)))).groupBy(x.alias("x")).agg((F.sum(tent * F.col("p")) / F.sum(tent)).alias("blend"), F.count("*").alias("n_windows"))
 
 
-def energy_distance(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Energy distance of two planar clouds (x, y) of each group: 2 E|A-B| - E|A-A'| - E|B-B'|. Each cloud becomes arrays in
-    one row; distances are summed in blocks inside one pass, so that no pair is a row. A cloud has to fit a row."""
-    import numpy as np
-    import pyarrow as pa
-
-    packed = lambda df, n: df.groupBy(key).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias(n))
-
-    def mean(p, q) -> float:
-        step = max(1, (1 << 20) // len(q))
-        return sum(np.hypot(*(p[k : k + step, None, :] - q[None, :, :]).transpose(2, 0, 1)).sum() for k in range(0, len(p), step)) / (len(p) * len(q))
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i in range(len(batch)):
-                p, q = (np.stack([batch.column(c)[i].values.field(f).to_numpy() for f in "xy"], axis=1) for c in ("a", "b"))
-                out.append(2 * mean(p, q) - mean(p, p) - mean(q, q))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.float64())], [key, "energy"])
-
-    return packed(a, "a").join(packed(b, "b"), key).repartition(key).mapInArrow(run, f"{key} {a.schema[key].dataType.simpleString()}, energy double")
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, at_least: float, vector: str = "v") -> DataFrame:
-    """Pairs (a from ``left``, b from ``right``) of cosine similarity ``at_least`` or more, exactly.
-
-    Unit vectors that alike differ by at most r = sqrt(2 - 2s) in each coordinate, so a grid of that width over their first
-    three coordinates puts them into neighbouring cells; what meets there is verified. Vectors that are null, zero or hold
-    a null have no pair; those of other lengths meet none.
-    """
-    r = (2 - 2 * at_least) ** 0.5 + 1e-9
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    unit = F.transform(vector, lambda p: p.cast("double"))
-
-    def prepared(df: DataFrame, name: str) -> DataFrame:
-        out = df.select(F.col("id").alias(name), unit.alias("_u")).withColumn("_l", F.sqrt(dot("_u", "_u"))).filter("_l > 0")
-        out = out.select(name, F.transform("_u", lambda p: p / F.col("_l")).alias(f"u{name}"))
-        return out.withColumns({f"_c{k}": F.floor(F.coalesce(F.get(f"u{name}", F.lit(k)), F.lit(0.0)) / r) for k in range(3)})
-
-    near = prepared(right, "b")
-    for k in range(3):
-        near = near.withColumn(f"_c{k}", F.explode(F.array(*(F.col(f"_c{k}") + d for d in (-1, 0, 1)))))
-    met = prepared(left, "a").join(near, ["_c0", "_c1", "_c2"])
-    return met.withColumn("similarity", dot("ua", "ub")).filter(F.col("similarity") >= at_least).select("a", "b", "similarity")
-
-
 def manifest_difference(frozen: DataFrame, now: DataFrame) -> DataFrame:
     """(path, status) of two manifests (path, sha256): same, changed, missing or new."""
     j = frozen.select("path", F.col("sha256").alias("x")).join(now.select("path", F.col("sha256").alias("y")), "path", "full_outer")

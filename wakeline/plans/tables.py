@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wakeline.operators import similarity
 from wakeline.operators import tables as ops
 from wakeline.plans.registry import query
 from wakeline.plans.slicks import FORECAST, MEMBER, particles, sql_of
@@ -264,12 +265,12 @@ def _(spark, d):
     return particles(spark, d).filter("status = 'stranded'").groupBy("cluster_id", "element").agg(F.min("lead_h").alias("first_exit_h"))
 
 
-@query("energy_distance", f"""WITH {CAST_SQL}, p AS (SELECT cluster_id, run = 0 AS side, lon AS x, lat AS y FROM fc WHERE lead_h = 42 AND run < 2),
-d AS (SELECT a.cluster_id, a.side AS s, b.side AS r, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS m FROM p a JOIN p b USING (cluster_id) GROUP BY ALL)
-SELECT cluster_id, 2 * max(m) FILTER (WHERE s AND NOT r) - max(m) FILTER (WHERE s AND r) - max(m) FILTER (WHERE NOT s AND NOT r) AS energy FROM d GROUP BY cluster_id""", "energy")
+@query("energy_distance", f"""WITH {CAST_SQL}, p AS (SELECT cluster_id || '/' || lead_h AS cloud, run = 0 AS side, lon AS x, lat AS y FROM fc),
+d AS (SELECT a.cloud, a.side AS s, b.side AS r, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS m FROM p a JOIN p b USING (cloud) GROUP BY ALL)
+SELECT cloud, 2 * max(m) FILTER (WHERE s AND NOT r) - max(m) FILTER (WHERE s AND r) - max(m) FILTER (WHERE NOT s AND NOT r) AS energy FROM d GROUP BY cloud HAVING bool_or(s) AND NOT bool_and(s)""", "energy")
 def _(spark, d):
-    ends = particles(spark, d).filter("lead_h = 42").select("cluster_id", "run", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return ops.energy_distance(ends.filter("run = 0"), ends.filter("run = 1"), "cluster_id")
+    at = particles(spark, d).select(F.concat_ws("/", "cluster_id", "lead_h").alias("cloud"), "run", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return similarity.energy_distance(at.filter("run = 0"), at.filter("run > 0"), "cloud")
 
 
 VECTOR_SQL = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM e)"
@@ -283,13 +284,26 @@ def vectors(spark, d):
 @query("similar_pairs", f"WITH {VECTOR_SQL} SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / a.l / b.l AS similarity, list_dot_product(a.v, b.v) / a.l / b.l >= {VERIFIED} AS verified FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) / a.l / b.l >= {ALIKE}", "similarity")
 def _(spark, d):
     v = vectors(spark, d)
-    return ops.similar_pairs(v, v, ALIKE).filter("a < b").withColumn("verified", F.col("similarity") >= VERIFIED)
+    return similarity.similar_pairs(v, None, ALIKE).withColumn("verified", F.col("similarity") >= VERIFIED)
 
 
 @query("cross_corpus", f"WITH {VECTOR_SQL} SELECT a.id AS a, max(list_dot_product(a.v, b.v) / a.l / b.l) AS best FROM u a JOIN u b ON a.id % 2 = 0 AND b.id % 2 = 1 WHERE list_dot_product(a.v, b.v) / a.l / b.l >= {ALIKE} GROUP BY a.id", "best")
 def _(spark, d):
     v = vectors(spark, d)
-    return ops.similar_pairs(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), ALIKE).groupBy("a").agg(F.max("similarity").alias("best"))
+    return similarity.similar_pairs(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), ALIKE).groupBy("a").agg(F.max("similarity").alias("best"))
+
+
+# Each vector as it is, against altered ones: component k of vector i is scaled by 1 + ((i * (k + 1) * 37) % 7 - 3) * c.
+ALTERED = 0.97
+
+
+@query("altered_copies", f"""WITH {VECTOR_SQL}, x AS (SELECT id, v, l FROM u), y AS (SELECT id, list_transform(range(len(v)), lambda k: v[k + 1] * (1 + ((id * (k + 1) * 37) % 7 - 3) * (CASE WHEN id % 3 = 0 THEN 15e-2 ELSE 5e-2 END))) AS w FROM u),
+z AS (SELECT id, w, sqrt(list_dot_product(w, w)) AS m FROM y) SELECT x.id AS a, z.id AS b, list_dot_product(v, w) / l / m AS similarity FROM x, z WHERE list_dot_product(v, w) / l / m >= {ALTERED}""", "similarity")
+def _(spark, d):
+    v = vectors(spark, d)
+    by = F.when(F.col("id") % 3 == 0, F.lit(0.15)).otherwise(F.lit(0.05))
+    scaled = F.transform("v", lambda p, k: p.cast("double") * (1 + ((F.col("id") * (k + 1) * 37) % 7 - 3) * by))
+    return similarity.similar_pairs(v, v.select("id", scaled.alias("v")), ALTERED)
 
 
 @query("hash_overlap", "SELECT count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE source = (SELECT min(source) FROM documents)) WHERE h IN (SELECT sha256(text) FROM documents WHERE source <> (SELECT min(source) FROM documents))")
