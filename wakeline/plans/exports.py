@@ -16,6 +16,7 @@ from wakeline.sources import files, sinks
 from wakeline.sources import testdata as td
 from wakeline.sources.work import work_dir
 from wakeline.streaming import events as streaming
+from wakeline.streaming import silence
 
 
 def fresh(spark, name: str) -> str:
@@ -213,34 +214,42 @@ def stream(spark, d, *columns: str):
     return spark.readStream.schema(e.schema).parquet(path).select(*columns)
 
 
-@query("stream_sliding", f"SELECT mmsi, us - us % {td.HOUR} - k * {td.HOUR} AS start_us, count(*) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS mmsi, {US} AS us FROM events), range(6) g(k) GROUP BY ALL")
+# A window is out when it ended at least an hour before the newest report; watermarks count in milliseconds.
+PASSED = f"(SELECT max({US}) // 1000 * 1000 - {td.HOUR} FROM events)"
+
+
+@query("stream_sliding", f"""SELECT * FROM (SELECT mmsi, us - us % {td.HOUR} - k * {td.HOUR} AS start_us, count(*) AS n
+  FROM (SELECT CAST(user_id AS VARCHAR) AS mmsi, {US} AS us FROM events), range(6) g(k) GROUP BY ALL) WHERE start_us + {6 * td.HOUR} <= {PASSED}""")
 def _(spark, d):
-    return streaming.settle(streaming.sliding_counts(stream(spark, d, "mmsi", "ts")), True)
+    return streaming.settle(streaming.sliding_counts(stream(spark, d, "mmsi", "ts")))
 
 
-@query("stream_hourly", f"SELECT us - us % {td.HOUR} AS start_us, count(*) AS n, avg(value) AS mean FROM (SELECT {US} AS us, value FROM events) GROUP BY ALL", "mean")
+@query("stream_hourly", f"""SELECT * FROM (SELECT us - us % {td.HOUR} AS start_us, count(*) AS n, avg(value) AS mean
+  FROM (SELECT {US} AS us, value FROM events) GROUP BY ALL) WHERE start_us + {td.HOUR} <= {PASSED}""", "mean")
 def _(spark, d):
-    return streaming.settle(streaming.hourly(stream(spark, d, "ts", "value")), True)
+    return streaming.settle(streaming.hourly(stream(spark, d, "ts", "value")))
 
 
 @query("stream_sessions", f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS mmsi, {US} AS us FROM events), s AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY mmsi ORDER BY us) <= {td.HOUR} THEN 0 ELSE 1 END AS new FROM e),
-g AS (SELECT *, sum(new) OVER (PARTITION BY mmsi ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT mmsi, min(us) AS start_us, max(us) + {td.HOUR} AS end_us, count(*) AS n FROM g GROUP BY mmsi, k""")
+g AS (SELECT *, sum(new) OVER (PARTITION BY mmsi ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM s),
+w AS (SELECT mmsi, min(us) AS start_us, max(us) + {td.HOUR} AS end_us, count(*) AS n FROM g GROUP BY mmsi, k) SELECT * FROM w WHERE end_us <= {PASSED}""")
 def _(spark, d):
-    return streaming.settle(streaming.sessions(stream(spark, d, "mmsi", "ts")), True)
+    return streaming.settle(streaming.sessions(stream(spark, d, "mmsi", "ts")))
 
 
 @query("stream_within", f"SELECT a.mmsi, a.id AS a, b.id AS b FROM (SELECT CAST(user_id AS VARCHAR) AS mmsi, {US} AS us, event_id AS id FROM events WHERE event_type = 'click') a JOIN (SELECT CAST(user_id AS VARCHAR) AS mmsi, {US} AS us, event_id AS id FROM events WHERE event_type = 'purchase') b ON a.mmsi = b.mmsi AND abs(a.us - b.us) <= {td.HOUR // 3}")
 def _(spark, d):
     reports = stream(spark, d, "mmsi", "ts", "id", "event_type")
-    return streaming.settle(streaming.within(reports.filter("event_type = 'click'"), reports.filter("event_type = 'purchase'"), 20), False)
+    return streaming.settle(streaming.within(reports.filter("event_type = 'click'"), reports.filter("event_type = 'purchase'"), 20))
 
 
-@query("stream_silent", f"SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS mmsi, max({US}) AS last_us FROM events GROUP BY user_id) WHERE last_us < {td.T0 + 234 * td.HOUR}")
+@query("stream_silent", f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS mmsi, {US} AS us, min(event_id) AS id FROM events GROUP BY ALL),
+n AS (SELECT *, lead(us) OVER (PARTITION BY mmsi ORDER BY us) AS following FROM e)
+SELECT mmsi, us AS last_us, id, us + {6 * td.HOUR} AS silent_us FROM n WHERE coalesce(following > us + {6 * td.HOUR}, true) AND us + {6 * td.HOUR} <= {PASSED}""")
 def _(spark, d):
-    last = streaming.settle(streaming.last_reports(stream(spark, d, "mmsi", "ts")), True)
-    return streaming.silent(last, td.T0 + 240 * td.HOUR, 6)
+    return streaming.settle(silence.silences(stream(spark, d, "mmsi", "ts", "id"), 6))
 
 
 @query("stream_without_repeats", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS mmsi, event_type FROM events")
 def _(spark, d):
-    return streaming.settle(streaming.without_repeats(stream(spark, d, "mmsi", "ts", "event_type"), "mmsi", "event_type", late="400 days").select("mmsi", "event_type"), False)
+    return streaming.settle(streaming.without_repeats(stream(spark, d, "mmsi", "ts", "event_type"), "mmsi", "event_type", late="400 days").select("mmsi", "event_type"))

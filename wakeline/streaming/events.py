@@ -1,7 +1,9 @@
 """Streaming forms of windows, joins and duplicate removal on report streams (mmsi, ts, ...).
 
-Each takes a streaming DataFrame and returns one; ``settle`` runs a stream over what its source has and returns the table
-it leaves. Watermarks bound the state: late rows beyond them are dropped, which is the feature.
+Each takes a streaming DataFrame and returns one; ``settle`` runs a stream over what its source has and returns the rows it
+gave out. All of them append: a window's row comes once, when the watermark has passed the window's end, and its state
+goes then, so that state is bounded by the rows of the last ``late`` before the newest. Rows behind the watermark are
+dropped, and windows that it has not passed are still open, which is the feature.
 """
 
 from __future__ import annotations
@@ -12,26 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.sources.work import work_dir
+from wakeline.streaming.silence import STORE
 
 
-def sliding_counts(reports: DataFrame, width: str = "6 hours", step: str = "1 hour", late: str = "30 days") -> DataFrame:
+def sliding_counts(reports: DataFrame, width: str = "6 hours", step: str = "1 hour", late: str = "1 hour") -> DataFrame:
     w = F.window("ts", width, step)
     return reports.withWatermark("ts", late).groupBy(w.alias("w"), "mmsi").agg(F.count("*").alias("n")).select("mmsi", F.unix_micros("w.start").alias("start_us"), "n")
 
 
-def hourly(reports: DataFrame, late: str = "30 days") -> DataFrame:
+def hourly(reports: DataFrame, late: str = "1 hour") -> DataFrame:
     """Tumbling hours: rows and mean value."""
     out = reports.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return out.select(F.unix_micros("w.start").alias("start_us"), "n", "mean")
 
 
-def sessions(reports: DataFrame, gap: str = "60 minutes", late: str = "30 days") -> DataFrame:
+def sessions(reports: DataFrame, gap: str = "60 minutes", late: str = "1 hour") -> DataFrame:
     """Stretches of each entity's track without a gap."""
     out = reports.withWatermark("ts", late).groupBy("mmsi", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("mmsi", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
 
 
-def within(left: DataFrame, right: DataFrame, minutes: int, late: str = "30 days") -> DataFrame:
+def within(left: DataFrame, right: DataFrame, minutes: int, late: str = "1 hour") -> DataFrame:
     """Pairs of reports of one entity at most so many minutes apart: ``left`` (mmsi, ts, id), ``right`` (mmsi, ts, id).
     Watermarks and the interval let Spark drop what can no longer meet."""
     a = left.withWatermark("ts", late).select(F.col("mmsi"), F.col("ts").alias("a_ts"), F.col("id").alias("a"))
@@ -40,30 +43,17 @@ def within(left: DataFrame, right: DataFrame, minutes: int, late: str = "30 days
     return a.join(b, near).select("mmsi", "a", "b")
 
 
-def last_reports(reports: DataFrame) -> DataFrame:
-    """The last report of each entity; state is one row each. Those long before the newest are silent (``silent``)."""
-    return reports.groupBy("mmsi").agg(F.unix_micros(F.max("ts")).alias("last_us"))
-
-
-def silent(last: DataFrame, now_us: int, hours: float) -> DataFrame:
-    return last.filter(F.col("last_us") < now_us - int(hours * 3.6e9))
-
-
-def without_repeats(reports: DataFrame, *keys: str, late: str = "30 days") -> DataFrame:
+def without_repeats(reports: DataFrame, *keys: str, late: str = "1 hour") -> DataFrame:
     """The first report of each key while its watermark lasts."""
     return reports.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def settle(stream: DataFrame, complete: bool) -> DataFrame:
-    """Runs the stream over all that its source has. ``complete``: the whole result of an aggregation, as of the last batch;
-    else every row that it gave out."""
+def settle(stream: DataFrame) -> DataFrame:
+    """Runs the stream over all that its source has, in append mode: every row that it gave out."""
     spark = stream.sparkSession
+    spark.conf.set(*STORE)
     base = f"{work_dir(spark)}/wakeline/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if complete:
-        writer = writer.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
-    else:
-        writer = writer.outputMode("append").format("parquet").option("path", f"{base}/out")
-    query = writer.start()
+    query = writer.outputMode("append").format("parquet").option("path", f"{base}/out").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
