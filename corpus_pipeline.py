@@ -9,9 +9,10 @@ docs. All but the last return the columns of ``documents``:
 4. pii: personal data and secrets in the texts are replaced by their kind;
 5. pack: the texts are tokenised and packed into sequences, token ids included.
 
-A stage begins by deleting the work tables of the stage before, unless its docs still read them (its result was not
-written). Nulls, empty and repeated rows mean in a stage what its operator says; empty tables give an empty result. The operators
-are imported when a stage runs, so that this module can be imported without them.
+A stage deletes the work tables that it wrote and its result does not read, and no others; ``run`` writes each result, and
+deletes then what that result read and the result before it. So runs in one process do not touch each other's tables. Nulls,
+empty and repeated rows mean in a stage what its operator says; empty tables give an empty result. The operators are
+imported when a stage runs, so that this module can be imported without them.
 """
 
 from __future__ import annotations
@@ -26,18 +27,11 @@ from wakeline.sources import work
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: Work tables of the stage before, which its written result has made useless.
-_left: list[str] = []
-
-
 def _stage(module: str) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles() if _left else []
-        work.remove(spark, [x for x in _left if not any(x.removeprefix("file:").lstrip("/") in f for f in files)])
-        _left.clear()
         with work.tables_written() as tables:
             out = import_module(f"wakeline.llm.{module}").stage(spark, docs, sf_dir)
-        _left.extend(tables)
+        work.remove(spark, work.unread(tables, out))
         return out
 
     return run_stage
@@ -58,8 +52,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, stage in STAGES:
-        docs = work.cut(stage(spark, docs, sf_dir), name)
+        with work.tables_written() as tables:
+            docs = work.cut(stage(spark, docs, sf_dir), name)
+        done = work.unread(tables, docs)
+        work.remove(spark, [*done, *before])
+        before = [t for t in tables if t not in done]
     return docs
 
 

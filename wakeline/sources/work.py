@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+#: Lists that ``cut`` adds its tables to, of the scopes that this thread is in.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -31,7 +33,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/wakeline/{name}-{uuid.uuid4().hex}"
-    for held in _scopes:
+    for held in _scopes.get():
         held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -41,11 +43,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def tables_written() -> Iterator[list[str]]:
     """Collects the paths of the tables that ``cut`` writes inside, for ``remove`` when no DataFrame needs them any more."""
     held: list[str] = []
-    _scopes.append(held)
+    before = _scopes.set((*_scopes.get(), held))
     try:
         yield held
     finally:
-        _scopes.remove(held)
+        _scopes.reset(before)
+
+
+def unread(tables: Iterable[str], df: DataFrame) -> list[str]:
+    """Those of ``tables`` that ``df`` does not read."""
+    plain = lambda path: "/" + path.split(":", 1)[-1].lstrip("/")
+    files = [plain(f) for f in df.inputFiles()]
+    return [t for t in tables if not any(f.startswith(plain(t) + "/") for f in files)]
 
 
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
