@@ -12,8 +12,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_text_queries import base, folder  # noqa: F401
+from tests.llm.test_text_queries import DATA, base, folder  # noqa: F401
 from wakeline.llm.queries import QUERIES
+from wakeline.sources import work
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -145,3 +146,25 @@ def test_packed_sequences_hold_every_document(seen):
         else:
             rooms[k] -= length
     assert len(places) <= len(rooms)
+
+
+def test_runs_do_not_touch_each_others_tables(spark, tmp_path):
+    """Two runs in turn; each result is written only after the other run has begun its next stage."""
+    first = second = spark.read.parquet(f"{DATA}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        lazy = [stage(spark, docs, DATA) for docs in (first, second)]
+        for n, df in enumerate(lazy):
+            df.write.parquet(f"{tmp_path}/{n}-{k}")
+        first, second = (spark.read.schema(df.schema).parquet(f"{tmp_path}/{n}-{k}") for n, df in enumerate(lazy))
+    again = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    rows = [sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect()) for df in (lazy[0], first, second)]
+    assert rows[0] == rows[1] == rows[2] and again.count() > 0
+
+
+def test_a_run_leaves_only_its_result(spark):
+    with work.tables_written() as tables:
+        out = corpus_pipeline.run(spark, DATA)
+    n = out.count()
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [t for t in tables if hadoop(t).getFileSystem(conf).exists(hadoop(t))]
+    assert len(there) == 1 and work.unread(there, out) == [] and n > 0

@@ -181,5 +181,6 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that hold a benchmark window."""
     found = contamination(docs, common.read(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "text_hash").distinct()
+    found = common.cut(found, "found")  # so that the postings can go
     kept = _same(docs.withColumn("text_hash", F.xxhash64(common.text_of("text"))), found, how="left_anti")
     return kept.select("doc_id", "text", "lang", "source", "n_chars")
