@@ -14,6 +14,7 @@ ranks cannot occur, since a language has each phrase once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ COVERED = 50
 #: Bits of the table of frequent phrases at most: 16 MB.
 FILTER_BITS = 1 << 27
 #: Words that a task numbers, and phrases that it counts, before it passes them on.
-HELD_WORDS, HELD_PHRASES = 400_000, 1_500_000
+HELD_WORDS, HELD_PHRASES = 300_000, 1_000_000
 #: Bytes of text that are split into words together.
 SLICE = 1 << 19
 #: Bits of a word's number inside a packed phrase.
@@ -84,6 +85,23 @@ def members(level: DataFrame, most_bits: int = FILTER_BITS) -> Members:
     return Members(words.view(np.uint64))
 
 
+class Numbers(dict):
+    """Numbers of words in the order they are met; the break has -1."""
+
+    def __init__(self, prefix: bytes | None) -> None:
+        super().__init__({BREAK: -1})
+        self.prefix = prefix
+        self.names: list[bytes] = []
+        self.hashes = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self.names)
+        self.names.append(word)
+        if self.prefix is not None:
+            self.hashes.append(xxhash.xxh64_intdigest(self.prefix + word, SEED))
+        return at
+
+
 class Tally:
     """Counts of the phrases of ``k`` words of one language, in bounded memory."""
 
@@ -93,30 +111,17 @@ class Tally:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {BREAK: -1}
-        self.names: list[bytes] = []
-        self.hashes = np.zeros(0, np.uint64)
+        self.numbers = Numbers(self.lang.encode() + b" " if self.known else None)
+        self.names = self.numbers.names
         self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_fresh = self.total = 0
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.number)
-        if new:
-            at = len(self.names)
-            self.number.update(zip(new, range(at, at + len(new)), strict=True))
-            self.names.extend(new)
-            if self.known:
-                lang = self.lang.encode() + b" "
-                hashes = np.fromiter((xxhash.xxh64_intdigest(lang + w, SEED) for w in new), np.uint64, len(new))
-                self.hashes = np.concatenate([self.hashes, hashes])
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-
     def add(self, words: list[bytes]) -> None:
         """Counts words that follow those of the call before."""
         k, words = self.k, self.carried + words
         self.carried = words[len(words) - k + 1 :] if k > 1 else []
-        ids = self.numbers(words)
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         n = len(ids) - k + 1
         if n <= 0 or not self.names:
             return
@@ -126,9 +131,9 @@ class Tally:
             keys = ids[fits]
         else:
             inside = np.logical_and.reduce([fits[j : j + n] for j in range(k)])
-            h = np.zeros(n + 1, np.uint64)
+            hashes, h = np.array(self.numbers.hashes), np.zeros(n + 1, np.uint64)
             for j in range(k - 1):
-                h = _rotate(h) ^ self.hashes[ids[j : j + n + 1]]
+                h = _rotate(h) ^ hashes[ids[j : j + n + 1]]
             frequent = self.known.holds(h)
             at = np.flatnonzero(inside & frequent[:-1] & frequent[1:])
             keys = ids[at]
