@@ -30,11 +30,6 @@ def test_components_of_no_edges(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_spanning_height(spark):
-    e = spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 3, 5.0), (1, 1, 3, 2.0)], "g long, a long, b long, w double")
-    assert [tuple(r) for r in graph.spanning_heights(e, "g").collect()] == [(1, 2.0)]
-
-
 def test_window_of_the_first_best(spark):
     oil = spark.createDataFrame([(1, "a", 0, k, k % 4, 0.0, 0.0 if k % 4 == 2 else 1.0) for k in range(16)], "cluster_id int, mmsi string, member int, pid long, hour int, lon double, lat double")
     samples = spark.createDataFrame([(1, 1, 0.0, 0.0)], "cluster_id int, sid int, lon double, lat double")
@@ -57,12 +52,6 @@ def test_ranks_share_their_mean_on_ties(spark):
     assert sorted(r.q for r in df.select(audit.average_rank(F.col("v"), "g").alias("q")).collect()) == [1.5, 1.5, 3.0]
 
 
-def test_bootstrap_of_constant_tiles(spark):
-    tiles = spark.createDataFrame([(k, 1, 1, 0) for k in range(50)], "tile int, tp int, fp int, fn int")
-    r = audit.bootstrap_ci(tiles, 20).collect()[0]
-    assert (r["mean"], r.lo, r.hi, r.draws) == (0.5, 0.5, 0.5, 20)
-
-
 def test_radius_join_at_antimeridian_and_poles(spark):
     rng = np.random.default_rng(3)
     lon = np.concatenate([rng.uniform(178, 182, 60), rng.uniform(-180, 180, 60), rng.uniform(-5, 5, 60)])

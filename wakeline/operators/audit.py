@@ -107,18 +107,6 @@ def threshold_sweep(df: DataFrame, score: str, truth: Column, thresholds: Sequen
     return sums.select("threshold", *overlap_metrics(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def bootstrap_ci(per_tile: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """Percentile interval of sum(tp) / sum(tp + fp + fn) over resampled tiles. Each tile's weight in a draw is Poisson(1),
-    by a hash of tile and draw (the multinomial's usual distributed form)."""
-    u = F.pmod(F.xxhash64("tile", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight = F.lit(0)
-    for limit in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941):
-        weight = weight + (u >= limit).cast("int")
-    drawn = per_tile.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    scores = drawn.groupBy("draw").agg(safe_ratio(F.sum(F.col("w") * F.col("tp")), F.sum(F.col("w") * (F.col("tp") + F.col("fp") + F.col("fn")))).alias("iou"))
-    return scores.agg(F.avg("iou").alias("mean"), F.percentile("iou", F.lit(0.025)).alias("lo"), F.percentile("iou", F.lit(0.975)).alias("hi"), F.count("*").alias("draws"))
-
-
 def robust_contrast(df: DataFrame, group: str, side: str, value: str) -> DataFrame:
     """Medians inside and outside, MAD outside and contrast to noise for each group."""
     med = df.groupBy(group, side).agg(F.median(value).alias("m"))

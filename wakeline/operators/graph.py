@@ -43,29 +43,3 @@ def numbered(comp: DataFrame) -> DataFrame:
 def with_singles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) for every node, also those without an edge."""
     return nodes.select("id").join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def spanning_heights(edges: DataFrame, group: str) -> DataFrame:
-    """(group, height): the longest edge of each group's minimum spanning tree, from edges (group, a, b, w). A group is an
-    annotated object with few parts; one task holds one group."""
-    import pandas as pd
-
-    def height(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        most = 0.0
-        for a, b, w in pdf.sort_values(["w", "a", "b"])[["a", "b", "w"]].itertuples(index=False):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                parent[ra] = rb
-                most = max(most, float(w))
-        return pd.DataFrame({group: [key[0]], "height": [most]})
-
-    kind = edges.schema[group].dataType.simpleString()
-    return edges.groupBy(group).applyInPandas(height, f"{group} {kind}, height double")
