@@ -20,8 +20,9 @@ def _edges(ring: Column) -> Column:
 
 
 def area(ring: Column) -> Column:
-    """Planar area."""
-    cross = lambda s, e: s + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
+    """Planar area; corners are taken relative to the first, so that it does not matter where the ring lies."""
+    x, y = ring[0]["x"], ring[0]["y"]
+    cross = lambda s, e: s + (e["p"]["x"] - x) * (e["q"]["y"] - y) - (e["q"]["x"] - x) * (e["p"]["y"] - y)
     return F.abs(F.aggregate(_edges(ring), F.lit(0.0), cross)) / 2.0
 
 
@@ -49,13 +50,18 @@ def geodesic_area_m2(ring: Column) -> Column:
     """Area on the WGS84 ellipsoid of a ring in degrees (x east, y north): the ring in equal-area coordinates (longitude,
     authalic sine of latitude), whose planar area is exact but for edges not being geodesics."""
 
+    return area(equal_area_ring(ring))
+
+
+def equal_area_ring(ring: Column) -> Column:
+    """A ring in degrees in equal-area coordinates, in metres."""
+
     def north(lat: Column) -> Column:
         s = F.sin(F.radians(lat))
         es = WGS84_E * s
         return WGS84_A * (1 - WGS84_E**2) / 2 * (s / (1 - es * es) + F.log((1 + es) / (1 - es)) / (2 * WGS84_E))
 
-    flat = F.transform(ring, lambda p: F.struct((F.radians(p["x"]) * WGS84_A).alias("x"), north(p["y"]).alias("y")))
-    return area(flat)
+    return F.transform(ring, lambda p: F.struct((F.radians(p["x"]) * WGS84_A).alias("x"), north(p["y"]).alias("y")))
 
 
 def clip(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -98,18 +104,25 @@ def overlaps(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b") -> DataFram
     return pairs.mapInArrow(run, out_schema)
 
 
-def smallest_rectangle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, tuple[float, float], tuple[float, float]]:
-    """Length, width, bearing of the long axis (0 to 180 from north) and its two ends, of the smallest rotated rectangle."""
-    points = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
-    hull: list[tuple[float, float]] = []
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The corners of the convex hull, counter-clockwise; fewer than three points, or points on a line, keep their ends."""
+    points = sorted(set(points))
+    if len(points) < 2:
+        return points
+    out: list[tuple[float, float]] = []
     for side in (points, points[::-1]):
         part: list[tuple[float, float]] = []
         for p in side:
             while len(part) > 1 and (part[-1][0] - part[-2][0]) * (p[1] - part[-2][1]) <= (part[-1][1] - part[-2][1]) * (p[0] - part[-2][0]):
                 part.pop()
             part.append(p)
-        hull += part[:-1]
-    h = np.array(hull or points)
+        out += part[:-1]
+    return out
+
+
+def smallest_rectangle(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, tuple[float, float], tuple[float, float]]:
+    """Length, width, bearing of the long axis (0 to 180 from north) and its two ends, of the smallest rotated rectangle."""
+    h = np.array(hull(list(zip(x.tolist(), y.tolist(), strict=True))))
     best = None
     for i in range(len(h)):
         d = h[(i + 1) % len(h)] - h[i]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from wakeline.functions import polygon
@@ -55,9 +57,17 @@ def _(spark, d):
     return polygon.overlaps(pairs).filter("inter_area > 1e-9").select("a", "b", "inter_area", "iou")
 
 
-@query("rotated_rectangles", f"WITH {BOX_SQL} SELECT id, greatest(w, h) AS length, least(w, h) AS width, CASE WHEN round(w, 9) >= round(h, 9) THEN 90e0 ELSE 0e0 END AS bearing FROM bx WHERE abs(w - h) > 1e-6", "length width bearing", digits=5)
+TURN = 0.5  # radians, counter-clockwise; a square's long side is either of two
+
+
+@query("rotated_rectangles", f"""WITH {BOX_SQL} SELECT id, greatest(w, h) AS length, least(w, h) AS width,
+  CASE WHEN abs(w - h) < 1e-6 THEN (90 - degrees({TURN}e0)) % 90 WHEN w > h THEN 90 - degrees({TURN}e0) ELSE 180 - degrees({TURN}e0) END AS bearing FROM bx""", "length width bearing", digits=5)
 def _(spark, d):
-    return polygon.rectangles(boxes(spark, d).filter("abs(w - h) > 1e-6")).select("id", "length", "width", F.pmod(F.round("bearing", 5), F.lit(180.0)).alias("bearing"))
+    s, c = math.sin(TURN), math.cos(TURN)
+    turned = F.transform("ring", lambda p: F.struct((p["x"] * c - p["y"] * s).alias("x"), (p["x"] * s + p["y"] * c).alias("y")))
+    found = polygon.rectangles(boxes(spark, d).withColumn("ring", turned))
+    square = F.col("length") - F.col("width") < 1e-6
+    return found.select("id", "length", "width", F.when(square, F.col("bearing") % 90).otherwise(F.col("bearing")).alias("bearing"))
 
 
 @query("gap_distributions", f"""WITH {PAIR_SQL}, s AS (SELECT CASE WHEN a.area_m2 < 3e4 AND b.area_m2 < 3e4 THEN 'small' ELSE 'mixed' END AS stratum, a.id % 2 = b.id % 2 AS intra, gap FROM pr JOIN parts a ON a.id = pr.a JOIN parts b ON b.id = pr.b)
