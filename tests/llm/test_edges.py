@@ -211,3 +211,21 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_row_is_a_candidate(spark):
+    """Repeated rows, other rows of the same id, vectors of another length, and a query whose row occurs twice."""
+    pick = random.Random(9)
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [0.25, 1.0]), (2, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (200, [1.0, 0.0, 0.0]), (3, [0.5, 0.0, 1.0]), (None, [9.0, 9.0])]
+    rows += [(k, [pick.choice([-1.0, 0.0, 0.5]), pick.choice([0.0, 0.25])]) for k in range(4, 40)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("row", "ids", "dim")})
+    for block, query_block in ((4096, 4096), (3, 1)):
+        got = topk.top_k(df.repartition(3), F.col("vec_id") % 100 == 0, block=block, query_block=query_block).collect()
+        kept = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None]
+        want = []
+        for n, (q, v) in enumerate(kept):
+            if q % 100 == 0:
+                best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(kept) if m != n and len(w) == len(v))[:10]
+                want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)

@@ -1,6 +1,6 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Vectors are dealt by hash of their id into blocks of bounded size. Each block has a sorted list for each dimension. For a
+Vectors are dealt by hash of their row into blocks of bounded size. Each block has a sorted list for each dimension. For a
 query the lists are read in step, from the end that its sign favours; every vector met is scored at once (random
 access), and reading stops when the sum over dimensions of query times last value read, the most that an unread
 vector can reach, is under the k-th score. Blocks are independent: each gives its k best, and the k best of those are
@@ -8,7 +8,8 @@ the answer. Query blocks meet candidate blocks by a join on the candidate block,
 
 Components are integers floor(1024 x), and scores are exact. Defined results: vectors that are null or empty, or hold
 null or non-finite components, take no part, neither do rows without an id; only vectors of equal length are compared;
-repeated rows count once; ties go to the smaller id; a query with fewer candidates than k gets them all.
+each row is a candidate of its own, also one that repeats another, and each row that asks is a query of its own, whose
+candidates are all rows but itself; ties go to the smaller id; a query with fewer candidates than k gets them all.
 """
 
 from __future__ import annotations
@@ -24,23 +25,23 @@ from wakeline.llm import common
 
 K = 10
 SCALE = 1024
-BLOCK, QUERIES = 4096, 256
+BLOCK, QUERIES = 4096, 4096
 
 
 class Lists:
     """Sorted lists of one block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, self.order, axis=0)
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, by score, then id."""
+        """Ids and scores of the k best, by score, then id; ``own`` is the query's row."""
         n = len(self.ids)
         up = np.flatnonzero(query < 0)
         down = np.flatnonzero(query > 0)
-        met = self.ids == own
+        met = self.rows == own
         rows, scores = np.zeros(0, np.int64), np.zeros(0, query.dtype)
         at, step = 0, 16
         while at < n:
@@ -70,19 +71,15 @@ def _whole(vector: Column) -> Column:
 
 
 def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each block: ids and integer vectors as bytes."""
+    """One row for each block: numbers of rows, ids and integer vectors as bytes."""
 
     def pack(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
+        numbers = {c: table.column(n).to_numpy().astype("<i8").tobytes() for c, n in (("rows", "row"), ("ids", "vec_id"))}
         vectors = np.floor(SCALE * np.array(table.column("vector").to_pylist(), np.float64))
-        seen: dict[tuple[int, bytes], int] = {}
-        for i, key in enumerate(zip(ids.tolist(), map(bytes, vectors), strict=True)):
-            seen.setdefault(key, i)
-        whole = sorted(seen.values())
-        ids, vectors = ids[whole], vectors[whole]
-        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([vectors.astype("<f8").tobytes()], pa.binary())})
-
-    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", ids binary, vectors binary"
+        held = {**numbers, "vectors": vectors.astype("<f8").tobytes()}
+        return pa.table({k: table.column(k).slice(0, 1) for k in keys} | {c: pa.array([x], pa.binary()) for c, x in held.items()})
+
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", rows binary, ids binary, vectors binary"
     return rows.groupBy(*keys).applyInArrow(pack, schema)
 
 
@@ -90,13 +87,13 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: st
     """query_id, rank, vec_id, score; ``queries`` is a condition on ``vec_id``."""
     vector = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("vector")).filter(F.col("vec_id").isNotNull() & _whole(F.col("vector")))
-    rows = common.cut(rows.withColumn("dim", F.size("vector")), "vectors")
+    rows = common.cut(rows.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()}), "vectors")
     n, asked = rows.agg(F.count("*"), F.count_if(queries)).first()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked // query_block))
-    place = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    place = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
     held = _packed(rows.withColumn("block", place(blocks)), ["dim", "block"])
     sent = _packed(rows.filter(queries).withColumn("part", place(query_blocks)), ["dim", "part"])
-    sent = sent.select("dim", "part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    sent = sent.select("dim", "part", F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     met = held.join(sent, ["dim", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,17 +103,18 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: st
                 vectors, asked = (np.frombuffer(row[c], "<f8").reshape(-1, row["dim"]) for c in ("vectors", "q_vectors"))
                 exact = np.abs(vectors).max() * np.abs(asked).max() * row["dim"] < 2**52
                 if last != (row["dim"], row["block"], exact):
-                    lists = Lists(np.frombuffer(row["ids"], "<i8"), vectors if exact else _integers(vectors))
+                    lists = Lists(np.frombuffer(row["rows"], "<i8"), np.frombuffer(row["ids"], "<i8"), vectors if exact else _integers(vectors))
                     last = (row["dim"], row["block"], exact)
                 found = []
-                for q, v in zip(np.frombuffer(row["q_ids"], "<i8"), asked if exact else _integers(asked), strict=True):
-                    ids, scores = lists.best(v, int(q), k)
-                    found.append((np.full(len(ids), q), ids, np.array([_long(s) for s in scores], np.int64)))
-                q, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
-
-    best = met.select("dim", "block", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(common.settled(run), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+                queries = zip(np.frombuffer(row["q_rows"], "<i8"), np.frombuffer(row["q_ids"], "<i8"), asked if exact else _integers(asked), strict=True)
+                for own, q, v in queries:
+                    ids, scores = lists.best(v, int(own), k)
+                    found.append((np.full(len(ids), own), np.full(len(ids), q), ids, np.array([_long(s) for s in scores], np.int64)))
+                columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["own", "query_id", "vec_id", "score"])
+
+    best = met.select("dim", "block", "rows", "ids", "vectors", "q_rows", "q_ids", "q_vectors").mapInArrow(common.settled(run), "own long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -136,13 +134,13 @@ def op8_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row AND len(q.v) = len(c.v)
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
