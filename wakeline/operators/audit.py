@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.nulls import safe_ratio
+from wakeline.operators.numbering import numbered
 
 
 def average_rank(value: Column, *within: str) -> Column:
@@ -47,7 +48,7 @@ def require_unique(df: DataFrame, *keys: str) -> DataFrame:
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once, with their count, smallest id and group number (by key order)."""
     counted = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
-    return counted.withColumn("group_id", F.dense_rank().over(Window.orderBy("first_id")) - 1)
+    return numbered(counted, ["first_id"], "group_id").withColumn("group_id", F.col("group_id").cast("int"))
 
 
 def anchored_pairs(df: DataFrame, key: str) -> DataFrame:
@@ -115,13 +116,6 @@ def robust_contrast(df: DataFrame, group: str, side: str, value: str) -> DataFra
     return wide.withColumn("contrast", F.col("inside") - F.col("outside")).withColumn("cnr", safe_ratio(F.col("inside") - F.col("outside"), 1.4826 * F.col("mad")))
 
 
-def group_folds(df: DataFrame, group: str, label: Column, folds: int, seed: int = 0) -> DataFrame:
-    """(group, fold): whole groups, largest first, dealt in turn within their majority label, ties by hash."""
-    g = df.groupBy(group).agg(F.count("*").alias("n"), F.mode(label, True).alias("y"))
-    w = Window.partitionBy("y").orderBy(F.desc("n"), F.xxhash64(group, F.lit(seed)), group)
-    return g.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("int")).select(group, "n", "y", "fold")
-
-
 def stratified_halves(df: DataFrame, stratum: str, id_col: str, seed: int = 0) -> DataFrame:
     """Alternate assignment in a hashed order within each stratum."""
     w = Window.partitionBy(stratum).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col)

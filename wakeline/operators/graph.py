@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.operators import numbering
 from wakeline.sources.work import cut
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether no larger end has two smaller ones, and none is the smaller end of another edge. Steps keep what is
+    connected, so that each star is a component then."""
+    n, ends = e.agg(F.count("*"), F.count_distinct("a")).first()
+    return n == ends and e.join(e.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every end of ``edges`` (a, b: long); the component is its smallest id.
 
-    Alternates large-star and small-star steps until no edge changes: a logarithmic number of rounds in practice. A hub
-    meets its minimum in a partial aggregate and a join that can be split, never in one task. Each round ends in a
-    written table.
+    Alternates large-star and small-star steps until every component is a star about its smallest id: a logarithmic number
+    of rounds in practice. A hub meets its minimum in a partial aggregate and a join that can be split, never in one task.
+    Each round ends in a written table.
     """
     e = cut(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -25,19 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         e = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == last:
-            break
-        last = now
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
 def numbered(comp: DataFrame) -> DataFrame:
     """Components with numbers from 0 in order of their smallest id."""
-    from pyspark.sql import Window
-
-    names = comp.select("component").distinct().withColumn("number", F.row_number().over(Window.orderBy("component")) - 1)
-    return comp.join(names, "component")
+    names = numbering.numbered(comp.select("component").distinct(), ["component"], "number")
+    return comp.join(names.withColumn("number", F.col("number").cast("int")), "component")
 
 
 def with_singles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

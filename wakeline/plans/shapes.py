@@ -156,10 +156,3 @@ def _(spark, d):
     halves = audit.stratified_halves(td.table(spark, d, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey")
     counts = halves.groupBy("c_mktsegment").agg(F.count_if(F.col("split") == "calibration").alias("n_calibration"), F.count_if(F.col("split") == "test").alias("n_test"))
     return counts.withColumn("odd", F.col("n_calibration") - F.col("n_test"))
-
-
-@query("group_folds", """SELECT y, fold, n_groups FROM (SELECT y, (i % 5)::INT AS fold, count(*) AS n_groups FROM (SELECT y, row_number() OVER (PARTITION BY y ORDER BY g) - 1 AS i FROM (
-  SELECT o_custkey AS g, arg_min(o_orderstatus, (-c, o_orderstatus)) AS y FROM (SELECT o_custkey, o_orderstatus, count(*) AS c FROM orders GROUP BY ALL) GROUP BY o_custkey)) GROUP BY ALL)""")
-def _(spark, d):
-    folds = audit.group_folds(td.table(spark, d, "orders"), "o_custkey", F.col("o_orderstatus"), 5)
-    return folds.groupBy("y", "fold").agg(F.count("*").alias("n_groups"))
