@@ -32,6 +32,18 @@ def compare_rankings(a: DataFrame, b: DataFrame, key: str, group: str, score: st
     return counts.join(spearman, "bin")
 
 
+def identical_order(a: DataFrame, b: DataFrame, key: str, group: str, rank: str, k: int = 6) -> DataFrame:
+    """(group, n, same_members, same_order): whether two rankings have the same first ``k`` entities of each group, and in
+    the same order; ties of a rank are taken by entity. ``n`` is how many the first has. A group of one ranking alone
+    differs."""
+    top = lambda df, n: df.filter(F.col(rank).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(rank, key))).filter(F.col("_n") <= k).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(key).alias("_k")))).alias(n))
+    j = top(a, "_a").join(top(b, "_b"), group, "full_outer")
+    names = lambda c: F.transform(c, lambda x: x["_k"])
+    same = lambda x, y: F.coalesce(x == y, F.lit(False))
+    members = same(F.array_sort(names("_a")), F.array_sort(names("_b")))
+    return j.select(group, F.coalesce(F.size("_a"), F.lit(0)).alias("n"), members.alias("same_members"), same(names("_a"), names("_b")).alias("same_order"))
+
+
 def outer_with_source(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Full outer join with ``source``: both, left_only or right_only."""
     j = a.withColumn("_l", F.lit(True)).join(b.withColumn("_r", F.lit(True)), list(on), "full_outer")
@@ -95,10 +107,10 @@ def overlap_metrics(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 def threshold_sweep(df: DataFrame, score: str, truth: Column, thresholds: Sequence[float]) -> DataFrame:
     """Metrics for each threshold, in one pass: a row counts towards the number of thresholds it reaches, and running
-    sums over that number give every threshold's counts."""
+    sums over that number give every threshold's counts. A null score reaches none."""
     reached = F.lit(0)
     for x in thresholds:
-        reached = reached + (F.col(score) >= x).cast("int")
+        reached = reached + F.coalesce(F.col(score) >= x, F.lit(False)).cast("int")
     counts = df.groupBy(reached.alias("k")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
     spark = df.sparkSession
     grid = spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(sorted(thresholds))], "j int, threshold double")

@@ -40,6 +40,12 @@ def behaviour(reports: DataFrame, t0_us: int, window_h: int = 48, gap_min: float
     return out.withColumn("mmsi_standard", valid_mmsi(F.col(key)))
 
 
+def static_columns(reports: DataFrame, key: str = "mmsi") -> DataFrame:
+    """(key, name, vessel_type, length_m): what an entity says of itself: its most common name and type (the smallest of
+    ties; null if it never names a type) and its largest length."""
+    return reports.groupBy(key).agg(most_common_name(F.col("name")).alias("name"), F.mode("vessel_type", True).alias("vessel_type"), F.max("length_m").alias("length_m"))
+
+
 def gap_text(gaps: Column) -> Column:
     """Gaps as text, hours to one place: ``39.3-37.6h;8.0-5.7h``."""
     return F.array_join(F.transform(gaps, lambda g: F.format_string("%.1f-%.1fh", g["hi_h"], g["lo_h"])), ";")

@@ -60,8 +60,8 @@ def _(spark, d):
     return fused(spark, d).select(*FUSED)
 
 
-CASE = {"case_id": "cast(n_nationkey % 7 as int)", "n": "n_nationkey", "truth": "cast(n_nationkey * 3 + 1 as {string})", "stratum": "case when n_nationkey % 2 = 0 then 'near' else 'far' end", "moving": "n_nationkey % 3 = 0", "tau_start_h": "(n_nationkey % 30 + 6) * 1e0", "tau_end_h": "(n_nationkey % 30) * 1e0"}
-CASES_SQL = f"{FUSE_SQL}, {sql_of('cs', 'nation', CASE)}, cases AS (SELECT * EXCLUDE (n) FROM cs WHERE n < 7)"
+CASE = {"case_id": "cast(n_nationkey as int)", "truth": "cast(n_nationkey * 3 + 1 as {string})", "stratum": "case when n_nationkey % 2 = 0 then 'near' else 'far' end", "moving": "n_nationkey % 3 = 0", "tau_start_h": "(n_nationkey % 30 + 6) * 1e0", "tau_end_h": "(n_nationkey % 30) * 1e0"}
+CASES_SQL = f"{FUSE_SQL}, {sql_of('cs', 'nation', CASE)}, cases AS (SELECT * FROM cs)"
 SCORED_SQL = f"""{CASES_SQL}, sk AS (SELECT *, rank() OVER (PARTITION BY cluster_id ORDER BY round(bwd_weighted, 6) DESC) AS rb, rank() OVER (PARTITION BY cluster_id ORDER BY round(fwd_f, 6) DESC) AS rf FROM fused),
 res AS (SELECT case_id, truth, stratum, moving, coalesce(n.n, 0) AS n_suspects, s.tier IS NOT NULL AS truth_passes_funnel, s.suspect_rank AS rank_fused, coalesce(s.tier, 'not in funnel') AS tier_truth, CAST(rb AS INT) AS rank_backward_only, CAST(CASE WHEN s.fwd_f > 0 THEN rf END AS INT) AS rank_forward_only,
   coalesce(n.top_tier, 'none') AS top_tier, n.top_vessel, CASE WHEN s.fwd_f > 0 THEN greatest(0, least(s.window_end_h, tau_start_h) - greatest(s.window_start_h, tau_end_h)) END AS window_overlap_h,
@@ -71,7 +71,7 @@ res AS (SELECT case_id, truth, stratum, moving, coalesce(n.n, 0) AS n_suspects,
 
 
 def cases(spark, d):
-    return td.derived(spark, d, "nation", CASE).filter("n < 7").drop("n")
+    return td.derived(spark, d, "nation", CASE)
 
 
 @query("score_cases", f"WITH {SCORED_SQL} SELECT * FROM res", "window_overlap_h window_mid_error_h")
@@ -96,7 +96,7 @@ ACCUSED = PAIR | {
 TRUTHS = {"case_id": "cast(n_nationkey as int)", "truth": "cast(n_nationkey + 7 as {string})", "split": "case when n_nationkey % 2 = 0 then 'calibration' else 'test' end"}
 GRID = [(i, a, b, c, m) for i, (a, b, c, m) in enumerate((a, b, c, m) for a in (0.0, 0.4, 0.7) for b in (0.0, 0.5) for c in (0.0, 0.3) for m in (1.0, 1.2))]
 RULES_SQL = f"rules(rule_id, a, b, c, m) AS (VALUES {', '.join(f'({i}, {a}e0, {b}e0, {c}e0, {m}e0)' for i, a, b, c, m in GRID)})"
-SWEEP_SQL = f"""{sql_of('su', 'supplier', ACCUSED)}, tr AS (SELECT * FROM (SELECT {td.columns(TRUTHS)} FROM nation) WHERE case_id < 7), {RULES_SQL},
+SWEEP_SQL = f"""{sql_of('su', 'supplier', ACCUSED)}, tr AS (SELECT {td.columns(TRUTHS)} FROM nation), {RULES_SQL},
 v AS (SELECT su.*, case_id, truth, split, h.hidden FROM su JOIN tr ON cluster_id = case_id CROSS JOIN (VALUES (false), (true)) h(hidden) WHERE NOT h.hidden OR mmsi <> truth),
 ru AS (SELECT v.*, coalesce((SELECT max(o.fwd_f) FROM v o WHERE o.case_id = v.case_id AND o.hidden = v.hidden AND o.mmsi <> v.mmsi), 0) AS runner FROM v),
 ok AS (SELECT ru.*, rules.*, coalesce(fwd_f >= a AND bwd_point >= b AND coalesce(member_support, 0) >= c AND (fwd_f > 0 OR a = 0), false) AS ok FROM ru, rules),
@@ -110,7 +110,7 @@ SWEPT = "correct_attribution truth_supported no_accusation_when_present false_ac
 def swept(spark, d):
     rules = spark.createDataFrame(GRID, "rule_id int, a double, b double, c double, m double")
     su = td.derived(spark, d, "supplier", ACCUSED).withColumnRenamed("cluster_id", "case_id")
-    return fusion.sweep_rules(su, td.derived(spark, d, "nation", TRUTHS).filter("case_id < 7"), rules)
+    return fusion.sweep_rules(su, td.derived(spark, d, "nation", TRUTHS), rules)
 
 
 @query("sweep_rules", f"WITH {SWEEP_SQL} SELECT * FROM swept", SWEPT)
