@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 from itertools import product
 
@@ -229,3 +230,24 @@ def test_every_row_is_a_candidate(spark):
                 best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(kept) if m != n and len(w) == len(v))[:10]
                 want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_work_grows_with_the_length_of_a_url(spark):
+    """A url of a million characters is judged like any other, and as its pieces say."""
+    pick = random.Random(8)
+    judged = [(f"http://{pick.choice(['good.net/en', 'fine.net'])}/{pick.randint(0, 999)}", "allow") for _ in range(60)] + [(f"http://bad{pick.randint(0, 99)}.com/zz?q={pick.randint(0, 99)}", "block") for _ in range(60)]
+    model = url_filter.train(spark.createDataFrame(judged, "url string, verdict string").distinct())
+    period = "data/" + "".join(pick.choice("abcdef019=&%;é") for _ in range(123))
+    long = period * 8000
+    urls = [period * n for n in (1, 2, 3)] + [long, long, "x" * 63, "x" * 64, "x" * 65, "", None]
+    began = time.monotonic()
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), model).collect()
+    assert time.monotonic() - began < 60 and len(got) == len(urls)
+    score = {r.page_id: r.score for r in got}
+    # Each further period adds the same sum to a url's score.
+    sums = [score[k] * len(urls[k]) for k in range(4)]
+    assert math.isclose(sums[2] - sums[1], sums[1] - sums[0], rel_tol=1e-9)
+    assert math.isclose(sums[3], sums[0] + 7999 * (sums[1] - sums[0]), rel_tol=1e-9)
+    assert score[3] == score[4] and score[8] == score[9] == 0.0
+    last = score[7] * 65 - score[6] * 64
+    assert math.isclose(score[6] * 64 - score[5] * 63, last, rel_tol=1e-9)

@@ -7,7 +7,8 @@ difference per character against a threshold calibrated on held-out judged urls.
 
 Characters are 32 symbols (letters without case, one for digits, four for marks, one for the start). What is broadcast are
 the ratios of the four-symbol sequences seen in training, 32^4 at most whatever the table's size, and 32^3 numbers each
-for leaving a context and for the next shorter one. A url's characters are summed before anything is shuffled.
+for leaving a context and for the next shorter one. A url is cut once into short pieces that overlap by a context, so that
+work grows with its length; sums go by the md5 of a url, before anything is shuffled, and meet the rows again at the end.
 Everything runs in DataFrame operations.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; a null or empty url is blocked;
@@ -28,6 +29,8 @@ SYMBOLS = 32
 ORDER = 3
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Characters of a piece, besides the context it takes over.
+PIECE = 64
 #: Thresholds tried: this many a unit of the score, from -4 to 4.
 STEPS = 50
 
@@ -69,6 +72,19 @@ def _code(text: Column, at: Column, size: int) -> Column:
     return out
 
 
+def _grams(rows: DataFrame, url: str) -> DataFrame:
+    """The other columns of ``rows`` with ``code`` for each character of the column ``url`` and its context, and ``first``
+    for the first of a url. Urls without characters have no rows."""
+    kept = [c for c in rows.columns if c != url]
+    parts = F.regexp_extract_all(symbols(F.col(url)), F.lit(f"(.{{1,{PIECE}}})"), F.lit(1))
+    held = rows.filter(F.length(url) > 0).select(*kept, parts.alias("parts_"))
+    before = F.concat(F.array(F.lit("")), F.slice("parts_", 1, F.size("parts_") - 1))
+    pieces = held.select(*kept, F.posexplode(F.zip_with(before, "parts_", lambda p, q: F.concat(F.right(p, F.lit(ORDER)), q))).alias("k_", "piece_"))
+    places = pieces.filter(F.length("piece_") > ORDER).withColumn("at_", F.explode(F.sequence(F.lit(1), F.length("piece_") - ORDER)))
+    first = (F.col("k_") == 0) & (F.col("at_") == 1)
+    return places.select(*kept, _code(F.col("piece_"), F.col("at_"), ORDER + 1).cast("long").alias("code"), first.alias("first"))
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios, allowed to blocked. All three tables are bounded by the number of symbols."""
@@ -114,23 +130,23 @@ def _tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _scored(rows: DataFrame, url: str, model: Model) -> DataFrame:
-    """``rows`` with score: the mean difference per character of the column ``url``. Rows that repeat stay as many."""
-    names = rows.columns
-    u = symbols(F.col(url))
-    placed = rows.select("*", u.alias("u_"), F.explode_outer(F.when(F.length(u) > ORDER, F.sequence(F.lit(1), F.length(u) - ORDER))).alias("at_"))
-    grams = placed.select(*names, "at_", F.when(F.col("at_").isNotNull(), _code(F.col("u_"), F.col("at_"), ORDER + 1)).cast("long").alias("code"))
+    """``rows`` with score: the mean difference per character of the column ``url``; 0 without characters."""
+    keyed = rows.withColumn("key_", F.md5(F.col(url).cast("binary")))
+    grams = _grams(keyed.select("key_", url), url)
     grams = grams.withColumns({"context": F.shiftright("code", 5), "rest": F.pmod("code", F.lit(SYMBOLS**ORDER))})
     found = grams.join(F.broadcast(model.seen), "code", "left").join(F.broadcast(model.escape), "context", "left").join(F.broadcast(model.shorter), "rest", "left")
     value = F.coalesce("llr", F.coalesce("escape", F.lit(0.0)) + F.col("short_llr"))
-    summed = found.groupBy(*names).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("score"), F.count_if(F.col("at_").isNull() | (F.col("at_") == 1)).alias("times_"))
-    return summed.select(*names, "score", F.explode(F.sequence(F.lit(1), F.col("times_"))).alias("copy_")).drop("copy_")
+    sums = common.cut(found.groupBy("key_").agg(F.avg(value).alias("score"), F.count_if("first").alias("times_")), "scores")
+    told = common.spread_join(keyed.filter(F.length(url) > 0), sums, ["key_"], "times_").drop("key_", "times_")
+    none = rows.filter(F.col(url).isNull() | (F.length(url) == 0)).withColumn("score", F.lit(0.0))
+    return told.unionByName(none)
 
 
 def train(judged: DataFrame) -> Model:
     """``judged``: url and verdict. A fifth, by a hash of the url, is held out to calibrate the threshold."""
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    rows = judged.filter("url is not null and length(url) > 0").select("url", symbols(F.col("url")).alias("u"), (F.col("verdict") == "allow").alias("good"), held.alias("held"))
-    grams = rows.filter(~F.col("held")).select("u", "good", F.explode(F.sequence(F.lit(1), F.length("u") - ORDER)).alias("at")).select("good", _code(F.col("u"), F.col("at"), ORDER + 1).cast("long").alias("gram"))
+    rows = judged.filter("url is not null and length(url) > 0").select("url", (F.col("verdict") == "allow").alias("good"), held.alias("held"))
+    grams = _grams(rows.filter(~F.col("held")).select("url", "good"), "url").select("good", F.col("code").alias("gram"))
     counts = common.cut(grams.groupBy("gram").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "grams")
     model = Model(*_tables(counts), 0.0)
     step = F.greatest(F.lit(-4 * STEPS), F.least(F.lit(4 * STEPS), F.floor(F.col("score") * STEPS))).cast("int")
