@@ -69,3 +69,35 @@ def test_box_join_over_the_antimeridian(spark):
     points = spark.createDataFrame([(1, 0, 179.9, 1.0), (2, 0, -179.9, 1.0), (3, 0, 0.0, 1.0), (4, 0, -179.9, 89.0)], "p int, k int, lon double, lat double")
     boxes = spark.createDataFrame([(1, 0, 179.0, 181.0, 0.0, 2.0), (2, 0, -400.0, 400.0, 88.0, 95.0), (3, 0, -180.5, -179.95, 0.0, 2.0)], "b int, k int, lon0 double, lon1 double, lat0 double, lat1 double")
     assert {(r.p, r.b) for r in box_join(points, boxes, ("k",)).collect()} == {(1, 1), (2, 1), (4, 2), (1, 3)}
+
+
+def test_clouds_in_slices(spark, monkeypatch):
+    """Statistics by all pairs, however positions are sliced; null and odd coordinates, keys without a cloud, null keys."""
+    from wakeline.operators import clouds
+
+    rng = np.random.default_rng(5)
+    place = lambda: (float(rng.uniform(-1, 1)), float(rng.uniform(-1, 1)))
+    rows = [(f"m{k}", k % 3, *place(), 2.0 + k % 2) for k in range(60)] + [("n", 0, None, 1.0, 1.0), ("o", 1, float("nan"), 1.0, 1.0), ("p", 9, 0.0, 0.0, 1.0), ("q", None, 0.0, 0.0, 1.0)]
+    dots = [(k % 3, ("a", "b", None)[k % 5 % 3], *place()) for k in range(70)] + [(0, "a", float("nan"), 0.0), (0, "a", None, 0.0), (7, "a", 0.0, 0.0), (2, "lost", None, None)]
+    at = spark.createDataFrame(rows, "mmsi string, t int, lon double, lat double, sigma double")
+    cloud = spark.createDataFrame(dots, "t int, run string, p_lon double, p_lat double")
+    for size in (4096, 5):
+        monkeypatch.setattr(clouds, "SLICE", size)
+        got = {(r.mmsi, r.t, r.run): r for r in clouds.against_clouds(at, cloud, ("t",), "sigma", ("run",)).collect()}
+        want = {(m, t, run) for m, t, *_ in rows for u, run, x, y in dots if t == u and x is not None and x == x and y is not None}
+        assert got.keys() == want
+        for m, t, lon, lat, s in rows:
+            for run in ("a", "b", None):
+                if (r := got.get((m, t, run))) is None:
+                    continue
+                if lon is None or lon != lon:
+                    assert r.density_score is None and r.min_distance_km is None
+                    continue
+                p = np.radians([(x, y) for u, c, x, y in dots if u == t and c == run and x is not None and x == x])
+                a, b = np.radians(lon), np.radians(lat)
+                h = np.sin((p[:, 1] - b) / 2) ** 2 + np.cos(b) * np.cos(p[:, 1]) * np.sin((p[:, 0] - a) / 2) ** 2
+                d = 2 * 6371.0088 * np.arcsin(np.sqrt(h))
+                assert np.isclose(r.min_distance_km, d.min()) and np.isclose(r.median_distance_km, np.median(d))
+                assert np.isclose(r.density_score, np.exp(-0.5 * (d / s) ** 2).mean()) and np.isclose(r.fraction_particles_10km, (d <= 10).mean())
+    assert clouds.against_clouds(at.limit(0), cloud, ("t",), "sigma").collect() == []
+    assert clouds.against_clouds(at, cloud.limit(0), ("t",), "sigma").collect() == []

@@ -1,14 +1,14 @@
 """Positions against particle clouds without a row for each pair.
 
-The particles of a cloud (one event, member or scenario at one time) become one row of arrays, positions with the same key
-rows of at most about ``SLICE``. A join on the key puts slices next to clouds, and one vectorised pass works out all
-statistics of a slice in blocks: neither pairs nor distances are ever shuffled, and slices of one busy hour are dealt over
-tasks. A cloud is one simulated time of one run and has to fit a row (16 bytes a particle).
+The positions of one key (an hour, say) are dealt into slices of about ``SLICE``, and the particles of that key go to each
+of its slices, once, whatever number of clouds (events, members, scenarios) they form. A task takes a slice with its
+clouds and works out all statistics in blocks: neither pairs nor distances are ever shuffled, and the slices of one busy
+hour are dealt over tasks. The clouds of one key have to fit a task (16 bytes a particle).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from wakeline.functions.geo import EARTH_KM
 from wakeline.functions.nulls import finite
 from wakeline.sources.work import cut
 
-SLICE = 512
+SLICE = 4096
 #: Distances held at once.
 BLOCK = 1 << 20
 STATISTICS = ("min_distance_km", "p10_distance_km", "median_distance_km", "fraction_particles_2km", "fraction_particles_5km", "fraction_particles_10km", "density_score")
@@ -70,33 +70,40 @@ def against_clouds(positions: DataFrame, particles: DataFrame, on: Sequence[str]
     statistics of its distances to the particles (p_lon, p_lat). Particles that are not finite do not count; a position
     without a cloud gives no row, one without finite coordinates gives nulls."""
     on, own = list(on), positions.columns
-    held = cut(positions, "positions")
-    counts = held.groupBy(*on).agg(F.ceil(F.count("*") / SLICE).alias("_slices"))
     carried = [c for c in own if c not in on]
-    sliced = held.join(counts, on).withColumn("_slice", F.pmod(F.xxhash64(*own), F.col("_slices")))
-    slices = sliced.groupBy(*on, "_slice").agg(F.collect_list(F.struct(*carried)).alias("_rows"))
-    cloud = particles.filter(finite(F.col("p_lon"), F.col("p_lat"))).groupBy(*on, *cloud_keys).agg(F.collect_list(F.struct(F.col("p_lon").cast("double").alias("x"), F.col("p_lat").cast("double").alias("y"))).alias("_cloud"))
-    met = slices.join(cloud, on).repartition(*on, *cloud_keys, "_slice")
     schema = StructType([*(positions.schema[c] for c in on), *(particles.schema[c] for c in cloud_keys), *(positions.schema[c] for c in carried)])
     for c in wanted:
         schema = schema.add(c, DoubleType())
-    keys = [*on, *cloud_keys]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                rows, points = batch.column("_rows")[i].values, batch.column("_cloud")[i].values
-                column = lambda c, rows=rows: rows.field(c).to_numpy(zero_copy_only=False).astype(float)
-                x, y, s = column("lon"), column("lat"), column(sigma)
-                ok = np.isfinite(x) & np.isfinite(y)
-                there, here = _unit(points.field("x").to_numpy(), points.field("y").to_numpy()), _unit(np.where(ok, x, 0), np.where(ok, y, 0))
-                step = max(1, BLOCK // there.shape[1])
-                parts = [_statistics(distances_km(here[:, k : k + step], there), s[k : k + step], wanted) for k in range(0, len(x), step)]
-                found = [pa.array(np.concatenate(p), mask=~ok) for p in zip(*parts, strict=True)]
-                same = pa.array(np.full(len(x), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(same) for k in keys), *(rows.field(c) for c in carried), *found], schema=_arrow(batch, rows))
-
-    def _arrow(batch: pa.RecordBatch, rows: pa.StructArray) -> pa.Schema:
-        return pa.schema([*((k, batch.schema.field(k).type) for k in keys), *((c, rows.type.field(c).type) for c in carried), *((c, pa.float64()) for c in wanted)])
-
-    return met.select(*keys, "_rows", "_cloud").mapInArrow(run, schema)
+    held = cut(positions, "positions")
+    counts = held.groupBy(*on).agg(F.ceil(F.count("*") / SLICE).alias("_slices"))
+    slices = held.join(counts, on).withColumn("_slice", F.pmod(F.xxhash64(*own), F.col("_slices"))).drop("_slices")
+    points = particles.filter(finite(F.col("p_lon"), F.col("p_lat"))).select(*on, *cloud_keys, F.col("p_lon").cast("double").alias("_x"), F.col("p_lat").cast("double").alias("_y"))
+    clouds = points.join(counts, on).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
+
+    def score(rows: pa.Table, cloud: pa.Table) -> pa.Table:
+        column = lambda c: rows.column(c).to_numpy().astype(float)
+        x, y, s = column("lon"), column("lat"), column(sigma)
+        ok = np.isfinite(x) & np.isfinite(y)
+        here = _unit(np.where(ok, x, 0), np.where(ok, y, 0))
+        all_there = _unit(cloud.column("_x").to_numpy(), cloud.column("_y").to_numpy())
+        code = np.zeros(len(cloud), np.int64)
+        for k in cloud_keys:
+            own = cloud.column(k).combine_chunks().dictionary_encode()
+            code = code * (len(own.dictionary) + 1) + own.indices.fill_null(len(own.dictionary)).to_numpy()
+        order = np.argsort(code, kind="stable")
+        edges = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1)) if len(rows) and len(code) else np.zeros(0, int)
+        out = []
+        for first, end in zip(edges[:-1], edges[1:], strict=True):
+            there = all_there[:, order[first:end]]
+            step = max(1, BLOCK // there.shape[1])
+            parts = [_statistics(distances_km(here[:, k : k + step], there), s[k : k + step], wanted) for k in range(0, len(x), step)]
+            found = [pa.array(np.concatenate(p), mask=~ok) for p in zip(*parts, strict=True)]
+            which = pa.array(np.full(len(rows), order[first]))
+            columns = [*(rows.column(k) for k in on), *(cloud.column(k).take(which) for k in cloud_keys), *(rows.column(c) for c in carried), *found]
+            out.append(pa.table(columns, schema.names))
+        if out:
+            return pa.concat_tables(out)
+        empty = [*(rows.column(k) for k in on), *(cloud.column(k) for k in cloud_keys), *(rows.column(c) for c in carried), *(pa.array([], pa.float64()) for _ in wanted)]
+        return pa.table([c.slice(0, 0) for c in empty], schema.names)
+
+    return slices.groupBy(*on, "_slice").cogroup(clouds.groupBy(*on, "_slice")).applyInArrow(score, schema)
