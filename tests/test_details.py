@@ -48,3 +48,24 @@ def test_static_columns_of_silent_entities(spark):
     df = spark.createDataFrame(rows, "mmsi string, name string, vessel_type int, length_m double")
     got = {r.mmsi: (r.name, r.vessel_type, r.length_m) for r in evidence.static_columns(df).collect()}
     assert got == {"1": ("", None, 3.0), "2": ("A", 71, 9.0)}
+
+
+def test_cases_keep_to_their_rules(spark):
+    from wakeline.operators import cases
+
+    hours = [k * 0.5 for k in range(1, 100)]
+    pool = [("still", h, 0.0, 0.0) for h in hours] + [("moves", h, h * 0.05, 0.0) for h in hours] + [("gaps", h, 0.0, 0.0) for h in hours if h % 4 == 0] + [("outside", h, 9.9, 0.0) for h in hours]
+    pool += [(None, 1.0, 0.0, 0.0), ("still", None, 0.0, 0.0)]
+    df = spark.createDataFrame(pool, "mmsi string, tau_h double, lon double, lat double")
+    rules = dict(per_stratum=10, strata=((0, 3), (12, 24), (60, 70)), durations_h=(2, 4), step_h=0.5, bounds=(-10.0, -10.0, 10.0, 10.0), seed=1)
+    got = cases.sample_cases(df, **rules).collect()
+    assert {r.stratum for r in got} == {"0-3h", "12-24h"} and len(got) == 20  # no points lie in the third
+    assert {r.mmsi for r in got} == {"still", "moves"} and len({r.case_id for r in got}) == 20
+    for r in got:
+        lo, hi = map(int, r.stratum.removesuffix("h").split("-"))
+        inside = [p for p in pool if p[0] == r.mmsi and p[1] is not None and r.tau_end_h < p[1] <= r.tau_start_h]
+        assert lo <= r.tau_end_h <= hi and r.tau_end_h * 2 == int(r.tau_end_h * 2) and r.duration_h in (2, 4)
+        assert r.n_points == len(inside) >= 0.8 * r.duration_h / 0.5
+        assert r.moving == (r.mmsi == "moves")
+    assert sorted(map(tuple, cases.sample_cases(df.repartition(5), **rules).collect())) == sorted(map(tuple, got))
+    assert cases.sample_cases(df.limit(0), **rules).collect() == []

@@ -59,9 +59,9 @@ def grid_for(reports: DataFrame, times: DataFrame, key: str = "mmsi") -> DataFra
     return reports.select(key).distinct().crossJoin(F.broadcast(times.select("t")))
 
 
-def asof_nearest(reports: DataFrame, wanted: DataFrame, tolerance_us: int, key: str = "mmsi", fields: tuple[str, ...] = ("us", "lon", "lat")) -> DataFrame:
+def asof_nearest(reports: DataFrame, wanted: DataFrame, tolerance_us: int, key: str = "mmsi", fields: tuple[str, ...] = ("us", "lon", "lat"), cell_us: int | None = None) -> DataFrame:
     """The nearest report within a tolerance; the earlier of two as near; wanted rows without one are dropped."""
-    near = neighbours(reports, wanted, key, fields)
+    near = neighbours(reports, wanted, key, fields, cell_us)
     before, after = F.col("t") - F.col("prv.us"), F.col("nxt.us") - F.col("t")
     pick = F.when(F.col("nxt").isNull() | (before <= after), F.col("prv")).otherwise(F.col("nxt"))
     return near.withColumn("r", pick).filter(F.abs(F.col("r.us") - F.col("t")) <= tolerance_us).select(key, "t", *(F.col(f"r.{c}").alias(c) for c in fields))
@@ -71,7 +71,11 @@ def bracket_interpolate(reports: DataFrame, wanted: DataFrame, max_gap_us: int,
     """(key, t, lon, lat, method, gap_min, offset_min): exact, else linear between reports if the bracket is short and
     the implied speed plausible, else the nearest report within the edge tolerance (the previous one on ties), else
     unavailable with nulls. Longitudes cross the antimeridian."""
-    near = neighbours(reports, wanted, key, cell_us=cell_us)
+    return _interpolated(neighbours(reports, wanted, key, cell_us=cell_us), max_gap_us, edge_us, max_knots, key)
+
+
+def _interpolated(near: DataFrame, max_gap_us: int, edge_us: int, max_knots: float, key: str) -> DataFrame:
+    """``bracket_interpolate`` of (key, t, prv, nxt)."""
     t, p, n = F.col("t"), F.col("prv"), F.col("nxt")
     gap = n["us"] - p["us"]
     knots = haversine_km(p["lat"], p["lon"], n["lat"], n["lon"]) / 1.852 / F.nullif(gap / 3.6e9, F.lit(0.0))
@@ -94,17 +98,22 @@ def bracket_interpolate(reports: DataFrame, wanted: DataFrame, max_gap_us: int,
 
 
 def state_at(reports: DataFrame, t_us: int, max_gap_us: int, edge_us: int, max_knots: float, key: str = "mmsi") -> DataFrame:
-    """The interpolated position at one time with speed and course of the nearest report."""
-    wanted = reports.select(key).distinct().withColumn("t", F.lit(t_us).cast("long"))
-    place = bracket_interpolate(reports, wanted, max_gap_us, edge_us, max_knots, key)
+    """The interpolated position at one time with speed and course of the nearest report. For one time the reports around
+    it are aggregates, so that an entity of any size is reduced before it is shuffled."""
+    record = F.struct("us", "lon", "lat")
     away = F.struct(F.abs(F.col("us") - t_us), F.col("us"))
-    near = reports.groupBy(key).agg(F.min_by("sog", away).alias("sog"), F.min_by("cog", away).alias("cog"), (F.min(F.abs(F.col("us") - t_us)) / 6e7).alias("nearest_report_min"))
-    return place.join(near, key)
+    side = lambda f, inside: f(F.when(inside, record), F.when(inside, F.col("us")))
+    around = reports.groupBy(key).agg(
+        side(F.max_by, F.col("us") <= t_us).alias("prv"), side(F.min_by, F.col("us") >= t_us).alias("nxt"), F.min_by("sog", away).alias("sog"), F.min_by("cog", away).alias("cog"), (F.min(F.abs(F.col("us") - t_us)) / 6e7).alias("nearest_report_min"),
+    )
+    around = around.withColumn("t", F.lit(t_us).cast("long"))
+    place = _interpolated(around.select(key, "t", "prv", "nxt"), max_gap_us, edge_us, max_knots, key)
+    return place.join(around.select(key, "sog", "cog", "nearest_report_min"), key)
 
 
-def track_at(track: DataFrame, wanted: DataFrame, max_gap_us: int, key: str = "mmsi") -> DataFrame:
+def track_at(track: DataFrame, wanted: DataFrame, max_gap_us: int, key: str = "mmsi", cell_us: int | None = None) -> DataFrame:
     """Linear position on a track; null over longer gaps and outside it."""
-    out = bracket_interpolate(track, wanted, max_gap_us, -1, float("inf"), key)
+    out = bracket_interpolate(track, wanted, max_gap_us, -1, float("inf"), key, cell_us)
     return out.select(key, "t", "lon", "lat")
 
 

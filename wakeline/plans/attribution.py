@@ -59,6 +59,12 @@ def _(spark, d):
     return positions_v2(spark, d)
 
 
+@query("asof_nearest_cells", f"WITH {td.V2_SQL} SELECT mmsi, t, us, lon, lat FROM pos", "lon lat")
+def _(spark, d):
+    reports = td.window(td.ais(spark, d), td.TOLERANCE)
+    return asof.asof_nearest(reports, asof.grid_for(reports, td.times(spark)), td.TOLERANCE, cell_us=12 * td.HOUR)
+
+
 @query("bracket_interpolate", f"WITH {td.V21_ALL_SQL} SELECT * FROM pos21", "lon lat gap_min offset_min", digits=9)
 def _(spark, d):
     return interpolated(spark, d)
@@ -81,7 +87,7 @@ SELECT mmsi, t, CASE WHEN nus = t THEN nlon WHEN nus - pus <= {6 * td.HOUR} THEN
   CASE WHEN nus = t THEN nlat WHEN nus - pus <= {6 * td.HOUR} THEN plat + (t - pus) / CAST(nus - pus AS DOUBLE) * (nlat - plat) END AS lat FROM near""", "lon lat", digits=9)
 def _(spark, d):
     reports = td.window(td.ais(spark, d), td.BRACKET)
-    return asof.track_at(reports, asof.grid_for(reports, td.times(spark)), 6 * td.HOUR)
+    return asof.track_at(reports, asof.grid_for(reports, td.times(spark)), 6 * td.HOUR, cell_us=12 * td.HOUR)
 
 
 @query("ais_gaps", f"""WITH {td.AIS_SQL}, steps AS (
