@@ -19,8 +19,17 @@ def chance(attempt: Column, stratum: Column, salt: int, seed: int) -> Column:
 
 
 def sample_cases(
-    pool: DataFrame, per_stratum: int, strata: Sequence[tuple[float, float]], durations_h: Sequence[int], step_h: float, bounds: tuple[float, float, float, float], min_coverage: float = 0.8, margin_deg: float = 0.25, tries: int = 50, seed: int = 0,
-) -> DataFrame:
+    pool: DataFrame,
+    per_stratum: int,
+    strata: Sequence[tuple[float, float]],
+    durations_h: Sequence[int],
+    step_h: float,
+    bounds: tuple[float, float, float, float],
+    min_coverage: float = 0.8,
+    margin_deg: float = 0.25,
+    tries: int = 50,
+    seed: int = 0,
+) -> DataFrame:
     """(case_id, stratum, mmsi, tau_end_h, tau_start_h, duration_h, n_points, track_extent_km, moving) from ``pool`` (mmsi,
     tau_h, lon, lat): where entities were, tau hours before T0.
 
@@ -37,9 +46,9 @@ def sample_cases(
     pick = lambda salt: chance(F.col("_t"), F.col("_k"), salt, seed)
     lengths = F.array(*(F.lit(int(h)) for h in durations_h))
     end = F.col("_lo") + pick(2) / float(M32) * (F.col("_hi") - F.col("_lo"))
-    drawn = drawn.select(
-        "_t", "_k", (pick(0) % F.col("_n")).alias("_e"), F.get(lengths, (pick(1) % len(durations_h)).cast("int")).alias("duration_h"), (F.floor(end / step_h + 0.5) * F.lit(float(step_h))).alias("tau_end_h"),
-    )
+    length = F.get(lengths, (pick(1) % len(durations_h)).cast("int"))
+    rounded = F.floor(end / step_h + 0.5) * F.lit(float(step_h))
+    drawn = drawn.select("_t", "_k", (pick(0) % F.col("_n")).alias("_e"), length.alias("duration_h"), rounded.alias("tau_end_h"))
     asked = drawn.join(entities, "_e").drop("_e")
     track = pool.filter("tau_h IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL").select("mmsi", "tau_h", "lon", "lat")
     met = asked.join(track, "mmsi").filter((F.col("tau_h") > F.col("tau_end_h")) & (F.col("tau_h") <= F.col("tau_end_h") + F.col("duration_h")))
@@ -51,6 +60,13 @@ def sample_cases(
     place = F.row_number().over(Window.partitionBy("_k").orderBy("_t"))  # as many rows as attempts at most
     kept = good.withColumn("_p", place).filter(F.col("_p") <= per_stratum).join(F.broadcast(limits), "_k")
     return kept.select(
-        (F.lit(1000) + F.col("_k") * per_stratum + F.col("_p") - 1).alias("case_id"), F.format_string("%d-%dh", F.col("_lo").cast("int"), F.col("_hi").cast("int")).alias("stratum"), "mmsi", "tau_end_h", (F.col("tau_end_h") + F.col("duration_h")).alias("tau_start_h"),
-        "duration_h", "n_points", "track_extent_km", (F.col("track_extent_km") > 1.0).alias("moving"),
-    )
+        (F.lit(1000) + F.col("_k") * per_stratum + F.col("_p") - 1).alias("case_id"),
+        F.format_string("%d-%dh", F.col("_lo").cast("int"), F.col("_hi").cast("int")).alias("stratum"),
+        "mmsi",
+        "tau_end_h",
+        (F.col("tau_end_h") + F.col("duration_h")).alias("tau_start_h"),
+        "duration_h",
+        "n_points",
+        "track_extent_km",
+        (F.col("track_extent_km") > 1.0).alias("moving"),
+    )

@@ -25,8 +25,16 @@ def near_hashes(left: DataFrame, right: DataFrame, radius: int, bits: int = BITS
     """
     bands = radius + 1
     ends = [bits * k // bands for k in range(bands + 1)]
-    cut_out = lambda k: F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", ends[k]).bitwiseAND(F.lit((1 << (ends[k + 1] - ends[k])) - 1)).alias("part"))
-    prepared = lambda df, n: df.filter("hash IS NOT NULL").select("hash").distinct().select(F.col("hash").alias(n), F.explode(F.array(*map(cut_out, range(bands)))).alias("x")).select(n, "x.band", "x.part")
+
+    def band(k: int) -> Column:
+        ones = (1 << (ends[k + 1] - ends[k])) - 1
+        return F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", ends[k]).bitwiseAND(F.lit(ones)).alias("part"))
+
+    def prepared(df: DataFrame, name: str) -> DataFrame:
+        distinct = df.filter("hash IS NOT NULL").select("hash").distinct()
+        cuts = distinct.select(F.col("hash").alias(name), F.explode(F.array(*map(band, range(bands)))).alias("x"))
+        return cuts.select(name, "x.band", "x.part")
+
     met = prepared(left, "ha").join(prepared(right, "hb"), ["band", "part"])
     distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     pairs = met.filter(distance <= radius).select("ha", "hb").distinct().withColumn("distance", distance.cast("int"))

@@ -64,7 +64,8 @@ def cover_cells(rings: list[list[Point]], depth: int = DEPTH) -> list[tuple[int,
     wide = max(max(xs) - min(xs), max(ys) - min(ys))
     top = max(-60, min(60, -math.ceil(math.log2(wide)))) if wide > 0 else 60 - depth
     size, out = 2.0**-top, []
-    first = [(top, i, j, edges) for i in range(math.floor(min(xs) / size), math.floor(max(xs) / size) + 1) for j in range(math.floor(min(ys) / size), math.floor(max(ys) / size) + 1)]
+    columns, rows = (range(math.floor(min(v) / size), math.floor(max(v) / size) + 1) for v in (xs, ys))
+    first = [(top, i, j, edges) for i in columns for j in rows]
     while first:
         level, i, j, near = first.pop()
         size = 2.0**-level
@@ -124,7 +125,8 @@ def meeting(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     def above(cells: DataFrame, own: bool) -> DataFrame:
         steps = F.sequence(F.lit(0), F.col("level") - top) if own else F.filter(F.sequence(F.lit(0), F.col("level") - top), lambda s: s > 0)
         up = cells.withColumn("s", F.explode(steps)).withColumn("d", F.pow(F.lit(2.0), F.col("s")))
-        return up.select(*(c for c in (left, right) if c in cells.columns), (F.col("level") - F.col("s")).alias("level"), F.floor(F.col("ix") / F.col("d")).alias("ix"), F.floor(F.col("iy") / F.col("d")).alias("iy"))
+        place = [F.floor(F.col(c) / F.col("d")).alias(c) for c in ("ix", "iy")]
+        return up.select(*(c for c in (left, right) if c in cells.columns), (F.col("level") - F.col("s")).alias("level"), *place)
 
     plain, keys = lambda c: c.drop("inside"), ["level", "ix", "iy"]
     one = above(plain(a), True).join(plain(b), keys).select(left, right)
@@ -225,7 +227,8 @@ def convex_hulls(points: DataFrame, key: str, held: int = HELD) -> DataFrame:
 
     def merge(rows: pa.Table) -> pa.Table:
         ring = polygon.hull(list(zip(rows.column("x").to_pylist(), rows.column("y").to_pylist(), strict=True)))
-        return pa.table({key: rows.column(key).slice(0, 1), "ring": pa.array([[{"x": x, "y": y} for x, y in ring]], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
+        points_type = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        return pa.table({key: rows.column(key).slice(0, 1), "ring": pa.array([[{"x": x, "y": y} for x, y in ring]], points_type)})
 
     return rows.mapInArrow(reduce, f"{key} {kind}, x double, y double").groupBy(key).applyInArrow(merge, f"{key} {kind}, ring array<struct<x:double,y:double>>")
 

@@ -127,7 +127,10 @@ def similar_by_blocks(left: DataFrame, right: DataFrame, at_least: float, block:
                 angle[at] = np.arccos(np.clip(near.max(axis=1), -1, 1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
 
-    placed = lambda df: cut(df.mapInArrow(place, "row long, id " + df.schema["id"].dataType.simpleString() + ", dim int, u array<double>, cell int, angle double"), "placed")
+    def placed(df: DataFrame) -> DataFrame:
+        kind = df.schema["id"].dataType.simpleString()
+        return cut(df.mapInArrow(place, f"row long, id {kind}, dim int, u array<double>, cell int, angle double"), "placed")
+
     a = placed(left)
     b = a if own else placed(right)
     sizes = [{(r.dim, r.cell): (r.n, r.angle) for r in x.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect()} for x in (a, b)]
@@ -147,10 +150,12 @@ def similar_by_blocks(left: DataFrame, right: DataFrame, at_least: float, block:
     blocks = [spark.createDataFrame([(d, c, -(-n // block)) for (d, c), (n, _) in s.items()], "dim int, cell int, blocks int") for s in sizes]
     meeting = spark.createDataFrame(meet, "dim int, cell int, other int, other_blocks int")  # at most PIVOTS squared a dim
     x = _dealt(a, "i", blocks[0]).join(F.broadcast(meeting), ["dim", "cell"])
-    x = x.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).select("dim", F.col("cell").alias("p"), F.col("other").alias("q"), "i", F.col("j").cast("long").alias("j"), "row", "id", "u")
+    x = x.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks").cast("long") - 1)))
+    x = x.select("dim", F.col("cell").alias("p"), F.col("other").alias("q"), "i", "j", "row", "id", "u")
     back = meeting.join(blocks[0].withColumnRenamed("blocks", "own_blocks"), ["dim", "cell"]).select("dim", F.col("cell").alias("p"), F.col("other").alias("cell"), "own_blocks")
     y = _dealt(b, "j", blocks[1]).join(F.broadcast(back), ["dim", "cell"])
-    y = y.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1))).select("dim", "p", F.col("cell").alias("q"), F.col("i").cast("long").alias("i"), "j", "row", "id", "u")
+    y = y.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks").cast("long") - 1)))
+    y = y.select("dim", "p", F.col("cell").alias("q"), "i", "j", "row", "id", "u")
     if own:  # of two blocks of one cell, one order is enough
         x, y = x.filter("p < q OR i <= j"), y.filter("p < q OR i <= j")
     y = y.select(*(F.col(c).alias(c) for c in y.columns))  # a name of its own for each side's columns

@@ -169,6 +169,30 @@ def owned(items: DataFrame, tile: float, halo: float) -> DataFrame:
     return items.withColumns({"tile_x": core("x"), "tile_y": core("y"), "n_tiles": (seen("x") * seen("y")).cast("long")})
 
 
+def shared_windows(tiles: DataFrame, pixels: int) -> DataFrame:
+    """(a, b, a_col, a_row, b_col, b_row, width, height): the part that two tiles (id, col0, row0 on one pixel grid, each
+    ``pixels`` wide and high) share, as windows of either. Tiles meet in grid cells as large as a tile."""
+    near = lambda c: F.floor(F.col(c) / pixels)
+    left = tiles.select(F.col("id").alias("a"), F.col("col0").alias("ac"), F.col("row0").alias("ar"), near("col0").alias("cx"), near("row0").alias("cy"))
+    around = tiles.select(F.col("id").alias("b"), F.col("col0").alias("bc"), F.col("row0").alias("br"), near("col0").alias("cx"), near("row0").alias("cy"))
+    for c in ("cx", "cy"):
+        around = around.withColumn(c, F.explode(F.array(*(F.col(c) + k for k in (-1, 0, 1)))))
+    met = left.join(around, ["cx", "cy"]).filter("a < b")
+    start = lambda x, y: F.greatest(F.lit(0), F.col(y) - F.col(x))
+    size = lambda x, y: pixels - F.abs(F.col(x) - F.col(y))
+    out = met.select(
+        "a",
+        "b",
+        start("ac", "bc").alias("a_col"),
+        start("ar", "br").alias("a_row"),
+        start("bc", "ac").alias("b_col"),
+        start("br", "ar").alias("b_row"),
+        size("ac", "bc").alias("width"),
+        size("ar", "br").alias("height"),
+    )
+    return out.filter("width > 0 AND height > 0")
+
+
 def tent_blend(values: DataFrame, window: int, stride: int) -> DataFrame:
     """Windows of ``window`` cells at every ``stride`` along x hold a prediction p (w0: start); a cell's blend is the mean
     weighted by a tent that peaks in the middle of the window."""

@@ -102,3 +102,34 @@ def _(spark, d):
 @query("bootstrap_interval", f"WITH RECURSIVE {BOOT_SQL} SELECT avg(tp / n) AS mean, quantile_cont(tp / n, 0.025) AS lo, quantile_cont(tp / n, 0.975) AS hi, count(*) AS draws FROM sums WHERE n > 0", "mean lo hi")
 def _(spark, d):
     return bootstrap.interval(draws(spark, d), "tp", "n")
+
+
+# Candidates, and the quality of linkage over settings.
+
+MIN_AREA, LOOK = 23_000.0, 6000.0
+
+
+@query("candidate_builder", f"""WITH RECURSIVE {PAIR_SQL}, kp AS (SELECT * FROM parts WHERE area_m2 >= {MIN_AREA}), kr AS (SELECT pr.* FROM pr JOIN kp x ON x.id = a JOIN kp y ON y.id = b),
+ed AS (SELECT a, b FROM kr WHERE gap <= 4500 AND turn <= 60 UNION ALL SELECT b, a FROM kr WHERE gap <= 4500 AND turn <= 60),
+reach(id, c) AS (SELECT id, id FROM kp UNION SELECT ed.b, reach.c FROM reach JOIN ed ON reach.id = ed.a), comp AS (SELECT id, min(c) AS component FROM reach GROUP BY id),
+sums AS (SELECT component, count(*) AS n_parts, sum(area_m2) AS area_m2, sum(prob_mean * area_m2) / sum(area_m2) AS confidence,
+  CASE WHEN count(*) >= 2 THEN sqrt(sum(area_m2 * cos(2 * radians(bearing))) ** 2 + sum(area_m2 * sin(2 * radians(bearing))) ** 2) / sum(area_m2) END AS coherence FROM kp JOIN comp USING (id) GROUP BY component),
+apart AS (SELECT c, min(gap) AS isolation_m FROM (SELECT unnest([x.component, y.component]) AS c, gap FROM kr JOIN comp x ON x.id = a JOIN comp y ON y.id = b WHERE x.component <> y.component) GROUP BY c)
+SELECT row_number() OVER (ORDER BY round(area_m2, 6) DESC, component) - 1 AS candidate, component, n_parts, area_m2, confidence, coherence, isolation_m FROM sums LEFT JOIN apart ON c = component""", "area_m2 confidence coherence isolation_m", digits=4)
+def _(spark, d):
+    return events.candidates(components(spark, d), 4500.0, MIN_AREA, 60.0, LOOK)
+
+
+SETTINGS: list[tuple[float, float | None]] = [(2000.0, None), (4500.0, None), (4500.0, 30.0)]
+
+
+@query("linkage_quality", f"""WITH RECURSIVE {PAIR_SQL}, st(s, gap_m, max_turn) AS (VALUES {', '.join(f"({k}, {g}e0, {'NULL' if t is None else f'{t}e0'})" for k, (g, t) in enumerate(SETTINGS))}),
+both_ways AS (SELECT a, b, gap, turn FROM pr UNION ALL SELECT b, a, gap, turn FROM pr), ed AS (SELECT s, a, b FROM both_ways, st WHERE gap <= gap_m AND (max_turn IS NULL OR turn <= max_turn)),
+reach(s, id, c) AS (SELECT s, id, id FROM parts, st UNION SELECT r.s, ed.b, r.c FROM reach r JOIN ed ON ed.s = r.s AND r.id = ed.a), comp AS (SELECT s, id, min(c) AS k FROM reach GROUP BY ALL),
+cell AS (SELECT s, id % 4 AS tile, k, id % 9 AS object, sum(area_m2) AS area FROM comp JOIN parts USING (id) GROUP BY ALL),
+byc AS (SELECT s, count(*) AS n_clusters, sum(best) / sum(whole) AS purity, avg((kinds > 1)::INT) AS mixed_rate FROM (SELECT s, max(area) AS best, sum(area) AS whole, count(*) AS kinds FROM cell GROUP BY s, tile, k) GROUP BY s),
+byo AS (SELECT s, count(*) AS n_objects, sum(best) / sum(whole) AS recovery, avg((kinds > 1)::INT) AS split_rate FROM (SELECT s, max(area) AS best, sum(area) AS whole, count(*) AS kinds FROM cell GROUP BY s, tile, object) GROUP BY s)
+SELECT gap_m, max_turn, n_clusters, purity, mixed_rate, n_objects, recovery, split_rate FROM st JOIN byc USING (s) JOIN byo USING (s)""", "purity mixed_rate recovery split_rate")
+def _(spark, d):
+    parts = components(spark, d).withColumns({"tile": F.col("id") % 4, "object": F.col("id") % 9})
+    return events.linkage_quality(parts, SETTINGS)

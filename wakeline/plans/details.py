@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.functions import binning, geo, kernels, nulls
-from wakeline.operators import asof, audit, buckets, events, evidence, fusion, matching
+from wakeline.operators import asof, audit, buckets, events, evidence, fusion, matching, tables
+from wakeline.operators.numbering import numbered
 from wakeline.plans.registry import query
 from wakeline.plans.slicks import EVENT_SQL, GAP_MIN, LINK_M, METRIC_SQL, MOTION_SQL, PAIR_SQL, PARTS_SQL, STILL, SUSPECT, components, detections, metrics, platforms, sql_of
 from wakeline.plans.suspects import TRACK
@@ -189,3 +190,28 @@ def _(spark, d):
     table = td.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("c_acctbal").cast("double")), 2).alias("mean"))
     text = sinks.markdown(table, ("segment", "absent", "n", "mean"))  # five segments
     return spark.createDataFrame([(x,) for x in text.split("\n")], "line string")
+
+
+# Tables.
+
+
+@query("mixed_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def _(spark, d):
+    o = td.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return numbered(o, ["o_orderstatus", F.desc("o_totalprice"), "o_orderkey"], "place").select("o_orderkey", "place")
+
+
+@query("union_catalogues", "SELECT s_suppkey AS id, s_name AS name, CAST(s_acctbal AS DOUBLE) AS balance, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_name, NULL, c_mktsegment FROM customer", "balance")
+def _(spark, d):
+    own = td.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("balance"))
+    other = td.table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
+    return own.unionByName(other, allowMissingColumns=True)
+
+
+TILE = {"id": "c_custkey", "col0": "(c_custkey * 7919) % 9973 * 2 - 4000", "row0": "(c_custkey * 104729) % 9967 * 2 - 4000"}
+
+
+@query("shared_windows", f"""WITH {sql_of('t', 'customer', TILE)} SELECT a.id AS a, b.id AS b, greatest(0, b.col0 - a.col0) AS a_col, greatest(0, b.row0 - a.row0) AS a_row, greatest(0, a.col0 - b.col0) AS b_col, greatest(0, a.row0 - b.row0) AS b_row,
+  512 - abs(a.col0 - b.col0) AS width, 512 - abs(a.row0 - b.row0) AS height FROM t a JOIN t b ON a.id < b.id AND abs(a.col0 - b.col0) < 512 AND abs(a.row0 - b.row0) < 512""")
+def _(spark, d):
+    return tables.shared_windows(td.derived(spark, d, "customer", TILE), 512)

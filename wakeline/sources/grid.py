@@ -53,7 +53,16 @@ class Axis:
 
 def _array(shape: Sequence[int], chunks: Sequence[int], kind: str, axes: Sequence[str]) -> dict[str, str]:
     fill = 0 if kind == "<i8" else "NaN"
-    meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": kind, "order": "C", "fill_value": fill, "filters": None, "compressor": {"id": "zlib", "level": 1}}
+    meta = {
+        "zarr_format": 2,
+        "shape": list(shape),
+        "chunks": list(chunks),
+        "dtype": kind,
+        "order": "C",
+        "fill_value": fill,
+        "filters": None,
+        "compressor": {"id": "zlib", "level": 1},
+    }
     return {".zarray": json.dumps(meta), ".zattrs": json.dumps({"_ARRAY_DIMENSIONS": list(axes)})}
 
 
@@ -88,7 +97,8 @@ def write_grid(cells: DataFrame, path: str, axes: Sequence[Axis], variables: Seq
     placed = cells
     for a in axes:
         placed = placed.filter(F.col(f"i_{a.name}").between(0, a.size - 1))
-    keyed = placed.select(*(F.floor(F.col(f"i_{a.name}") / a.chunk).alias(f"c_{a.name}") for a in axes), *(F.col(f"i_{n}").cast("long") for n in names), *(F.col(v).cast("double") for v in variables))
+    which_chunk = [F.floor(F.col(f"i_{a.name}") / a.chunk).alias(f"c_{a.name}") for a in axes]
+    keyed = placed.select(*which_chunk, *(F.col(f"i_{n}").cast("long") for n in names), *(F.col(v).cast("double") for v in variables))
 
     def chunk(rows: pa.Table) -> pa.Table:
         which = [rows.column(f"c_{n}")[0].as_py() for n in names]
