@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,30 @@ TEXT_CHUNK = 1 << 19
 #: Keys that ``spread_join`` broadcasts at most.
 HEAVY = 10_000
 
+T = TypeVar("T")
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+#: What a Python worker keeps from task to task, and whether the task at hand has asked for it.
+_kept: dict = {}
+_asked = [False]
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once by a worker and kept for its next tasks: one thing at a time, until a task of
+    another kind ends."""
+    _asked[0] = True
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def give_back() -> None:
     """Hands freed memory back to the system: Python workers live on after a task."""
+    if not _asked[0]:
+        _kept.clear()
+    _asked[0] = False
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -22,7 +22,6 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -98,10 +97,9 @@ class WordIds(dict):
                     yield self.split(first) + b"".join(map(self.__getitem__, rest))
 
 
-@lru_cache(1)
 def word_ids(path: str) -> WordIds:
     """Kept from task to task by a Python worker."""
-    return WordIds(path)
+    return common.kept(("words", path), lambda: WordIds(path))
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
