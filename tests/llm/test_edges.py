@@ -64,6 +64,24 @@ def test_words_by_every_segmentation(spark):
     assert math.isfinite(pieces.log_word("ab" * 200_000))
 
 
+@pytest.mark.parametrize("most_common", [1, 10**6])
+def test_training_words_are_arcs_of_their_own(spark, most_common):
+    docs = [(i, "".join(random.Random(i * 7 + k).choice(("the zorlak ", "of gruntle ", f"x{i}q ")) for k in range(40))) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lattice_lm.score(df, F.col("doc_id") % 4 != 0, chunk_bytes=10, most_common=most_common, whole_words=True).collect()
+    c = Counter(w for i, t in docs if i % 4 for w in t.split())
+    n, ends = sum(c.values()), sum(i % 4 > 0 for i, _ in docs)
+    once, twice = (sum(k == x for k in c.values()) for x in (1, 2))
+    discount, end = (once + 0.5) / (once + 2 * twice + 1), (ends + 0.5) / (n + ends + 1)
+    pieces = lattice_lm.published(lattice_lm.vocabulary_path())
+    word = lambda w: (max(c[w] - discount, 0) + discount * len(c) * math.exp(pieces.log_word(w))) / n
+    for r in got:
+        want = sum(math.log10(word(w) * (1 - end)) for w in docs[r.doc_id][1].split()) + math.log10(end)
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+        if r.doc_id % 4:
+            assert r.score > 1.2 * r.base_score
+
+
 @pytest.mark.parametrize("most_common", [1, 10**6])
 def test_scores_of_texts(spark, most_common):
     docs = [(i, t) for i, t in enumerate(["The cat the", None, "", "rare zebra", "the the", "x" * 3000, "cat\tTHE\nend"])] + [(0, "The cat the")]

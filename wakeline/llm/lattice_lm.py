@@ -1,12 +1,14 @@
 """Document likelihood over a subword lattice.
 
 The pieces and scores are those of a published vocabulary, used as given: its scores are ranks, and a rank r weighs
-1 / (r + 10). Nothing is re-estimated; from the training rows come only the share of ends among tokens, which is the
-probability that a text ends, and the counts of the base score. A text is its words, lower case, each opened by the word
-mark, then one end. Every way to spell a word in pieces counts: a forward recursion in log space, walking a trie of the
-pieces, sums the probabilities of all segmentations, and since no piece crosses a word, the marginal log probability of a
-text is the sum over its words, the probabilities that it goes on before each, and that of its end. Characters without a piece are spelled by their UTF-8 bytes. Pieces that lower-casing
-changes cannot occur; the rest share their mass.
+1 / (r + 10). A text is its words, lower case, each opened by the word mark, then one end. Every way to spell a word in
+pieces counts: a forward recursion in log space, walking a trie of the pieces, sums the probabilities of all
+segmentations. Characters without a piece are spelled by their UTF-8 bytes. Pieces that lower-casing changes cannot
+occur; the rest share their mass. With ``whole_words``, each word of the training rows is one more arc of the lattice, across the whole word:
+its count less a discount, as a share of all words. The discounts add up to the share of words that are spelled in
+pieces, so that the probabilities of all words have the sum of those of their spellings. From the training rows also comes the
+share of ends among tokens, which is the probability that a text ends. Since no piece crosses a word, the marginal log
+probability of a text is the sum over its words, the probabilities that it goes on before each, and that of its end.
 
 Counts cover the whole corpus: tasks count words into tables that a shuffle adds up, and each distinct word is scored once.
 Words with a share of at least 1 / ``COMMON`` of all tokens, so at most ``COMMON`` of them, are broadcast. For the others,
@@ -40,7 +42,7 @@ CHUNK_BYTES = 8 << 20
 HELD_WORDS = 400_000
 #: Words of at least this share of all tokens (one part in so many) are broadcast.
 COMMON = 400_000
-LN10 = math.log(10)
+LN10, LOG2 = math.log(10), math.log10(2)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -92,6 +94,23 @@ def _add(a: float, b: float) -> float:
     return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
+class Arcs:
+    """Whole words as arcs beside their spellings: absolute discounting by the words seen once and twice."""
+
+    def __init__(self, words: int, kinds: int, once: int, twice: int) -> None:
+        """``words`` of ``kinds``, so many of them seen once and twice; none: all words are spelled."""
+        self.words, self.discount = words, (once + 0.5) / (once + 2 * twice + 1)
+        self.spelled = self.discount * kinds / words if words else 1.0
+
+    def log10(self, c: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Log10 probabilities of words seen ``c`` times whose spellings have ``log_p``."""
+        spelled = log_p + math.log10(self.spelled)
+        if not self.words:
+            return spelled
+        whole = np.log2(np.where(c > 0, c - self.discount, 1.0) / self.words)
+        return np.where(c > 0, np.logaddexp2(spelled / LOG2, whole) * LOG2, spelled)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -139,11 +158,11 @@ def count_words(docs: DataFrame, training: Column) -> DataFrame:
     return docs.select("text", training.alias("training")).mapInArrow(common.settled(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk_bytes: int = CHUNK_BYTES, most_common: int = COMMON, written: bool = False) -> DataFrame:
+def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk_bytes: int = CHUNK_BYTES, most_common: int = COMMON, written: bool = False, whole_words: bool = False) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (both log10) for each row.
 
     ``training`` is a condition on ``doc_id`` and ``text``. ``written`` says that ``df`` reads files, so that its rows come
-    in the same order each time; any other table is written first.
+    in the same order each time; any other table is written first. ``whole_words`` adds the training words' own arcs.
     """
     path = path or vocabulary_path()
     spark = df.sparkSession
@@ -157,12 +176,14 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_p, pa.float64())], ["word", "c", "log_p"])
 
     words = common.cut(counts.mapInArrow(common.settled(with_log), "word string, c long, log_p double"), "words")
-    total, kinds, ends = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
+    ended, once, twice = F.sum(F.when(F.col("word") == END, F.col("c"))), F.count_if((F.col("c") == 1) & (F.col("word") != END)), F.count_if((F.col("c") == 2) & (F.col("word") != END))
+    total, kinds, ends, once, twice = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(ended, F.lit(0)), once, twice).first()
     rest = math.log10(total + 0.1 * (kinds + 1))
     ending = (ends + 0.5) / (total + 1)
     log_end, log_on = math.log10(ending), math.log10(1 - ending) if ending < 1 else 0.0
+    arc = Arcs(total - ends, kinds - (ends > 0), once, twice) if whole_words else Arcs(0, 0, 0, 0)
     often = words.filter((F.col("word") != END) & (F.col("c") * most_common >= total) & (F.col("c") > 0))
-    often = [(r["word"].encode(), r["c"], r["log_p"]) for r in often.collect()]
+    often = [(r["word"].encode(), r["c"], float(arc.log10(np.array([r["c"]]), np.array([r["log_p"]]))[0])) for r in often.collect()]
     end = (math.log10(ends + 0.1) - rest, log_end, ends)
     known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1) - rest, p + log_on, c) for w, c, p in often} | {b"": end})
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -185,7 +206,7 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
         place.update(zip((w.encode() for w in own.column("word").to_pylist()), range(len(often), len(often) + len(own)), strict=True))
         c = own.column("c").to_numpy()
         base, log_p, times = np.array(list(often.values()), float).T
-        base, log_p, times = np.concatenate([base, np.log10(c + 0.1) - rest]), np.concatenate([log_p, own.column("log_p").to_numpy() + log_on]), np.concatenate([times, c])
+        base, log_p, times = np.concatenate([base, np.log10(c + 0.1) - rest]), np.concatenate([log_p, arc.log10(c, own.column("log_p").to_numpy()) + log_on]), np.concatenate([times, c])
         place, last, rows = place.__getitem__, place[b""], []
         for text in texts.column("text").to_pylist():
             found = tokens(text)
@@ -205,6 +226,6 @@ def in_training(id_col: Column) -> Column:
 
 
 def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(common.read(spark, sf_dir, "documents"), in_training(F.col("doc_id")), written=True)
+    out = score(common.read(spark, sf_dir, "documents"), in_training(F.col("doc_id")), written=True, whole_words=True)
     return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
