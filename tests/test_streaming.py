@@ -84,3 +84,26 @@ def test_windows_come_once(spark, tmp_path):
     rows = [[("m", (b * 60 + k) * MINUTE, b * 10 + k) for k in range(3)] for b in range(5)]
     got = events.settle(events.hourly(as_stream(spark, tmp_path, rows, True).withColumn("value", F.lit(1.0)), "10 minutes")).collect()
     assert sorted((r.start_us // MINUTE, r.n) for r in got) == [(0, 3), (60, 3), (120, 3)]
+
+
+def test_an_ended_stream_tells_its_last_windows(spark, tmp_path):
+    rows = [[("m", (b * 60 + k) * MINUTE, b * 10 + k) for k in range(3)] for b in range(5)]
+    reports = as_stream(spark, tmp_path, rows, True)
+
+    def end():
+        last = spark.createDataFrame([(None, None, 10**6 * MINUTE)], SCHEMA.replace("us long, id long", "id long, us long"))
+        last.withColumn("ts", F.timestamp_micros("us")).drop("us").write.mode("append").parquet(f"{tmp_path}/all")
+
+    got = events.settle(events.hourly(reports.withColumn("value", F.lit(1.0)), "10 minutes"), end).collect()
+    assert sorted((r.start_us // MINUTE, r.n) for r in got) == [(60 * k, 3) for k in range(5)]
+    got = events.settle(events.sessions(as_stream(spark, tmp_path / "again", rows, True), late="10 minutes"), lambda: None).collect()
+    assert sum(r.n for r in got) < 15  # nothing more came
+
+
+@pytest.mark.parametrize("name", ["stream_sliding", "stream_hourly", "stream_sessions"])
+def test_stream_queries_count_every_report(spark, name):
+    import __spark_entry__ as e
+
+    times = 6 if name == "stream_sliding" else 1
+    got = e.queries()[name](spark, "/root/testdata/sf0.001")
+    assert got.agg(F.sum("n")).first()[0] == times * spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()

@@ -3,12 +3,13 @@
 Each takes a streaming DataFrame and returns one; ``settle`` runs a stream over what its source has and returns the rows it
 gave out. All of them append: a window's row comes once, when the watermark has passed the window's end, and its state
 goes then, so that state is bounded by the rows of the last ``late`` before the newest. Rows behind the watermark are
-dropped, and windows that it has not passed are still open, which is the feature.
+dropped, and windows that it has not passed are still open, which is the feature; ``settle`` can end a stream, which closes them.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,18 @@ def without_repeats(reports: DataFrame, *keys: str, late: str = "1 hour") -> Dat
     return reports.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def settle(stream: DataFrame) -> DataFrame:
-    """Runs the stream over all that its source has, in append mode: every row that it gave out."""
+def settle(stream: DataFrame, end: Callable[[], None] | None = None) -> DataFrame:
+    """Runs the stream over all that its source has, in append mode: every row that it gave out.
+
+    ``end`` adds to the source what lets the watermark pass all windows that are open then; the stream goes on from where
+    it was and gives these out too, so that the result is whole.
+    """
     spark = stream.sparkSession
     spark.conf.set(*STORE)
     base = f"{work_dir(spark)}/wakeline/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    query = writer.outputMode("append").format("parquet").option("path", f"{base}/out").start()
-    query.awaitTermination()
+    writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{base}/out")
+    writer.start().awaitTermination()
+    if end is not None:
+        end()
+        writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
