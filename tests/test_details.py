@@ -69,3 +69,27 @@ def test_cases_keep_to_their_rules(spark):
         assert r.moving == (r.mmsi == "moves")
     assert sorted(map(tuple, cases.sample_cases(df.repartition(5), **rules).collect())) == sorted(map(tuple, got))
     assert cases.sample_cases(df.limit(0), **rules).collect() == []
+
+
+def test_rounds_and_wraps_as_sql_does(spark):
+    import random
+
+    import duckdb
+
+    from wakeline.functions.geo import wrap180
+    from wakeline.plans.registry import rounded
+    from wakeline.sources.testdata import wrap
+
+    pick = random.Random(3)
+    values = [None, 0.0, -0.0, 0.49999999999999994, 1e300, 2.0**53 + 2, float("inf"), float("-inf"), 1.005, -92.985, 2.675, 179.99999999999997, -180.0]
+    values += [-93 + pick.randrange(10**6) / 1e5 for _ in range(2000)] + [k + 0.005 for k in range(-99, 99)] + [pick.uniform(-400, 400) for _ in range(500)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").cache()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k INT, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(values)))
+    for digits in (2, 6):
+        got = [r[0] for r in df.orderBy("k").select(rounded(F.col("v"), digits)).collect()]
+        assert got == [r[0] for r in con.execute(f"SELECT round(v, {digits}) FROM t ORDER BY k").fetchall()]
+    finite = "v IS NOT NULL AND abs(v) < 1e6"
+    got = [r[0] for r in df.filter(finite).orderBy("k").select(wrap180(F.col("v"))).collect()]
+    assert got == [r[0] for r in con.execute(f"SELECT {wrap('v')} FROM t WHERE {finite} ORDER BY k").fetchall()]

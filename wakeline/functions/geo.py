@@ -16,8 +16,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def wrap180(angle: Column) -> Column:
-    """Into [-180, 180); the remainder is floored, as angles need."""
-    return F.pmod(angle + 180.0, F.lit(360.0)) - 180.0
+    """Into [-180, 180); the remainder is floored, as angles need. Each step rounds as it does in SQL, to the last bit."""
+    return ((angle + 180.0) % 360.0 + 360.0) % 360.0 - 180.0
 
 
 def axis_difference(a: Column, b: Column) -> Column:

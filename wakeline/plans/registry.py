@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -12,6 +12,16 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many places as DuckDB rounds: the scaled double, halves away from zero. Spark's ``round`` goes by the
+    decimal digits of a double, which differs where the scaled double is a half, or just under one."""
+    scaled = x * 10.0**digits
+    size = F.abs(scaled)
+    whole = F.floor(size)
+    near = F.when(size - whole >= 0.5, whole + 1).otherwise(whole).cast("double") * F.signum(scaled) / 10.0**digits
+    return F.when(size < 2.0**52, near).otherwise(x)  # no places are left beyond, or it is not finite
+
+
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6) -> Callable[[Query], Query]:
     """Registers a query; ``doubles`` are result columns that both sides round to ``digits`` places."""
 
@@ -20,7 +30,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = f(spark, sf_dir)
-            return out.withColumns({c: F.round(F.col(c).cast("double"), digits) + 0.0 for c in columns})
+            return out.withColumns({c: rounded(F.col(c).cast("double"), digits) + 0.0 for c in columns})
 
         QUERIES[name] = run
         if sql:
