@@ -269,3 +269,20 @@ def test_work_grows_with_the_length_of_a_url(spark):
     assert score[3] == score[4] and score[8] == score[9] == 0.0
     last = score[7] * 65 - score[6] * 64
     assert math.isclose(score[6] * 64 - score[5] * 63, last, rel_tol=1e-9)
+
+
+def test_copied_queries_are_not_broadcast(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(3000, 4)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    out = topk.top_k(df, F.col("vec_id") % 100 == 0, block=40, query_block=5)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = np.floor(1024 * vectors).astype(int)
+    for q in range(0, 3000, 100):
+        scores = whole @ whole[q]
+        best = sorted((i for i in range(3000) if i != q), key=lambda i: (-scores[i], i))[:10]
+        assert sorted(got[q]) == [(k + 1, i, scores[i]) for k, i in enumerate(best)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -25,7 +25,9 @@ from wakeline.llm import common
 
 K = 10
 SCALE = 1024
-BLOCK, QUERIES = 4096, 4096
+#: Rows of a block: at least and at most, about ``BLOCKS`` blocks in between; a block's vectors are ``BLOCK_BYTES`` at most.
+BLOCK, LARGE_BLOCK, BLOCKS, BLOCK_BYTES = 4096, 32768, 48, 32 << 20
+QUERIES = 4096
 
 
 class Lists:
@@ -83,18 +85,24 @@ def _packed(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(pack, schema)
 
 
-def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """query_id, rank, vec_id, score; ``queries`` is a condition on ``vec_id``."""
+def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, block: int | None = None, query_block: int = QUERIES) -> DataFrame:
+    """query_id, rank, vec_id, score; ``queries`` is a condition on ``vec_id``.
+
+    Each block of queries is copied once for each block of rows, in a join that is merged: what is copied must never be
+    broadcast, however small it was before.
+    """
     vector = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.alias("vector")).filter(F.col("vec_id").isNotNull() & _whole(F.col("vector")))
     rows = common.cut(rows.withColumns({"dim": F.size("vector"), "row": F.monotonically_increasing_id()}), "vectors")
-    n, asked = rows.agg(F.count("*"), F.count_if(queries)).first()
+    n, asked, widest = rows.agg(F.count("*"), F.count_if(queries), F.coalesce(F.max("dim"), F.lit(1))).first()
+    fits = lambda most: max(1, min(most, BLOCK_BYTES // (8 * widest)))
+    block, query_block = fits(block or min(LARGE_BLOCK, max(BLOCK, n // BLOCKS))), fits(query_block)
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-asked // query_block))
     place = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
     held = _packed(rows.withColumn("block", place(blocks)), ["dim", "block"])
     sent = _packed(rows.filter(queries).withColumn("part", place(query_blocks)), ["dim", "part"])
     sent = sent.select("dim", "part", F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = held.join(sent, ["dim", "block"])
+    met = held.hint("merge").join(sent.hint("merge"), ["dim", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists, last = None, None
