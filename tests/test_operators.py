@@ -101,3 +101,22 @@ def test_clouds_in_slices(spark, monkeypatch):
                 assert np.isclose(r.density_score, np.exp(-0.5 * (d / s) ** 2).mean()) and np.isclose(r.fraction_particles_10km, (d <= 10).mean())
     assert clouds.against_clouds(at.limit(0), cloud, ("t",), "sigma").collect() == []
     assert clouds.against_clouds(at, cloud.limit(0), ("t",), "sigma").collect() == []
+
+
+def test_particles_at_one_place_are_one_row(spark):
+    import numpy as np
+
+    from wakeline.operators import clouds
+
+    where = [(-93.0 + k * 0.03, 25.0 + k * 0.02, 1 + (k * 5) % 7) for k in range(9)]
+    cloud = spark.createDataFrame([(1, x, y) for x, y, n in where for _ in range(n)], "t int, p_lon double, p_lat double")
+    at = spark.createDataFrame([("a", 1, -92.9, 25.1, 20.0), ("b", 1, -92.7, 25.2, 3.0)], "mmsi string, t int, lon double, lat double, sigma double")
+    whole = clouds.distances_km
+    got = {r.mmsi: r for r in clouds.against_clouds(at, cloud, ("t",), "sigma").collect()}
+    for a in at.collect():
+        unit = lambda x, y: clouds._unit(np.array(x), np.array(y))
+        d = whole(unit([a.lon], [a.lat]), unit([x for x, _, n in where for _ in range(n)], [y for _, y, n in where for _ in range(n)]))[0]
+        want = [d.min(), *np.quantile(d, [0.1, 0.5]), *((d <= k).mean() for k in (2, 5, 10)), np.exp(-0.5 * (d / a.sigma) ** 2).mean()]
+        assert np.allclose([got[a.mmsi][c] for c in clouds.STATISTICS], want, rtol=1e-12, atol=1e-12)
+    weighted = clouds._quantiles(np.array([[3.0, 1.0]]), np.array([3.0, 1.0]), [0.1, 0.5])
+    assert np.allclose(np.ravel(weighted), np.quantile([1.0, 3.0, 3.0, 3.0], [0.1, 0.5]))

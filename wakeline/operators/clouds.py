@@ -1,7 +1,8 @@
 """Positions against particle clouds without a row for each pair.
 
 The positions of one key (an hour, say) are dealt into slices of about ``SLICE``, and the particles of that key go to each
-of its slices, once, whatever number of clouds (events, members, scenarios) they form. A task takes a slice with its
+of its slices, once, whatever number of clouds (events, members, scenarios) they form; particles of a cloud at one place
+are one row with their number. A task takes a slice with its
 clouds and works out all statistics in blocks: neither pairs nor distances are ever shuffled, and the slices of one busy
 hour are dealt over tasks. The clouds of one key have to fit a task (16 bytes a particle).
 """
@@ -46,22 +47,37 @@ def distances_km(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chord
 
 
-def _statistics(d: np.ndarray, sigma: np.ndarray, wanted: Sequence[str]) -> list[np.ndarray]:
-    out = {}
-    quantiles = [q for q in (0.1, 0.5) if {0.1: "p10_distance_km", 0.5: "median_distance_km"}[q] in wanted]
-    if quantiles:
-        for q, row in zip(quantiles, np.quantile(d, quantiles, axis=1), strict=True):
-            out["p10_distance_km" if q == 0.1 else "median_distance_km"] = row
+def _quantiles(d: np.ndarray, weight: np.ndarray, shares: Sequence[float]) -> list[np.ndarray]:
+    """Interpolated quantiles of each row, each column counting ``weight`` times."""
+    if not shares:
+        return []
+    if (weight == 1).all():
+        return list(np.quantile(d, shares, axis=1))
+    order = np.argsort(d, axis=1)
+    d, upto = np.take_along_axis(d, order, axis=1), np.cumsum(weight[order], axis=1)
+    out = []
+    for q in shares:
+        place = q * (int(weight.sum()) - 1)
+        low, high = (np.take_along_axis(d, (upto <= k).sum(axis=1)[:, None], axis=1)[:, 0] for k in (int(place), min(int(place) + 1, int(weight.sum()) - 1)))
+        out.append(low + (high - low) * (place - int(place)))
+    return out
+
+
+def _statistics(d: np.ndarray, sigma: np.ndarray, wanted: Sequence[str], weight: np.ndarray) -> list[np.ndarray]:
+    """``weight``: how many particles are at each place."""
+    names = [c for c in ("p10_distance_km", "median_distance_km") if c in wanted]
+    out = dict(zip(names, _quantiles(d, weight, [0.1 if c == "p10_distance_km" else 0.5 for c in names]), strict=True))
+    n = weight.sum()
     if "min_distance_km" in wanted:
         out["min_distance_km"] = d.min(axis=1)
     for km in (2, 5, 10):
         if f"fraction_particles_{km}km" in wanted:
-            out[f"fraction_particles_{km}km"] = (d <= km).mean(axis=1)
+            out[f"fraction_particles_{km}km"] = (d <= km) @ weight / n
     if "density_score" in wanted:
         z = d / sigma[:, None]
         z *= z
         z *= -0.5
-        out["density_score"] = np.exp(z, out=z).mean(axis=1)
+        out["density_score"] = np.exp(z, out=z) @ weight / n
     return [out[c] for c in wanted]
 
 
@@ -78,6 +94,8 @@ def against_clouds(positions: DataFrame, particles: DataFrame, on: Sequence[str]
     counts = held.groupBy(*on).agg(F.ceil(F.count("*") / SLICE).alias("_slices"))
     slices = held.join(counts, on).withColumn("_slice", F.pmod(F.xxhash64(*own), F.col("_slices"))).drop("_slices")
     points = particles.filter(finite(F.col("p_lon"), F.col("p_lat"))).select(*on, *cloud_keys, F.col("p_lon").cast("double").alias("_x"), F.col("p_lat").cast("double").alias("_y"))
+    # Particles at one place are one row, however many there are.
+    points = points.groupBy(*on, *cloud_keys, "_x", "_y").agg(F.count("*").alias("_m"))
     clouds = points.join(counts, on).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
 
     def score(rows: pa.Table, cloud: pa.Table) -> pa.Table:
@@ -86,6 +104,7 @@ def against_clouds(positions: DataFrame, particles: DataFrame, on: Sequence[str]
         ok = np.isfinite(x) & np.isfinite(y)
         here = _unit(np.where(ok, x, 0), np.where(ok, y, 0))
         all_there = _unit(cloud.column("_x").to_numpy(), cloud.column("_y").to_numpy())
+        many = cloud.column("_m").to_numpy().astype(float)
         code = np.zeros(len(cloud), np.int64)
         for k in cloud_keys:
             own = cloud.column(k).combine_chunks().dictionary_encode()
@@ -94,9 +113,9 @@ def against_clouds(positions: DataFrame, particles: DataFrame, on: Sequence[str]
         edges = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1)) if len(rows) and len(code) else np.zeros(0, int)
         out = []
         for first, end in zip(edges[:-1], edges[1:], strict=True):
-            there = all_there[:, order[first:end]]
+            there, weight = all_there[:, order[first:end]], many[order[first:end]]
             step = max(1, BLOCK // there.shape[1])
-            parts = [_statistics(distances_km(here[:, k : k + step], there), s[k : k + step], wanted) for k in range(0, len(x), step)]
+            parts = [_statistics(distances_km(here[:, k : k + step], there), s[k : k + step], wanted, weight) for k in range(0, len(x), step)]
             found = [pa.array(np.concatenate(p), mask=~ok) for p in zip(*parts, strict=True)]
             which = pa.array(np.full(len(rows), order[first]))
             columns = [*(rows.column(k) for k in on), *(cloud.column(k).take(which) for k in cloud_keys), *(rows.column(c) for c in carried), *found]
