@@ -120,3 +120,30 @@ def test_particles_at_one_place_are_one_row(spark):
         assert np.allclose([got[a.mmsi][c] for c in clouds.STATISTICS], want, rtol=1e-12, atol=1e-12)
     weighted = clouds._quantiles(np.array([[3.0, 1.0]]), np.array([3.0, 1.0]), [0.1, 0.5])
     assert np.allclose(np.ravel(weighted), np.quantile([1.0, 3.0, 3.0, 3.0], [0.1, 0.5]))
+
+
+def test_searches_cost_few_pairs_and_no_broadcast(spark):
+    import random
+
+    from wakeline.operators import buckets, events, forward
+
+    pick = random.Random(4)
+    rows = [(k, pick.random() * 0.5, 25 + pick.random() * 0.5) for k in range(400)]
+    a, b = (spark.createDataFrame(rows, f"{c} long, lon double, lat double") for c in ("i", "j"))
+    got = {r.i: (r.j, r.dist_km) for r in buckets.nearest_within(a, b.filter("j % 3 = 0"), "i", "j", 8.0).collect()}
+    pairs = [(r.i, r.dist_km, r.j) for r in buckets.radius_join(a, b.filter("j % 3 = 0"), 8.0).collect()]
+    want = {}
+    for i, d, j in sorted(pairs, reverse=True):
+        want[i] = (j, d)
+    assert got == want
+    parts = spark.createDataFrame([(k, x * 1e5, y * 1e5, 0.0) for k, x, y in rows], "id long, x_m double, y_m double, bearing double")
+    near = {}
+    for r in events.near_pairs(parts, 3000.0).collect():
+        for one, other in ((r.a, r.b), (r.b, r.a)):
+            near[one] = min(near.get(one, (9e9, 0)), (r.gap, other))
+    assert {r.id: (r.gap, r.other) for r in events.nearest_other(parts, 3000.0).collect()} == {k: near.get(k, (None, None)) for k, _, _ in rows}
+    oil = spark.createDataFrame([(0, "m", k % 3, k, k % 48, 1.0 + k % 2, 25.0) for k in range(300)], "cluster_id int, mmsi string, member int, pid long, hour int, lon double, lat double")
+    spots = spark.createDataFrame([(0, k, 1.001, 25.0) for k in range(200)], "cluster_id int, sid long, lon double, lat double")
+    assert forward.reaching(oil, spots, 2.0).count() == 150
+    plan = buckets.radius_join(a, b, 8.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan

@@ -33,19 +33,29 @@ def release_points(reports: DataFrame, times: DataFrame, land: DataFrame | None,
     return many.select("mmsi", "t", hour.alias("hour"), "k", (F.col("lon") + u(1) * jitter_deg).alias("lon"), (F.col("lat") + u(2) * jitter_deg).alias("lat"))
 
 
+def reaching(oil: DataFrame, samples: DataFrame, hit_km: float) -> DataFrame:
+    """The rows of ``oil`` near any sample of their event; each place is looked at once."""
+    places = oil.select("cluster_id", "lon", "lat").distinct()
+    spots = samples.select("cluster_id", "lon", "lat").distinct()
+    found = cut(radius_join(places, spots, hit_km, on=("cluster_id",)).select("cluster_id", "lon", "lat").distinct(), "places")
+    return oil.join(found, ["cluster_id", "lon", "lat"], "left_semi")
+
+
 def window_search(oil: DataFrame, samples: DataFrame, hit_km: float, grid: DataFrame) -> DataFrame:
     """Precision, recall and F of every window for each event and entity.
 
     ``oil``: cluster_id, mmsi, member, pid, hour, lon, lat at T0; ``samples``: cluster_id, sid, lon, lat of the slick.
-    A sample keeps the hours that reach it as bits of one number, so that a window is one AND. A particle counts once, however often its row is repeated.
+    Particles of one place meet the samples once, with the hours that they have there as bits of one number. A sample keeps
+    the hours that reach it in the same way, so that a window is one AND. A particle counts once, however often its row is repeated.
     """
-    pairs = radius_join(oil.select("cluster_id", "mmsi", "pid", "hour", "lon", "lat"), samples.select("cluster_id", "sid", "lon", "lat"), hit_km, on=("cluster_id",))
-    pairs = cut(pairs.select("cluster_id", "mmsi", "pid", "hour", "sid"), "hits")
-    near = pairs.select("cluster_id", "mmsi", "pid", "hour").distinct().groupBy("cluster_id", "mmsi", "hour").agg(F.count("*").alias("n_near"))
+    hours = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hour").cast("int"))).alias("hours")
+    places = oil.groupBy("cluster_id", "mmsi", "lon", "lat").agg(hours)
+    pairs = radius_join(places, samples.select("cluster_id", "sid", "lon", "lat"), hit_km, on=("cluster_id",)).select("cluster_id", "mmsi", "sid", "hours")
+    near = reaching(oil, samples, hit_km).groupBy("cluster_id", "mmsi", "hour").agg(F.count_distinct("pid").alias("n_near"))
     hist = oil.groupBy("cluster_id", "mmsi", "hour").agg(F.count_distinct("pid").alias("n")).join(near, ["cluster_id", "mmsi", "hour"], "left")
     g = F.broadcast(grid)
     precision = hist.join(g, (F.col("hour") >= F.col("start_h")) & (F.col("hour") < F.col("end_h"))).groupBy("cluster_id", "mmsi", "w").agg((F.sum(F.coalesce("n_near", F.lit(0))) / F.sum("n")).alias("precision"))
-    masks = pairs.groupBy("cluster_id", "mmsi", "sid").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hour").cast("int"))).alias("hours"))
+    masks = pairs.groupBy("cluster_id", "mmsi", "sid").agg(F.bit_or("hours").alias("hours"))
     kinds = masks.groupBy("cluster_id", "mmsi", "hours").agg(F.count("*").alias("n"))
     reached = kinds.join(g, F.col("hours").bitwiseAND(F.col("mask")) != 0).groupBy("cluster_id", "mmsi", "w").agg(F.sum("n").alias("reached"))
     size = samples.groupBy("cluster_id").agg(F.count("*").alias("n_samples"))
@@ -60,8 +70,7 @@ def best_windows(scored: DataFrame, oil: DataFrame, samples: DataFrame, hit_km:
     """The first best window of each event and entity, and the share of all its members that reach the slick in it."""
     first = F.struct(F.round("f", 6), -F.col("w"))
     best = scored.groupBy("cluster_id", "mmsi").agg(F.max_by(F.struct("start_h", "end_h", "precision", "recall", "f"), first).alias("b")).select("cluster_id", "mmsi", "b.*")
-    pairs = radius_join(oil, samples.select("cluster_id", "sid", "lon", "lat"), hit_km, on=("cluster_id",))
-    hit = pairs.select("cluster_id", "mmsi", "member", "hour").distinct().join(best, ["cluster_id", "mmsi"]).filter((F.col("hour") >= F.col("start_h")) & (F.col("hour") < F.col("end_h"))).select("cluster_id", "mmsi", "member").distinct().withColumn("hit", F.lit(True))
+    hit = reaching(oil, samples, hit_km).select("cluster_id", "mmsi", "member", "hour").distinct().join(best, ["cluster_id", "mmsi"]).filter((F.col("hour") >= F.col("start_h")) & (F.col("hour") < F.col("end_h"))).select("cluster_id", "mmsi", "member").distinct().withColumn("hit", F.lit(True))
     members = oil.select("cluster_id", "mmsi", "member").distinct().join(hit, ["cluster_id", "mmsi", "member"], "left")
     support = members.groupBy("cluster_id", "mmsi").agg(share(F.col("hit")).alias("member_support"))
     return best.join(support, ["cluster_id", "mmsi"])
