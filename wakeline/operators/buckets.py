@@ -69,12 +69,16 @@ def in_rings(left: DataFrame, left_id: str, search: Callable[[DataFrame, float],
     return out
 
 
-def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float, **kw) -> DataFrame:
-    """The nearest right row within a radius of each left row (ties: smaller id); rows without one are left out."""
-    w = Window.partitionBy(left_id).orderBy("dist_km", right_id)
-    near = cut(right, "targets")
-    first = lambda rest, part: radius_join(rest, near, radius_km * part, **kw).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    return in_rings(left, left_id, first)
+def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius_km: float) -> DataFrame:
+    """The nearest right row within a radius of each left row (ties: smaller id); rows without one are left out. Left rows
+    of one place (lon, lat) search once, and of right rows at one place only the smallest id is met."""
+    spot = F.struct("lon", "lat").alias("_place")
+    near = cut(right.groupBy("lon", "lat").agg(F.min_by(F.struct(*right.columns), right_id).alias("r")).select("r.*"), "targets")
+    w = Window.partitionBy("_place").orderBy("dist_km", right_id)
+    first = lambda rest, part: radius_join(rest, near, radius_km * part).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    found = in_rings(left.select("lon", "lat", spot).distinct(), "_place", first).drop("_place")
+    own = Window.partitionBy(left_id).orderBy("dist_km", right_id)
+    return left.join(found, ["lon", "lat"]).withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
 
 
 def box_join(points: DataFrame, boxes: DataFrame, on: tuple[str, ...], cell_deg: float = 0.5) -> DataFrame:
