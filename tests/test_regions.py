@@ -115,3 +115,16 @@ def test_nothing(spark):
     assert regions.overlapping(none, none.withColumnRenamed("a", "b"), "a", "b").collect() == []
     assert regions.points_in_regions(spark.createDataFrame([(1, 0.0, 0.0)], "p long, x double, y double"), none, "p", "a").collect() == []
     assert regions.convex_hulls(spark.createDataFrame([], "g long, x double, y double"), "g").collect() == []
+
+
+def test_covers_and_rings_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from wakeline.operators import regions
+
+    corner = lambda a, b: F.struct((F.col("id") + a).alias("x"), F.lit(float(b)).alias("y"))
+    boxes = spark.range(4).select("id", F.array(F.array(*(corner(a, b) for a, b in ((0.1, 0.1), (0.9, 0.1), (0.9, 0.9), (0.1, 0.9))))).alias("rings"))
+    points = spark.range(40).select(F.col("id").alias("p"), (F.col("id") / 10 + 0.05).alias("x"), F.lit(0.5).alias("y"))
+    found = regions.points_in_regions(points, boxes, "p", "id")
+    assert sorted((r.p, r.id) for r in found.collect()) == [(p, p // 10) for p in range(40) if 0.1 < (p % 10) / 10 + 0.05 < 0.9]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

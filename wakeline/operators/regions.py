@@ -110,8 +110,9 @@ def points_in_regions(points: DataFrame, regions: DataFrame, point: str, region:
         return points.select(point).join(regions.select(region).limit(0), F.lit(True))
     asked = points.filter("x IS NOT NULL AND y IS NOT NULL").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     at = lambda c: F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("level"))).alias(f"i{c}")
-    met = asked.select(point, "x", "y", "level", at("x"), at("y")).join(cells, ["level", "ix", "iy"])
-    border = met.filter("NOT inside").select(point, "x", "y", region).join(regions.select(region, "rings"), region)
+    met = asked.select(point, "x", "y", "level", at("x"), at("y")).join(cells.hint("merge"), ["level", "ix", "iy"])
+    # Covers and rings are larger than their files say: they are merged, never broadcast.
+    border = met.filter("NOT inside").select(point, "x", "y", region).join(regions.select(region, "rings").hint("merge"), region)
     tested = border.filter(contains(F.col("rings"), F.col("x"), F.col("y"))).select(point, region)
     return met.filter("inside").select(point, region).unionByName(tested)
 
