@@ -4,11 +4,14 @@ The positions of one key (an hour, say) are dealt into slices of about ``SLICE``
 of its slices, once, whatever number of clouds (events, members, scenarios) they form; particles of a cloud at one place
 are one row with their number. A task takes a slice with its
 clouds and works out all statistics in blocks: neither pairs nor distances are ever shuffled, and the slices of one busy
-hour are dealt over tasks. The clouds of one key have to fit a task (16 bytes a particle).
+hour are dealt over tasks. Slices grow with the clouds, so that what is sent to them grows with the positions. Where clouds
+of one key mostly hold the same places, densities and least distances are worked out once for each place. The clouds of
+one key have to fit a task (16 bytes a particle).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,9 +24,16 @@ from wakeline.functions.geo import EARTH_KM
 from wakeline.functions.nulls import finite
 from wakeline.sources.work import cut
 
-SLICE = 4096
+SLICE, LARGEST = 4096, 65_536
+#: Particles of a key for each position of a slice.
+PER_POSITION = 16
 #: Distances held at once.
 BLOCK = 1 << 20
+#: Places and positions that meet at once where clouds share places.
+TILE = (8192, 16)
+SHARED = {"min_distance_km", "density_score"}
+#: Powers of a chord's square that sum to the square of its angle, for chords of up to ``SHORT`` (squared).
+SERIES, SHORT = tuple(2 / (n * n * math.comb(2 * n, n)) for n in range(1, 10)), 0.05
 STATISTICS = ("min_distance_km", "p10_distance_km", "median_distance_km", "fraction_particles_2km", "fraction_particles_5km", "fraction_particles_10km", "density_score")
 
 
@@ -81,6 +91,56 @@ def _statistics(d: np.ndarray, sigma: np.ndarray, wanted: Sequence[str], weight:
     return [out[c] for c in wanted]
 
 
+def _square_angles(chord: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Squares of the angles of chords, from the chords' squares."""
+    if chord.max() <= SHORT:
+        room.fill(SERIES[-1])
+        for c in SERIES[-2::-1]:
+            room *= chord
+            room += c
+        room *= chord
+        return room
+    np.sqrt(chord, out=room)
+    room *= 0.5
+    np.minimum(room, 1.0, out=room)
+    np.arcsin(room, out=room)
+    room *= 2.0
+    room *= room
+    return room
+
+
+def shared_statistics(a: np.ndarray, b: np.ndarray, sigma: np.ndarray, weight: np.ndarray, wanted: Sequence[str]) -> dict[str, np.ndarray]:
+    """Statistics (of ``SHARED``), a column for each cloud, of unit vectors ``a`` against the places ``b`` that clouds
+    share; ``weight`` holds how many particles of each cloud (column) are at each place."""
+    density, nearest = np.zeros((a.shape[1], weight.shape[1])), np.full((a.shape[1], weight.shape[1]), np.inf)
+    wide, high = TILE
+    scale = -0.5 * (EARTH_KM / sigma) ** 2
+    one, two = np.empty((high, wide)), np.empty((high, wide))
+    for p in range(0, b.shape[1], wide):
+        there, w = b[:, p : p + wide], weight[p : p + wide]
+        held = w > 0
+        for k in range(0, a.shape[1], high):
+            here = a[:, k : k + high]
+            square, room = (x[: here.shape[1], : there.shape[1]] for x in (one, two))
+            np.subtract(here[0][:, None], there[0], out=square)
+            square *= square
+            for axis in (1, 2):
+                np.subtract(here[axis][:, None], there[axis], out=room)
+                room *= room
+                square += room
+            if "min_distance_km" in wanted:
+                for c in range(w.shape[1]):
+                    if held[:, c].any():
+                        least = (square if held[:, c].all() else square[:, held[:, c]]).min(axis=1)
+                        np.minimum(nearest[k : k + high, c], least, out=nearest[k : k + high, c])
+            if "density_score" in wanted:
+                z = _square_angles(square, room)
+                z *= scale[k : k + high, None]
+                density[k : k + high] += np.exp(z, out=z) @ w
+    chord = np.minimum(np.sqrt(nearest) * 0.5, 1.0)
+    return {"density_score": density / weight.sum(axis=0), "min_distance_km": np.arcsin(chord) * (2 * EARTH_KM)}
+
+
 def against_clouds(positions: DataFrame, particles: DataFrame, on: Sequence[str], sigma: str, cloud_keys: Sequence[str] = (), wanted: Sequence[str] = STATISTICS) -> DataFrame:
     """``positions`` (with lon, lat and the column ``sigma``) once for each cloud of ``on`` and ``cloud_keys``, with
     statistics of its distances to the particles (p_lon, p_lat). Particles that are not finite do not count; a position
@@ -91,11 +151,13 @@ def against_clouds(positions: DataFrame, particles: DataFrame, on: Sequence[str]
     for c in wanted:
         schema = schema.add(c, DoubleType())
     held = cut(positions, "positions")
-    counts = held.groupBy(*on).agg(F.ceil(F.count("*") / SLICE).alias("_slices"))
-    slices = held.join(counts, on).withColumn("_slice", F.pmod(F.xxhash64(*own), F.col("_slices"))).drop("_slices")
-    points = particles.filter(finite(F.col("p_lon"), F.col("p_lat"))).select(*on, *cloud_keys, F.col("p_lon").cast("double").alias("_x"), F.col("p_lat").cast("double").alias("_y"))
+    own_points = particles.filter(finite(F.col("p_lon"), F.col("p_lat"))).select(*on, *cloud_keys, F.col("p_lon").cast("double").alias("_x"), F.col("p_lat").cast("double").alias("_y"))
     # Particles at one place are one row, however many there are.
-    points = points.groupBy(*on, *cloud_keys, "_x", "_y").agg(F.count("*").alias("_m"))
+    points = cut(own_points.groupBy(*on, *cloud_keys, "_x", "_y").agg(F.count("*").alias("_m")), "clouds")
+    sizes = points.groupBy(*on).agg(F.count("*").alias("_size"))
+    slice_ = F.least(F.lit(LARGEST), F.greatest(F.lit(SLICE), F.col("_size") / PER_POSITION))
+    counts = held.groupBy(*on).agg(F.count("*").alias("_n")).join(sizes, on).select(*on, F.ceil(F.col("_n") / slice_).alias("_slices"))
+    slices = held.join(counts, on).withColumn("_slice", F.pmod(F.xxhash64(*own), F.col("_slices"))).drop("_slices")
     clouds = points.join(counts, on).withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
 
     def score(rows: pa.Table, cloud: pa.Table) -> pa.Table:
@@ -111,11 +173,17 @@ def against_clouds(positions: DataFrame, particles: DataFrame, on: Sequence[str]
             code = code * (len(own.dictionary) + 1) + own.indices.fill_null(len(own.dictionary)).to_numpy()
         order = np.argsort(code, kind="stable")
         edges = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1)) if len(rows) and len(code) else np.zeros(0, int)
-        out = []
-        for first, end in zip(edges[:-1], edges[1:], strict=True):
+        out, shared = [], None
+        if len(edges) > 2 and set(wanted) <= SHARED:
+            places, at = np.unique(cloud.column("_x").to_numpy() + 1j * cloud.column("_y").to_numpy(), return_inverse=True)
+            if len(places) * (len(edges) - 1) <= 8 * len(cloud):
+                spread = np.zeros((len(places), len(edges) - 1))
+                np.add.at(spread, (at[order], np.repeat(np.arange(len(edges) - 1), np.diff(edges))), many[order])
+                shared = shared_statistics(here, _unit(places.real, places.imag), s, spread, wanted)
+        for n, (first, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             there, weight = all_there[:, order[first:end]], many[order[first:end]]
             step = max(1, BLOCK // there.shape[1])
-            parts = [_statistics(distances_km(here[:, k : k + step], there), s[k : k + step], wanted, weight) for k in range(0, len(x), step)]
+            parts = [[shared[c][:, n] for c in wanted]] if shared else [_statistics(distances_km(here[:, k : k + step], there), s[k : k + step], wanted, weight) for k in range(0, len(x), step)]
             found = [pa.array(np.concatenate(p), mask=~ok) for p in zip(*parts, strict=True)]
             which = pa.array(np.full(len(rows), order[first]))
             columns = [*(rows.column(k) for k in on), *(cloud.column(k).take(which) for k in cloud_keys), *(rows.column(c) for c in carried), *found]

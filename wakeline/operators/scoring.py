@@ -15,8 +15,9 @@ from wakeline.functions import binning
 from wakeline.functions.geo import KM_PER_DEG_LAT, KM_PER_DEG_LON
 from wakeline.functions.kernels import gaussian, growing_sigma
 from wakeline.functions.nulls import finite, share
-from wakeline.operators.buckets import box_join
+from wakeline.operators.buckets import box_join, in_box
 from wakeline.operators.clouds import STATISTICS, against_clouds
+from wakeline.sources.work import cut
 
 RANK_DP = 6
 
@@ -107,8 +108,13 @@ def backward_scores(positions: DataFrame, particles: DataFrame, t0_us: int, gate
     boxes = boxes.withColumn("sigma", growing_sigma(F.col("tau_h"))).withColumn("pad", CUTOFF_SIGMA * F.col("sigma"))
     dx, dy = F.least(F.lit(180.0), F.col("pad") / (KM_PER_DEG_LON * F.greatest(F.cos(F.radians("y")), F.lit(1e-9)))), F.col("pad") / KM_PER_DEG_LAT
     boxes = boxes.select(*key, "tau_h", "sigma", (F.col("x0") - dx).alias("lon0"), (F.col("x1") + dx).alias("lon1"), (F.col("y0") - dy).alias("lat0"), (F.col("y1") + dy).alias("lat1"))
-    near = box_join(positions.select("mmsi", "t", "lon", "lat"), boxes, ("t",)).select("mmsi", "lon", "lat", "sigma", "tau_h", *key)
-    found = against_clouds(near, cloud.select(*key, "p_lon", "p_lat"), key, "sigma", wanted=("min_distance_km", "density_score"))
+    # Members of a cluster share most places, so that all of them are met at once by the positions in any member's box.
+    boxes = cut(boxes, "boxes")
+    edges = (("lon0", F.min), ("lon1", F.max), ("lat0", F.min), ("lat1", F.max))
+    joint = boxes.groupBy("cluster_id", "t", "tau_h", "sigma").agg(*(f(c).alias(c) for c, f in edges))
+    near = box_join(positions.select("mmsi", "t", "lon", "lat"), joint, ("t",)).select("mmsi", "lon", "lat", "sigma", "tau_h", "cluster_id", "t")
+    found = against_clouds(near, cloud.select(*key, "p_lon", "p_lat"), ("cluster_id", "t"), "sigma", ("member",), ("min_distance_km", "density_score"))
+    found = found.join(boxes.drop("tau_h", "sigma"), key).filter(in_box())
     return found.select("cluster_id", "member", "mmsi", "t", "tau_h", F.col("density_score").alias("density"), "min_distance_km", (F.col("min_distance_km") <= gate_sigma * F.col("sigma")).alias("gate_hit"))
 
 
