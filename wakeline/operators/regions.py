@@ -180,12 +180,21 @@ def overlaps(pairs: DataFrame, a: str = "rings_a", b: str = "rings_b") -> DataFr
     return pairs.mapInArrow(run, schema).withColumn("iou", F.when(either > 0, F.col("inter_area") / either).otherwise(0.0))
 
 
+def distinct_shapes(df: DataFrame, key: str, shape: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(name, shape) of each different shape, named by the least key that has it, and (name, key) of all rows with one."""
+    given = df.select(key, shape).filter(F.col(key).isNotNull() & F.col(shape).isNotNull())
+    held = cut(given.groupBy(shape).agg(F.min(key).alias(name)), "shapes")
+    return held, cut(given.join(held.hint("merge"), shape).select(name, key), "members")
+
+
 def overlapping(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
-    """(left, right, inter_area, iou) of the regions (rings) of two tables that share an area."""
-    covers = [cut(cover(df, key), "cover") for df, key in ((a, left), (b, right))]
-    pairs = meeting(*covers, left, right)
-    pairs = pairs.join(a.select(left, F.col("rings").alias("rings_a")), left).join(b.select(right, F.col("rings").alias("rings_b")), right)
-    return overlaps(pairs).filter("inter_area > 0").select(left, right, "inter_area", "iou")
+    """(left, right, inter_area, iou) of the regions (rings) of two tables that share an area. Regions of equal rings meet
+    others once; their ids follow."""
+    (one, own), (two, other) = (distinct_shapes(df, key, "rings", name) for df, key, name in ((a, left, "_p"), (b, right, "_q")))
+    pairs = meeting(*(cut(cover(df, key), "cover") for df, key in ((one, "_p"), (two, "_q"))), "_p", "_q")
+    pairs = pairs.join(one.withColumnRenamed("rings", "rings_a"), "_p").join(two.withColumnRenamed("rings", "rings_b"), "_q")
+    found = cut(overlaps(pairs).filter("inter_area > 0").select("_p", "_q", "inter_area", "iou"), "overlaps")
+    return found.join(own.hint("merge"), "_p").join(other.hint("merge"), "_q").select(left, right, "inter_area", "iou")
 
 
 def equal_area(rings: Column) -> Column:
@@ -247,12 +256,17 @@ def cluster_shapes(parts: DataFrame, membership: DataFrame, pairs: DataFrame) ->
 
     ``parts`` has id and ring, ``membership`` id and component.
     """
+    side = lambda c: membership.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    apart = pairs.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb")
+    least = apart.select(F.col("ca").alias("component"), "w").unionByName(apart.select(F.col("cb").alias("component"), "w")).groupBy("component").agg(F.min("w").alias("w"))
+    return with_isolation(parts, membership, least)
+
+
+def with_isolation(parts: DataFrame, membership: DataFrame, least: DataFrame) -> DataFrame:
+    """``cluster_shapes`` from the least gap (component, w) of each cluster that has one."""
     j = parts.join(membership, "id")
     sums = j.groupBy("component").agg(F.count("*").alias("n"), F.sum(polygon.area(F.col("ring"))).alias("area"))
     corners = j.select("component", F.explode("ring").alias("p")).select("component", "p.x", "p.y")
     hull = convex_hulls(corners, "component").select("component", polygon.area(F.col("ring")).alias("hull_area"))
-    side = lambda c: membership.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    apart = pairs.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb")
-    least = apart.select(F.col("ca").alias("component"), "w").unionByName(apart.select(F.col("cb").alias("component"), "w")).groupBy("component").agg(F.min("w").alias("isolation"))
-    out = sums.join(hull, "component").join(least, "component", "left")
+    out = sums.join(hull, "component").join(least.withColumnRenamed("w", "isolation"), "component", "left")
     return out.select("component", "n", "area", "hull_area", F.when(F.col("hull_area") > 0, F.col("area") / F.col("hull_area")).alias("fill"), "isolation")

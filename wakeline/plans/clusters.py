@@ -20,14 +20,13 @@ reach(a, b, w, node) AS (
 mst AS (SELECT a, b, w FROM ed WHERE (a, b) NOT IN (SELECT (a, b) FROM reach WHERE node = b))"""
 
 
-def pairs(spark, d):
-    found = events.near_pairs(components(spark, d), LINK_M)
-    return found.select("a", "b", F.round("gap", 6).alias("w"))
+def near_forest(spark, d):
+    return forest.near_forest(components(spark, d), LINK_M, digits=6)
 
 
 @query("spanning_forest", f"WITH RECURSIVE {FOREST_SQL} SELECT a, b, w FROM mst", "w")
 def _(spark, d):
-    return forest.spanning_forest(pairs(spark, d))
+    return near_forest(spark, d)
 
 
 # Objects are stripes of the plane; a part at a border is in two of them.
@@ -42,8 +41,7 @@ def _(spark, d):
     parts = components(spark, d)
     stripe = lambda x: F.floor(x / 5e4).alias("g")
     objects = parts.select("id", stripe(F.col("x_m"))).union(parts.select("id", stripe(F.col("x_m") + 1e4))).distinct()
-    edges = pairs(spark, d).join(objects.withColumnRenamed("id", "a"), "a").join(objects.withColumnRenamed("id", "b"), ["b", "g"])
-    return forest.merge_heights(edges, "g")
+    return forest.near_heights(parts.select("id", "x_m", "y_m").join(objects, "id"), LINK_M, "g", digits=6)
 
 
 GAPS_SQL = ", ".join(f"({g:g}e0)" for g in GAPS)
@@ -53,7 +51,7 @@ comp AS (SELECT height, id, min(c) AS component FROM reach GROUP BY ALL), sized
 
 
 def levels(spark, d):
-    return forest.dendrogram(components(spark, d), forest.spanning_forest(pairs(spark, d)), GAPS)
+    return forest.dendrogram(components(spark, d), forest.near_forest(components(spark, d), LINK_M), GAPS)
 
 
 @query("dendrogram", f"""WITH RECURSIVE {LEVEL_SQL}, prior AS (SELECT c.height, c.id, c.component, p.component AS part FROM comp c JOIN comp p ON p.id = c.id AND p.height = (SELECT max(height) FROM gaps WHERE height < c.height)

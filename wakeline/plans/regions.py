@@ -109,6 +109,5 @@ def _(spark, d):
     parts = components(spark, d)
     long = F.sqrt("area_m2") / 1e3
     ring = regions.rectangle(F.col("x_m") / 1e3, F.col("y_m") / 1e3, 2 * long, long / 2, F.col("bearing"))
-    pairs = events.near_pairs(parts, LINK_M).select("a", "b", F.col("gap").alias("w"))
-    membership = forest.dendrogram(parts, forest.spanning_forest(pairs), (NEAR_M,)).select(F.col("part").alias("id"), "component")
-    return regions.cluster_shapes(parts.select("id", ring.alias("ring")), membership, pairs)
+    membership = events.link(parts, NEAR_M)
+    return regions.with_isolation(parts.select("id", ring.alias("ring")), membership, forest.least_apart(parts, membership, LINK_M))
