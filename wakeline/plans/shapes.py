@@ -7,10 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from wakeline.functions import polygon
-from wakeline.operators import audit, buckets, events, tables
+from wakeline.operators import audit, buckets, events, regions, tables
 from wakeline.plans.registry import query
 from wakeline.plans.slicks import FORECAST, MEMBER, PAIR_SQL, components, particles, sql_of
 from wakeline.sources import testdata as td
+from wakeline.sources.work import cut
 
 # Each supplier owns a right-angled box w by h, turned by no angle, so that SQL can say its area and overlaps.
 BOX = {"id": "s_suppkey", "x": "((s_suppkey * 31) % 500) * 1e-2 - 93e0", "y": "((s_suppkey * 17) % 300) * 1e-2 + 25e0", "w": "(s_suppkey % 7 + 1) * 4e-2", "h": "(s_suppkey % 5 + 1) * 3e-2"}
@@ -39,22 +40,32 @@ def _(spark, d):
 @query("points_in_polygons", f"WITH {BOX_SQL}, {sql_of('det', 'customer', td.DETECTION)} SELECT det_id, id FROM det JOIN bx ON lon > x AND lon < x + w AND lat > y AND lat < y + h")
 def _(spark, d):
     b = boxes(spark, d).select("id", "ring", F.col("x").alias("lon0"), (F.col("x") + F.col("w")).alias("lon1"), F.col("y").alias("lat0"), (F.col("y") + F.col("h")).alias("lat1"), F.lit(0).alias("k"))
-    near = buckets.box_join(td.derived(spark, d, "customer", td.DETECTION).withColumn("k", F.lit(0)), b, ("k",), cell_deg=0.1)
+    # Points of one place and equal boxes are looked at once; their ids follow.
+    shapes, members = regions.distinct_shapes(b.withColumn("box", F.struct("ring", "lon0", "lon1", "lat0", "lat1", "k")), "id", "box", "shape")
+    det = td.derived(spark, d, "customer", td.DETECTION)
+    places = det.select("lon", "lat", F.lit(0).alias("k")).distinct()
+    near = buckets.box_join(places, shapes.select("shape", "box.*"), ("k",), cell_deg=0.1)
     # SQL leaves the border out; so do points whose coordinates equal a corner's.
     inner = (F.col("lon") > F.col("lon0")) & (F.col("lon") < F.col("lon1")) & (F.col("lat") > F.col("lat0")) & (F.col("lat") < F.col("lat1"))
-    return near.filter(polygon.contains(F.col("ring"), F.col("lon"), F.col("lat")) & inner).select("det_id", "id")
+    found = cut(near.filter(polygon.contains(F.col("ring"), F.col("lon"), F.col("lat")) & inner).select("lon", "lat", "shape"), "inside")
+    return found.join(det.select("det_id", "lon", "lat").hint("merge"), ["lon", "lat"]).join(members.hint("merge"), "shape").select("det_id", "id")
 
 
 @query("polygon_overlap", f"WITH {BOX_SQL}, p AS (SELECT a.id AS a, b.id AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter_area, a.w * a.h + b.w * b.h AS s FROM bx a JOIN bx b ON a.id < b.id) SELECT a, b, inter_area, inter_area / (s - inter_area) AS iou FROM p WHERE inter_area > 1e-9", "inter_area iou")
 def _(spark, d):
     # Corners of one against boxes of the other are not enough for crossing boxes: both are dealt to the cells they touch.
     size = 0.1
-    cells = lambda lo, n: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor((F.col(lo) + F.col(n)) / size)))
-    dealt = boxes(spark, d).withColumn("cx", cells("x", "w")).withColumn("cy", cells("y", "h"))
-    a = dealt.select("cx", "cy", F.col("id").alias("a"), F.col("ring").alias("ring_a"))
-    b = dealt.select("cx", "cy", F.col("id").alias("b"), F.col("ring").alias("ring_b"))
-    pairs = a.join(b, ["cx", "cy"]).filter("a < b").drop("cx", "cy").dropDuplicates(["a", "b"])
-    return polygon.overlaps(pairs).filter("inter_area > 1e-9").select("a", "b", "inter_area", "iou")
+    shapes, members = regions.distinct_shapes(boxes(spark, d), "id", "ring", "shape")  # equal boxes are looked at once
+    corner = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    span = lambda c: F.explode(F.sequence(F.floor(corner(F.array_min, c) / size), F.floor(corner(F.array_max, c) / size)))
+    dealt = shapes.withColumn("cx", span("x")).withColumn("cy", span("y"))
+    a = dealt.select("cx", "cy", F.col("shape").alias("p"), F.col("ring").alias("ring_a"))
+    b = dealt.select("cx", "cy", F.col("shape").alias("q"), F.col("ring").alias("ring_b"))
+    pairs = a.join(b.hint("merge"), ["cx", "cy"]).filter("p <= q").select("p", "q", "ring_a", "ring_b").dropDuplicates(["p", "q"])
+    met = cut(polygon.overlaps(pairs).filter("inter_area > 1e-9").select("p", "q", "inter_area", "iou"), "overlaps")
+    own = lambda shape, name: members.select(F.col("shape").alias(shape), F.col("id").alias(name)).hint("merge")
+    both = met.join(own("p", "i"), "p").join(own("q", "j"), "q").filter("p <> q OR i < j")
+    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "inter_area", "iou")
 
 
 TURN = 0.5  # radians, counter-clockwise; a square's long side is either of two
