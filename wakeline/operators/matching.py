@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.geo import dead_reckoned
 from wakeline.operators.buckets import nearest_within, radius_join
+from wakeline.sources.work import cut
 
 MOVING_KM, STATIONARY_KM, PLATFORM_KM = 1.5, 0.5, 0.5
 
@@ -90,8 +91,13 @@ def sar_evidence(events: DataFrame, labelled: DataFrame, radius_km: float = 25.0
 
 
 def distance_table(events: DataFrame, detections: DataFrame, near_km: float = 2.0, radius_km: float = 25.0) -> DataFrame:
-    """Detections within a radius of each event, with a flag for the near ones."""
-    return radius_join(detections, events.select("cluster_id", "lon", "lat"), radius_km).select("cluster_id", "det_id", "dist_km", (F.col("dist_km") <= near_km).alias("near"))
+    """Detections within a radius of each event, with a flag for the near ones. Distances are those of places, worked out
+    once however many events and detections are there."""
+    places = detections.select("lon", "lat").distinct()
+    met = cut(radius_join(places, events.select("lon", "lat").distinct(), radius_km), "places")
+    own = events.select("cluster_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    near = met.join(detections.select("det_id", "lon", "lat").hint("merge"), ["lon", "lat"]).join(own.hint("merge"), ["r_lon", "r_lat"])
+    return near.select("cluster_id", "det_id", "dist_km", (F.col("dist_km") <= near_km).alias("near"))
 
 
 def percentile_rank(values: DataFrame, reference: DataFrame, value: str, buckets: int = 1000) -> DataFrame:
