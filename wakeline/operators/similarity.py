@@ -203,23 +203,33 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, at_least: float, vec
 def energy_distance(a: DataFrame, b: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """Energy distance of two planar clouds (x, y) of each group: 2 E|A-B| - E|A-A'| - E|B-B'|.
 
-    Each cloud is dealt into blocks of ``block`` points; a task takes two blocks and hands on a count and a sum of
-    distances, so that neither a cloud nor a list of pairs is ever in one place. Groups with only one cloud have no row.
+    Points of a cloud at one place are one row with their number. Each cloud is dealt into blocks of ``block`` places; a
+    task takes two blocks and hands on a count and a sum of distances, so that neither a cloud nor a list of pairs is ever
+    in one place. Groups with only one cloud have no row.
     """
     points = lambda df, side: df.select(F.col(key).alias("k"), F.lit(side).alias("side"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    both = cut(points(a, 0).unionByName(points(b, 1)).filter("x IS NOT NULL AND y IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "clouds")
-    sizes = cut(both.groupBy("k", "side").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "sizes")
+    given = points(a, 0).unionByName(points(b, 1)).filter("x IS NOT NULL AND y IS NOT NULL")
+    both = cut(given.groupBy("k", "side", "x", "y").agg(F.count("*").alias("m")).withColumn("row", F.monotonically_increasing_id()), "clouds")
+    sizes = cut(both.groupBy("k", "side").agg(F.sum("m").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
     dealt = both.join(sizes.select("k", "side", "blocks"), ["k", "side"]).withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).drop("blocks")
     other = sizes.select("k", F.col("side").alias("with"), F.col("blocks").alias("with_blocks"))
     by = ["k", "s", "t", "i", "j"]
     spread = dealt.join(other, "k").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("with_blocks") - 1)))
-    first = spread.filter("side <= `with`").select("k", F.col("side").alias("s"), F.col("with").alias("t"), F.col("own").alias("i"), F.col("o").alias("j"), "x", "y")
-    second = spread.filter("`with` <= side").select("k", F.col("with").alias("s"), F.col("side").alias("t"), F.col("o").alias("i"), F.col("own").alias("j"), "x", "y")
+    first = spread.filter("side <= `with`").select("k", F.col("side").alias("s"), F.col("with").alias("t"), F.col("own").alias("i"), F.col("o").alias("j"), "x", "y", "m")
+    second = spread.filter("`with` <= side").select("k", F.col("with").alias("s"), F.col("side").alias("t"), F.col("o").alias("i"), F.col("own").alias("j"), "x", "y", "m")
     second = second.select(*(F.col(c).alias(c) for c in second.columns))
 
     def total(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         p, q = (np.stack([t.column(c).to_numpy() for c in "xy"], axis=1) for t in (mine, theirs))
-        n = sum(float(np.hypot(*(p[at : at + 64, None, :] - q[None, :, :]).transpose(2, 0, 1)).sum()) for at in range(0, len(p), 64)) if len(q) else 0.0
+        u, v = (t.column("m").to_numpy().astype(float) for t in (mine, theirs))
+        n = 0.0
+        for at in range(0, len(p), 64):
+            for to in range(0, len(q), 1024):
+                x, y = (p[at : at + 64, None, k] - q[None, to : to + 1024, k] for k in (0, 1))
+                x *= x
+                y *= y
+                x += y
+                n += float(u[at : at + 64] @ np.sqrt(x, out=x) @ v[to : to + 1024])
         head = mine if len(mine) else theirs
         return pa.table({c: head.column(c).slice(0, 1) for c in ("k", "s", "t")} | {"d": pa.array([n])})
 
