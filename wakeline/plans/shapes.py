@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from wakeline.functions import polygon
-from wakeline.operators import audit, buckets, events, regions, tables
+from wakeline.operators import audit, buckets, gaps, regions, tables
 from wakeline.plans.registry import query
 from wakeline.plans.slicks import FORECAST, MEMBER, PAIR_SQL, components, particles, sql_of
 from wakeline.sources import testdata as td
@@ -84,12 +84,10 @@ def _(spark, d):
 @query("gap_distributions", f"""WITH {PAIR_SQL}, s AS (SELECT CASE WHEN a.area_m2 < 3e4 AND b.area_m2 < 3e4 THEN 'small' ELSE 'mixed' END AS stratum, a.id % 2 = b.id % 2 AS intra, gap FROM pr JOIN parts a ON a.id = pr.a JOIN parts b ON b.id = pr.b)
 SELECT stratum, intra, count(*) AS n, quantile_cont(gap, 0.1) AS q10, median(gap) AS q50, quantile_cont(gap, 0.9) AS q90 FROM s GROUP BY ALL""", "q10 q50 q90", digits=4)
 def _(spark, d):
-    c = components(spark, d)
-    side = lambda n: c.select(F.col("id").alias(n), F.col("area_m2").alias(f"area_{n}"))
-    j = events.near_pairs(c, 6000.0).join(side("a"), "a").join(side("b"), "b")
-    stratum = F.when((F.col("area_a") < 3e4) & (F.col("area_b") < 3e4), "small").otherwise("mixed")
-    g = F.col("gap")
-    return j.groupBy(stratum.alias("stratum"), (F.col("a") % 2 == F.col("b") % 2).alias("intra")).agg(F.count("*").alias("n"), F.percentile(g, F.lit(0.1)).alias("q10"), F.median(g).alias("q50"), F.percentile(g, F.lit(0.9)).alias("q90"))
+    parts = components(spark, d).select("id", "x_m", "y_m", (~F.coalesce(F.col("area_m2") < 3e4, F.lit(False))).cast("int").alias("kind"), (F.col("id") % 2).alias("twin"))
+    found = gaps.gap_quantiles(parts, 6000.0, 2, (0.1, 0.5, 0.9))
+    stratum = F.when(F.col("kind") == 0, "small").otherwise("mixed")
+    return found.select(stratum.alias("stratum"), F.col("same").alias("intra"), "n", F.col("q0").alias("q10"), F.col("q1").alias("q50"), F.col("q2").alias("q90"))
 
 
 @query("best_threshold", f"""WITH m AS (SELECT ((c_custkey * 13) % 100) * 1e-2 AS p, (c_custkey * 11) % 180 < 90 AS truth FROM customer), s AS (SELECT k / 20e0 AS threshold, count(*) FILTER (WHERE p >= k / 20e0 AND truth) AS tp, count(*) FILTER (WHERE p >= k / 20e0 AND NOT truth) AS fp, count(*) FILTER (WHERE p < k / 20e0 AND truth) AS fn FROM m, range(1, 20) g(k) GROUP BY k)
