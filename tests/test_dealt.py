@@ -1,9 +1,11 @@
 """Joins whose pairs far outnumber their rows: every pair, in many tasks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import buckets, tables
+from wakeline.operators import buckets, hashing, tables
 
 
 def plan_of(df):
@@ -27,3 +29,14 @@ def test_windows_are_dealt_to_tasks(spark):
     got = [tuple(r) for r in met.collect()]
     assert len(got) == len(want) and set(got) == want
     assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_few_hashes_meet(spark, monkeypatch):
+    """Before, eight bands of seven or eight bits let one pair of random hashes in 28 meet."""
+    rows = [(n, pick.getrandbits(63)) for pick in [random.Random(7)] for n in range(2000)]
+    df = spark.createDataFrame(rows, "id long, hash long")
+    met = []
+    real = hashing.dealt_join
+    monkeypatch.setattr(hashing, "dealt_join", lambda *a: met.append(real(*a)) or met[-1])
+    assert hashing.near_hashes(df, df, 7).count() == 2000
+    assert met[0].count() < 2000 * 2000 / 200
