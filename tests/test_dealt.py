@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import buckets, hashing, tables
+from wakeline.operators import buckets, hashing, similarity, tables
 
 
 def plan_of(df):
@@ -40,3 +40,16 @@ def test_few_hashes_meet(spark, monkeypatch):
     monkeypatch.setattr(hashing, "dealt_join", lambda *a: met.append(real(*a)) or met[-1])
     assert hashing.near_hashes(df, df, 7).count() == 2000
     assert met[0].count() < 2000 * 2000 / 200
+
+
+def test_near_copies_are_found_without_patterns(spark, monkeypatch):
+    """Before, each vector was written under hundreds of sign patterns, and candidates were shuffled with both vectors."""
+    pick = random.Random(8)
+    rows = [(n, [pick.gauss(0, 1) for _ in range(64)]) for n in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    held = []
+    real = similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df, name: held.append(real(df, name)) or held[-1])
+    got = similarity.similar_pairs(df, df.withColumn("v", F.transform("v", lambda x: x * 2)), 0.97)
+    assert {(r.a, r.b) for r in got.collect()} == {(n, n) for n in range(300)}
+    assert sum(t.count() for t in held) <= 4 * 300

@@ -1,12 +1,15 @@
 """Exact similarity joins of vectors, and sums over all pairs of two clouds, in blocks of bounded size.
 
-Two ways lead to the same pairs. Near 1, two unit vectors of similarity s lie within R = 2 - 2s (squared), so in at least
-one of m bands of coordinates within R / m. Where they differ in sign there, their distance holds both components, and
-those of one of the two sum to at most R / (2m) squared. A row therefore goes under its own sign pattern in each band, and
-once more under every pattern that flips components of so small a sum; one side's own pattern meets the other's flipped
-ones, and what meets is verified. Vectors are turned by a fixed orthogonal matrix first, so that no band is empty or
-constant. For lower similarities signs rule nothing out: rows are gathered around pivots, cells of pivots whose angles
-cannot come close enough are left out, and what remains meets block by block as matrix products.
+Rows are gathered around pivots, cells of pivots whose angles cannot come close enough are left out, and what remains
+meets block by block as matrix products, in single precision with room for its errors, then in double for what is left.
+Each side is cut into about as many blocks whatever its rows, so that what is shuffled grows with them.
+
+Candidates alone can also be named by signs (``met_by_signs``). Near 1, two unit vectors of similarity s lie within
+R = 2 - 2s (squared), so in at least one of m bands of coordinates within R / m. Where they differ in sign there, their
+distance holds both components, and those of one of the two sum to at most R / (2m) squared. A row therefore goes under its
+own sign pattern in each band, and once more under every pattern that flips components of so small a sum; one side's own
+pattern meets the other's flipped ones. Vectors are turned by a fixed orthogonal matrix first, so that no band is empty or
+constant.
 """
 
 from __future__ import annotations
@@ -17,17 +20,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.sources.work import cut
 
-#: Rows of one side in a block.
-BLOCK = 16_384
+#: Rows of one side in a block, if it has fewer than BLOCKS blocks then, and at most.
+BLOCK, BLOCKS, WIDEST = 16_384, 8, 65_536
 #: Pivots at most; they are compared with each other on the driver.
 PIVOTS = 128
-#: Coordinates of a band, and the similarity from which bands are used.
-BAND, BANDS_FROM = 16, 0.95
+#: Coordinates of a band.
+BAND = 16
 
 
 @lru_cache(8)
@@ -106,11 +110,13 @@ def _dealt(df: DataFrame, name: str, blocks: DataFrame) -> DataFrame:
     return df.join(F.broadcast(blocks), ["dim", "cell"]).withColumn(name, F.pmod(F.xxhash64("row"), F.col("blocks")))
 
 
-def similar_by_blocks(left: DataFrame, right: DataFrame, at_least: float, block: int = BLOCK) -> DataFrame:
+def similar_by_blocks(left: DataFrame, right: DataFrame, at_least: float, block: int | None = None) -> DataFrame:
     """(a, b, similarity) of ids, by matrix products of blocks. Cells are pivots' neighbourhoods."""
     own = right is left
     spark = left.sparkSession
-    n_pivots = int(min(PIVOTS, max(1, left.count() // block)))
+    rows = left.count()
+    block = block or min(WIDEST, max(BLOCK, -(-rows // BLOCKS)))
+    n_pivots = int(min(PIVOTS, max(1, rows // block)))
     chosen = left.orderBy(F.xxhash64("row"), "row").limit(n_pivots).select("dim", "u").toArrow()
     pivots: dict[int, np.ndarray] = {}
     for dim in set(chosen.column("dim").to_pylist()):
@@ -151,37 +157,45 @@ def similar_by_blocks(left: DataFrame, right: DataFrame, at_least: float, block:
     meeting = spark.createDataFrame(meet, "dim int, cell int, other int, other_blocks int")  # at most PIVOTS squared a dim
     x = _dealt(a, "i", blocks[0]).join(F.broadcast(meeting), ["dim", "cell"])
     x = x.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks").cast("long") - 1)))
-    x = x.select("dim", F.col("cell").alias("p"), F.col("other").alias("q"), "i", "j", "row", "id", "u")
+    kinds = [left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()]
+    ids = lambda mine: [F.col("id").alias(n) if n == mine else F.lit(None).cast(k).alias(n) for n, k in zip("ab", kinds, strict=True)]
+    x = x.select("dim", F.col("cell").alias("p"), F.col("other").alias("q"), "i", "j", F.lit(0).alias("side"), "row", *ids("a"), "u")
     back = meeting.join(blocks[0].withColumnRenamed("blocks", "own_blocks"), ["dim", "cell"]).select("dim", F.col("cell").alias("p"), F.col("other").alias("cell"), "own_blocks")
     y = _dealt(b, "j", blocks[1]).join(F.broadcast(back), ["dim", "cell"])
     y = y.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks").cast("long") - 1)))
-    y = y.select("dim", "p", F.col("cell").alias("q"), "i", "j", "row", "id", "u")
+    y = y.select("dim", "p", F.col("cell").alias("q"), "i", "j", F.lit(1).alias("side"), "row", *ids("b"), "u")
     if own:  # of two blocks of one cell, one order is enough
         x, y = x.filter("p < q OR i <= j"), y.filter("p < q OR i <= j")
-    y = y.select(*(F.col(c).alias(c) for c in y.columns))  # a name of its own for each side's columns
-    kinds = [left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()]
 
-    def product(mine: pa.Table, other: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(mine) and len(other):
-            v, rows = matrix(other.column("u")), [t.column("row").to_numpy() for t in (mine, other)]
-            same = own and mine.column("p")[0] == mine.column("q")[0] and mine.column("i")[0] == mine.column("j")[0]
-            u = matrix(mine.column("u"))
-            for at in range(0, len(u), 512):
-                s = u[at : at + 512] @ v.T
-                i, j = np.nonzero(s >= at_least)
-                if same:
-                    once = rows[0][i + at] < rows[1][j]
-                    i, j = i[once], j[once]
-                found.append((i + at, j, s[i, j]))
-        i, j, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"a": mine.column("id").take(pa.array(i)), "b": other.column("id").take(pa.array(j)), "similarity": pa.array(s)})
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of two blocks, a tile of them at a time."""
+        both = pa.Table.from_batches(list(batches))
+        mine, other = (both.filter(pa.compute.equal(both.column("side"), k)) for k in (0, 1))
+        if not len(mine) or not len(other):
+            return
+        u, v, rows, theirs = matrix(mine.column("u")), matrix(other.column("u")), mine.column("row").to_numpy(), other.column("row").to_numpy()
+        same = own and both.column("p")[0] == both.column("q")[0] and both.column("i")[0] == both.column("j")[0]
+        low = at_least - (u.shape[1] + 16) * 1e-7  # beyond what single precision errs
+        p, q = u.astype(np.float32), v.astype(np.float32)
+        for at in range(0, len(u), 512):
+            for to in range(0, len(v), 4096):
+                near = np.flatnonzero(p[at : at + 512] @ q[to : to + 4096].T >= low)
+                for some in np.array_split(near, -(-len(near) // 65_536)) if len(near) else ():
+                    i, j = np.divmod(some, min(4096, len(v) - to))
+                    i, j = i + at, j + to
+                    s = np.einsum("ij,ij->i", u[i], v[j])
+                    good = s >= at_least
+                    if same:
+                        good &= rows[i] < theirs[j]
+                    columns = [mine.column("a").take(pa.array(i[good])), other.column("b").take(pa.array(j[good])), pa.array(s[good])]
+                    yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["a", "b", "similarity"])
 
     by = ["dim", "p", "q", "i", "j"]
-    return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(product, f"a {kinds[0]}, b {kinds[1]}, similarity double")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # work grows with pairs, not with bytes
+    return x.unionByName(y).repartition(tasks, *by).groupBy(*by).applyInArrow(product, f"a {kinds[0]}, b {kinds[1]}, similarity double")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None, at_least: float, vector: str = "v", block: int = BLOCK) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame | None, at_least: float, vector: str = "v", block: int | None = None) -> DataFrame:
     """Pairs (a from ``left``, b from ``right``) of ids whose vectors have cosine similarity ``at_least`` or more, exactly.
 
     Without ``right``, the pairs of ``left`` with itself, each once, the smaller id first. Vectors that ``unit_vectors``
@@ -189,14 +203,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, at_least: float, vec
     """
     a = unit_vectors(left, vector)
     b = a if right is None else unit_vectors(right, vector)
-    if at_least < BANDS_FROM:
-        out = similar_by_blocks(a, b, at_least, block)
-    else:
-        met = met_by_signs(a, b, at_least)
-        one, two = (x.select(F.col("row").alias(n), F.col("id").alias(f"id_{n}"), F.col("u").alias(f"u_{n}")) for x, n in ((a, "a"), (b, "b")))
-        dot = F.aggregate(F.zip_with("u_a", "u_b", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-        out = met.join(one, "a").join(two, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), dot.alias("similarity"))
-        out = out.filter(F.col("similarity") >= at_least)
+    out = similar_by_blocks(a, b, at_least, block)
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity") if right is None else out
 
 
