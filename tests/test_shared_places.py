@@ -38,3 +38,29 @@ def test_members_are_met_together_and_keep_their_boxes(spark, monkeypatch):
     got = {(r.member, r.mmsi) for r in scoring.backward_scores(positions, particles, 0).collect()}
     assert got == {(0, "a"), (1, "b")}
     assert asked == [(3, ("cluster_id", "t"))]
+
+
+def test_densities_are_interpolated_where_pairs_are_many(spark, monkeypatch):
+    """Before, every position met every particle; now nodes meet, and nothing differs beyond rounding."""
+    pick = np.random.default_rng(9)
+    n, m = 3000, 6000
+    lon, lat = -93 + 1.5 * pick.random(n), 25 + pick.random(n)
+    lon[:5] += 40.0  # alone, some of them far from everything
+    x, y = -93 + 1.5 * pick.random(m), 25 + pick.random(m)
+    x[:3] += 0.0, 1.5, 40.0
+    scenario = pick.integers(0, 3, m)
+    met = []
+    real = clouds._kernel_sums
+    monkeypatch.setattr(clouds, "_kernel_sums", lambda a, b, *rest: met.append(a.shape[1] * b.shape[1]) or real(a, b, *rest))
+    order = np.argsort(scenario, kind="stable")
+    got = clouds.interpolated_densities(lon, lat, x[order], y[order], np.ones(m), scenario[order], 3, 50.0)
+    assert sum(met) < n * m / 4
+    want = np.stack([np.exp(-0.5 * (clouds.distances_km(clouds._unit(lon, lat), clouds._unit(x[scenario == k], y[scenario == k])) / 50.0) ** 2).mean(axis=1) for k in range(3)], axis=1)
+    assert np.abs(got - want).max() < clouds.PRECISION and got.min() >= 0
+    # The same through Spark, beside a position without a place.
+    at = spark.createDataFrame([(f"m{k}", 0, float(lon[k]), float(lat[k])) for k in range(n)] + [("none", 0, None, 25.0)], "mmsi string, t int, lon double, lat double")
+    cloud = spark.createDataFrame([(0, int(scenario[k]), float(x[k]), float(y[k])) for k in range(m)], "t int, scenario_id int, p_lon double, p_lat double")
+    rows = scoring.time_scores(at, cloud, 50.0, ("scenario_id",), ("density_score",), ("mmsi",)).collect()
+    assert n * m >= clouds.MANY and len(rows) == 3 * (n + 1)
+    for r in rows:
+        assert r.density_score is None if r.mmsi == "none" else abs(r.density_score - want[int(r.mmsi[1:]), r.scenario_id]) < clouds.PRECISION

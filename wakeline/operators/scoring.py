@@ -35,11 +35,11 @@ def ranked(df: DataFrame, by: str, name: str, *within: str, descending: bool = T
     return df.withColumn("_w", value).join(places, F.col("_w").eqNullSafe(F.col("_v"))).drop("_w", "_v")
 
 
-def time_scores(positions: DataFrame, particles: DataFrame, sigma_km: float, cloud_keys: Sequence[str] = (), wanted: Sequence[str] = STATISTICS) -> DataFrame:
+def time_scores(positions: DataFrame, particles: DataFrame, sigma_km: float, cloud_keys: Sequence[str] = (), wanted: Sequence[str] = STATISTICS, by: Sequence[str] = ()) -> DataFrame:
     """Kernel statistics of each position (mmsi, t, lon, lat) against the particles (p_lon, p_lat) of its time, for each
     value of ``cloud_keys``; times without a cloud give no row, particles that are not finite do not count."""
     held = positions.select("mmsi", "t", "lon", "lat", F.lit(float(sigma_km)).alias("sigma"))
-    return against_clouds(held, particles, ("t",), "sigma", cloud_keys, wanted).drop("sigma")
+    return against_clouds(held, particles, ("t",), "sigma", cloud_keys, wanted, by).drop("sigma")
 
 
 def summarise(scores: DataFrame, n_times: int, key: str = "mmsi") -> DataFrame:
@@ -74,7 +74,7 @@ def release_age_table(scores: DataFrame, t0_us: int, key: str = "mmsi") -> DataF
 
 def scenario_scores(positions: DataFrame, ensemble: DataFrame, t0_us: int, sigma_km: float) -> DataFrame:
     """Per scenario, entity and age bin: peak and mean score, rank in the scenario's bin."""
-    ts = time_scores(positions, ensemble, sigma_km, ("scenario_id",), ("density_score",))
+    ts = time_scores(positions, ensemble, sigma_km, ("scenario_id",), ("density_score",), ("mmsi",))
     aged = ts.withColumn("age_h", binning.hours_before(t0_us, F.col("t"))).withColumn("release_age_bin", binning.age_bin(F.col("age_h"))).filter("release_age_bin is not null")
     first = F.struct(F.round("density_score", RANK_DP), -F.col("t"))
     out = aged.groupBy("scenario_id", "mmsi", "release_age_bin").agg(
