@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import dead_reckoned
-from wakeline.operators.buckets import nearest_within, radius_join
+from wakeline.operators.buckets import dealt_join, nearest_within, radius_join
 from wakeline.sources.work import cut
 
 MOVING_KM, STATIONARY_KM, PLATFORM_KM = 1.5, 0.5, 0.5
@@ -85,9 +85,17 @@ def nearest_structure(tracks: DataFrame, structures: DataFrame, radius_km: float
 def sar_evidence(events: DataFrame, labelled: DataFrame, radius_km: float = 25.0) -> DataFrame:
     """The nearest labelled detection of each entity for each event: cluster_id, mmsi, sar_label, sar_dist_km."""
     named = labelled.filter(F.col("label").startswith("ais_")).select(F.col("match_id").alias("mmsi"), F.col("label").alias("sar_label"), "det_id", "lon", "lat")
-    pairs = radius_join(named, events.select("cluster_id", "lon", "lat"), radius_km)
-    w = Window.partitionBy("cluster_id", "mmsi").orderBy("dist_km", "det_id")
-    return pairs.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("cluster_id", "mmsi", "sar_label", F.col("dist_km").alias("sar_dist_km"))
+    # Detections of an entity at one place, and events at one place, meet once; events follow their places.
+    spots = cut(named.groupBy("mmsi", "sar_label", "lon", "lat").agg(F.min("det_id").alias("det_id")), "spots")
+    own = events.select("cluster_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat")).distinct()
+    own = cut(own.withColumn("_several", F.count("*").over(Window.partitionBy("cluster_id")) > 1), "events")
+    met = radius_join(spots, own.select(F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat")).distinct(), radius_km)
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "mmsi").orderBy("dist_km", "det_id"))).filter("_n = 1").drop("_n")
+    least = cut(first(met, "r_lon", "r_lat").select("r_lon", "r_lat", "mmsi", "sar_label", "det_id", "dist_km"), "nearest")
+    found = dealt_join(least, own, ["r_lon", "r_lat"])
+    # Only events that are at several places choose among them.
+    out = found.filter("NOT _several").unionByName(first(found.filter("_several"), "cluster_id"))
+    return out.select("cluster_id", "mmsi", "sar_label", F.col("dist_km").alias("sar_dist_km"))
 
 
 def distance_table(events: DataFrame, detections: DataFrame, near_km: float = 2.0, radius_km: float = 25.0) -> DataFrame:
