@@ -128,3 +128,18 @@ def test_covers_and_rings_are_not_broadcast(spark):
     found = regions.points_in_regions(points, boxes, "p", "id")
     assert sorted((r.p, r.id) for r in found.collect()) == [(p, p // 10) for p in range(40) if 0.1 < (p % 10) / 10 + 0.05 < 0.9]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_places_and_shapes_meet_once(spark, monkeypatch):
+    """Before, every point was tested against every region whose border is near it."""
+    ring = [(0.0, 0.0), (3.0, 0.5), (1.0, 2.0)]
+    shape = [[{"x": x, "y": y} for x, y in ring]]
+    areas = spark.createDataFrame([(k, shape) for k in range(30)] + [(90, None)], "id long, rings array<array<struct<x:double,y:double>>>")
+    points = spark.createDataFrame([(k, *((1.0, 1.0), (0.1, 1.9), (2.7, 0.5), (None, 1.0))[k % 4]) for k in range(80)], "p long, x double, y double")
+    held = []
+    real = regions.cut
+    monkeypatch.setattr(regions, "cut", lambda df, name: held.append((name, real(df, name))) or held[-1][1])
+    monkeypatch.setattr(regions, "LIST", 7)
+    got = [tuple(r) for r in regions.points_in_regions(points, areas, "p", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p, k) for p in range(80) if p % 4 in (0, 2) for k in range(30)}
+    assert {name: df.count() for name, df in held if name in ("shapes", "places")} == {"shapes": 1, "places": 2}

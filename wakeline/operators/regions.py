@@ -12,15 +12,18 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from wakeline.functions import polygon
+from wakeline.operators.buckets import dealt_join
 from wakeline.sources.work import cut
 
 #: Halvings below the level whose cells are as large as a region.
 DEPTH = 5
+#: Ids of equal regions that a list holds, about.
+LIST = 1024
 #: Points that a task holds of all groups before it reduces them to hulls.
 HELD = 100_000
 
@@ -104,17 +107,27 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
 
 def points_in_regions(points: DataFrame, regions: DataFrame, point: str, region: str, depth: int = DEPTH) -> DataFrame:
     """(point, region) for each point (x, y) in a region (rings). A point on a border may be told either way."""
-    cells = cut(cover(regions, region, depth=depth), "cover")
+    # Places and shapes that are equal meet once; ids of both follow.
+    shapes, own = distinct_shapes(regions, region, "rings", "_shape")
+    # Few bytes, but much work: shapes are dealt to as many tasks as the session shuffles to.
+    dealt = shapes.repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_shape")
+    cells = cut(cover(dealt, "_shape", depth=depth), "cover")
     levels = [r.level for r in cells.select("level").distinct().collect()]  # at most 121 of them
     if not levels:
         return points.select(point).join(regions.select(region).limit(0), F.lit(True))
-    asked = points.filter("x IS NOT NULL AND y IS NOT NULL").withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    held = points.filter("x IS NOT NULL AND y IS NOT NULL").select(point, "x", "y")
+    asked = held.select("x", "y").distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels))))
     at = lambda c: F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("level"))).alias(f"i{c}")
-    met = asked.select(point, "x", "y", "level", at("x"), at("y")).join(cells.hint("merge"), ["level", "ix", "iy"])
+    met = asked.select("x", "y", "level", at("x"), at("y")).join(cells.hint("merge"), ["level", "ix", "iy"])
     # Covers and rings are larger than their files say: they are merged, never broadcast.
-    border = met.filter("NOT inside").select(point, "x", "y", region).join(regions.select(region, "rings").hint("merge"), region)
-    tested = border.filter(contains(F.col("rings"), F.col("x"), F.col("y"))).select(point, region)
-    return met.filter("inside").select(point, region).unionByName(tested)
+    border = met.filter("NOT inside").select("x", "y", "_shape").join(shapes.hint("merge"), "_shape")
+    tested = border.filter(contains(F.col("rings"), F.col("x"), F.col("y"))).select("x", "y", "_shape")
+    found = cut(met.filter("inside").select("x", "y", "_shape").unionByName(tested), "places")
+    # A shape's ids are lists of bounded length until its places have met their points.
+    many = F.ceil(F.count("*").over(Window.partitionBy("_shape")) / LIST)
+    lists = own.withColumn("_k", F.pmod(F.xxhash64(region), many)).groupBy("_shape", "_k")
+    ids = found.join(lists.agg(F.collect_list(region).alias("_ids")).drop("_k").hint("merge"), "_shape").select("x", "y", "_ids")
+    return dealt_join(ids, held, ["x", "y"]).select(point, F.explode("_ids").alias(region))
 
 
 def meeting(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
