@@ -3,7 +3,7 @@
 import math
 import random
 
-from wakeline.operators import buckets, events
+from wakeline.operators import buckets, events, tables
 
 
 def test_near_pairs_are_made_once_and_dealt(spark, monkeypatch):
@@ -28,3 +28,16 @@ def test_near_pairs_are_made_once_and_dealt(spark, monkeypatch):
     cells = lambda r: (math.floor(r[1] / 3000), math.floor(r[2] / 3000))
     both = sum(max(abs(p - q) for p, q in zip(cells(a), cells(b), strict=True)) <= 1 for a in rows for b in rows)
     assert made[0].count() < 0.6 * both + 400
+
+
+def test_windows_are_made_once(spark, monkeypatch):
+    """Before, every pair of tiles was made both ways."""
+    made = []
+    real = buckets.dealt_join
+    monkeypatch.setattr(buckets, "dealt_join", lambda *a: made.append(real(*a)) or made[-1])
+    crowd = spark.createDataFrame([(k, k % 7, k % 5) for k in range(100)], "id long, col0 long, row0 long")
+    assert tables.shared_windows(crowd, 64).count() == 100 * 99 // 2
+    assert made[0].count() == 100 * 100  # one cell against itself, not nine
+    spread = spark.createDataFrame([(k, (k % 2) * 40, 0) for k in range(100)], "id long, col0 long, row0 long")
+    assert tables.shared_windows(spread, 32).count() == 2 * (50 * 49 // 2)
+    assert made[1].count() == 2 * 50 * 50 + 50 * 50  # across cells each pair once
